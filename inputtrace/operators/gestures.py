@@ -69,17 +69,19 @@ def coalesce_repeats(
     frame: str,
     gap: int = 1,
     details: str = "details",
+    order: tuple[str, str] = ("pos", "pos"),
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Merge scrolls, and clicks, that repeat within ``gap`` frames; the first stays.
 
     Scrolls are compared with scrolls and clicks with clicks; other actions neither merge nor
-    separate. ``pos`` orders actions of one frame.
+    separate. ``order`` names what orders the actions of one frame, and a number that never
+    decreases along it.
     """
     merging = F.col("type").isin("MouseScroll", "MouseClick")
-    sliced = split_hot(actions.where(merging), [*group, "type"], frame, "pos", hot_rows)
+    sliced = split_hot(actions.where(merging), [*group, "type"], frame, order[1], hot_rows)
     here = F.struct(F.col(frame).alias("frame"), F.col(details).alias("details"))
-    scanned = carry(sliced, [*group, "type"], [frame, "pos"], {"_prev": here}, dense=True)
+    scanned = carry(sliced, [*group, "type"], [frame, order[0]], {"_prev": here}, dense=True)
     repeats = _repeats(F.col("_prev"), frame, details, gap)
     kept = scanned.where(~repeats).select(*actions.columns)
     others = actions.where(~F.coalesce(merging, F.lit(False)))
@@ -93,6 +95,6 @@ def _repeats(prev: Column, frame: str, details: str, gap: int) -> Column:
 
 def coalesce_gt(truth: DataFrame, group: list[str], gap: int = 1, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The same on scoring actions; scrolls without direction vanish after merging."""
-    merged = coalesce_repeats(truth, group, "frame", gap, "detail", hot_rows)
+    merged = coalesce_repeats(truth, group, "frame", gap, "detail", ("seq", "seq.ts_us"), hot_rows)
     aimless = (F.col("type") == "MouseScroll") & (F.coalesce("detail", F.lit("")) == "")
     return merged.where(~aimless)

@@ -29,7 +29,7 @@ def shuffled_rank(df: DataFrame, key: str, seed: int, total: str | None = None)
     offsets = sizes.select(
         "_bucket",
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_size").over(whole).alias("_total"),
+        F.sum("_size").over(whole).alias("_rows_total"),
     )
     inside = Window.partitionBy("_bucket").orderBy("_hash", key)
     ranked = (
@@ -38,8 +38,8 @@ def shuffled_rank(df: DataFrame, key: str, seed: int, total: str | None = None)
         .withColumn("rank", F.col("_offset") + F.col("_place"))
     )
     if total:
-        ranked = ranked.withColumnRenamed("_total", total)
-    return ranked.drop("_hash", "_bucket", "_place", "_offset", "_total")
+        ranked = ranked.withColumnRenamed("_rows_total", total)
+    return ranked.drop("_hash", "_bucket", "_place", "_offset", "_rows_total")
 
 
 def ordered_rank(df: DataFrame, order: list[str]) -> DataFrame:

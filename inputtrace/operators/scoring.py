@@ -68,7 +68,7 @@ def rescore_sweep(
 ) -> DataFrame:
     """Overall counts and scores for every tolerance, with and without coalesced truth.
 
-    ``truth`` needs ``pos``. Every setting is one more key of the same matching job.
+    ``truth`` needs ``seq``. Every setting is one more key of the same matching job.
     """
 
     def under(actions: DataFrame, merged: tuple[bool, ...]) -> DataFrame:
@@ -79,7 +79,7 @@ def rescore_sweep(
     asked = None
     for merged in coalesce:
         side = coalesce_gt(truth, clip, hot_rows=hot_rows) if merged else truth
-        side = under(side, (merged,))
+        side = under(side.drop("seq"), (merged,))
         asked = side if asked is None else asked.unionByName(side)
     given = under(preds, coalesce)
     keys = ["tolerance", "coalesce", *clip]

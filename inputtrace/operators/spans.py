@@ -10,6 +10,8 @@ from ..functions.frames import _int, frame_floor, frame_round
 from .scan import carry
 
 ORDER = ["ts_us", "ord"]
+# Later than any time in a log.
+NEVER = 2**53
 
 
 def in_frames(log: DataFrame, fps: int | str, num_frames: int | str) -> DataFrame:
@@ -81,10 +83,12 @@ def hold_spans(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     ``released_frame`` is the frame of the release or of the context release that ends the
     span, and null where nothing ends it. The text is the one at the time of the press.
+    ``seq`` orders spans as they end: what ends together, or never, in the order of pressing.
     ``keep`` names further columns of the press to pass on.
     """
     scanned = held_before(rows, names.SHOWN_MODIFIERS)
-    ends_at = F.when(F.col("releases_all"), F.col("frame"))
+    here = F.struct("frame", "ts_us", "ord")
+    ends_at = F.when(F.col("releases_all"), here)
     scanned = carry(scanned, ["recording_id"], ORDER, {"epoch_end": ends_at}, ahead=True)
 
     held = {m: F.col(f"held_{m.lower()}") for m in names.SHOWN_MODIFIERS}
@@ -105,14 +109,22 @@ def hold_spans(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     before = carry(devices, group, ORDER, {"was_pressed": F.col("pressed")}, dense=True)
     was_pressed = F.coalesce(F.col("was_pressed"), F.lit(False))
     turns = before.where(F.col("pressed") != was_pressed)
-    ended = carry(turns, group, ORDER, {"next_frame": F.col("frame")}, ahead=True, dense=True)
+    ended = carry(turns, group, ORDER, {"release": here}, ahead=True, dense=True)
+    end = F.coalesce("release", "epoch_end")
+    seq = F.struct(
+        F.coalesce(end["ts_us"], F.lit(NEVER)).alias("ts_us"),
+        F.coalesce(end["ord"], F.lit(NEVER)).alias("ord"),
+        F.col("ts_us").alias("pressed_us"),
+        F.col("ord").alias("pressed_ord"),
+    )
     return ended.where("pressed").select(
         "recording_id",
         "device",
         "name",
         "details",
         F.col("frame").alias("start_frame"),
-        F.coalesce("next_frame", "epoch_end").alias("released_frame"),
+        end["frame"].alias("released_frame"),
+        seq.alias("seq"),
         *(keep or []),
     )
 
@@ -130,6 +142,13 @@ def close_open_spans(spans: DataFrame, last_frame: int | str | DataFrame) -> Dat
     return closed.drop("released_frame", "last_frame")
 
 
+def instant_seq(ts_us: Column, ord_: Column) -> Column:
+    """The ``seq`` of an action that is over at once."""
+    return F.struct(
+        ts_us.alias("ts_us"), ord_.alias("ord"), ts_us.alias("pressed_us"), ord_.alias("pressed_ord")
+    )
+
+
 def explode_spans(spans: DataFrame, num_frames: int | str | None = None) -> DataFrame:
     """One KeyPress per frame of a key span; a span inside one frame still counts there."""
     last = F.greatest("end_frame", F.col("start_frame") + 1) - 1
@@ -137,7 +156,7 @@ def explode_spans(spans: DataFrame, num_frames: int | str | None = None) -> Data
         last = F.least(last, _int(num_frames) - 1)
     frames = F.explode(F.sequence("start_frame", last))
     return spans.where(F.col("device") == "key").select(
-        "recording_id", frames.alias("frame_idx"), F.lit("KeyPress").alias("type"), "details"
+        "recording_id", frames.alias("frame_idx"), F.lit("KeyPress").alias("type"), "details", "seq"
     )
 
 
@@ -148,4 +167,5 @@ def clicks(spans: DataFrame) -> DataFrame:
         F.col("start_frame").alias("frame_idx"),
         F.lit("MouseClick").alias("type"),
         "details",
+        "seq",
     )

@@ -28,7 +28,9 @@ def parse_keylog(
     action_types: str = "all",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Actions per frame: ``recording_id, frame_idx, type, details``.
+    """Actions per frame: ``recording_id, frame_idx, type, details, seq``.
+
+    ``seq`` orders actions of one frame and type.
 
     Only the branches that the selected action types need are part of the plan.
     """
@@ -39,12 +41,15 @@ def parse_keylog(
         out = out.unionByName(spans.clicks(held))
     if "MouseScroll" in types:
         moved = gestures.scroll_per_frame(spans.in_frames(log, fps, num_frames))
-        out = out.unionByName(gestures.scroll_gestures(moved))
+        # A frame starts one gesture at most, so gestures need no order among themselves.
+        zero = F.lit(0).cast("bigint")
+        found = gestures.scroll_gestures(moved).withColumn("seq", spans.instant_seq(zero, zero))
+        out = out.unionByName(found)
     return out
 
 
 def gt_actions(log: DataFrame, fps: int | str = 2, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Truth actions of clips that start at ``start_s``: ``recording_id, frame, type, detail``.
+    """Truth actions of clips that start at ``start_s``: ``recording_id, frame, type, detail, seq``.
 
     Every scroll tick counts, in its vertical direction; spans that nothing ends run to the
     last frame seen in the log.
@@ -58,6 +63,7 @@ def gt_actions(log: DataFrame, fps: int | str = 2, hot_rows: int = HOT_ROWS) ->
         F.col("frame").alias("frame_idx"),
         F.lit("MouseScroll").alias("type"),
         names.scroll_direction(F.col("dy")).alias("details"),
+        spans.instant_seq(F.col("ts_us"), F.col("ord")).alias("seq"),
     )
     out = (
         spans.explode_spans(held)
@@ -69,4 +75,5 @@ def gt_actions(log: DataFrame, fps: int | str = 2, hot_rows: int = HOT_ROWS) ->
         F.col("frame_idx").alias("frame"),
         "type",
         F.col("details").alias("detail"),
+        "seq",
     )

@@ -34,15 +34,16 @@ def parse_entries(entries: DataFrame) -> DataFrame:
     outer = outer.withColumn("_payload", json_list(F.get("_event", F.lit(1))))
     payload = F.col("_payload")
     deltas = [F.get(payload, F.lit(i)).try_cast("double") for i in (0, 1)]
-    both = deltas[0].isNotNull() & deltas[1].isNotNull()
+    etype = F.get("_event", F.lit(0))
+    scrolls = (etype == "MouseScroll") & deltas[0].isNotNull() & deltas[1].isNotNull()
     parsed = outer.withColumns(
         {
             "ts_us": whole_number(F.get("_entry", F.lit(0))),
-            "etype": F.get("_event", F.lit(0)),
-            "raw_key": payload_key(payload),
-            "button": payload_button(payload),
-            "dx": F.when(both, deltas[0]).otherwise(F.lit(0.0)),
-            "dy": F.when(both, deltas[1]).otherwise(F.lit(0.0)),
+            "etype": etype,
+            "raw_key": F.when(etype.isin("KeyPress", "KeyRelease"), payload_key(payload)),
+            "button": F.when(etype.isin("MousePress", "MouseRelease"), payload_button(payload)),
+            "dx": F.when(scrolls, deltas[0]).otherwise(F.lit(0.0)),
+            "dy": F.when(scrolls, deltas[1]).otherwise(F.lit(0.0)),
             "uncaptured": F.coalesce(F.array_contains(payload, "UNCAPTURED"), F.lit(False)),
         }
     )
