@@ -573,8 +573,9 @@ def _(spark, sf_dir):
 
 
 def _state_rows(spark, sf_dir) -> DataFrame:
-    rows = spans.state_rows(spans.in_frames(I.keylog(spark, sf_dir), I.FPS, I.FRAMES))
-    return split_hot(rows, REC, "ts_us", "ord")
+    log = I.keylog(spark, sf_dir)
+    rows = spans.state_rows(spans.in_frames(log, I.FPS, I.FRAMES))
+    return split_hot(rows, REC, "ts_us", "ord", counted=log)
 
 
 @query(
@@ -623,8 +624,9 @@ def _(spark, sf_dir):
     "select recording_id, device, name, details, start_frame, end_frame from gt_spans",
 )
 def _(spark, sf_dir):
-    framed = spans.in_rounded_frames(I.truth_log(spark, sf_dir), I.FPS)
-    rows = split_hot(spans.state_rows(framed), REC, "ts_us", "ord")
+    log = I.truth_log(spark, sf_dir)
+    framed = spans.in_rounded_frames(log, I.FPS)
+    rows = split_hot(spans.state_rows(framed), REC, "ts_us", "ord", counted=log)
     closed = spans.close_open_spans(spans.hold_spans(rows), spans.last_frame_of_log(framed))
     return closed.select("recording_id", "device", "name", "details", "start_frame", "end_frame")
 

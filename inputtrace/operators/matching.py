@@ -128,66 +128,121 @@ def _picks(entries: Column, reach: int | None) -> Column:
     return F.aggregate(blocks, _empty_state(), step, lambda state: state["picks"])
 
 
-def match_counts(
+def _solve(near: DataFrame, keys: list[str], limit: Column, reach: int) -> DataFrame:
+    """Per stretch of a problem: ``frames`` with their counts, and the ``picks`` made there."""
+    asks = (F.col("g") > 0) & (F.size("near") > 0)
+    entry = F.struct("frame", "g", _ranked(F.col("frame"), F.col("near"), limit).alias("cands"))
+    stretches = near.groupBy(*keys, "stretch").agg(
+        F.collect_list(F.struct("frame", "g", "p")).alias("frames"),
+        F.array_sort(F.collect_list(F.when(asks, entry))).alias("entries"),
+    )
+    return stretches.withColumn("picks", _picks(F.col("entries"), reach)).drop("entries", "stretch")
+
+
+def match_frames(
+    truth: DataFrame, preds: DataFrame, clip: list[str], tolerance: int = 2
+) -> DataFrame:
+    """Matching of actions ordered by frame, solved: clip, type, detail, ``frames``, ``picks``."""
+    keys = [*clip, "type", "detail"]
+    near = _stretch(_within(_counts(truth, preds, keys), keys, tolerance), keys, tolerance)
+    return _solve(near, keys, F.lit(tolerance), tolerance)
+
+
+def match_settings(
     truth: DataFrame,
+    merged_truth: DataFrame,
     preds: DataFrame,
     clip: list[str],
-    tolerance: int = 2,
-    tolerance_column: str | None = None,
+    tolerances: list[int],
 ) -> DataFrame:
-    """Matches as counts: clip, type, detail, frame, pred_frame, n.
+    """The same for every tolerance, with plain truth and with merged scrolls and clicks.
 
-    With ``tolerance_column``, one of the clip columns, each clip has its own tolerance and
-    ``tolerance`` is the largest of them.
+    Rows are counted and their surroundings gathered once, under the widest tolerance; the
+    settings multiply the counts and not the rows. ``merged_truth`` holds the merged scrolls
+    and clicks only.
     """
     keys = [*clip, "type", "detail"]
-    limit = F.col(tolerance_column) if tolerance_column else F.lit(tolerance)
-    near = _stretch(_within(_counts(truth, preds, keys), keys, tolerance), keys, tolerance)
-    entry = F.struct("frame", "g", _ranked(F.col("frame"), F.col("near"), limit).alias("cands"))
-    problems = (
-        near.where((F.col("g") > 0) & (F.size("near") > 0))
-        .groupBy(*keys, "stretch")
-        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    alike = (~F.col("type").isin("MouseScroll", "MouseClick")).cast("bigint")
+
+    def counted(rows: DataFrame, plain: Column, merged: Column, p: Column) -> DataFrame:
+        return rows.select(*keys, "frame", plain.alias("plain"), merged.alias("merged"), p.alias("p"))
+
+    every = (
+        counted(truth, one, alike, zero)
+        .unionByName(counted(merged_truth, zero, one, zero))
+        .unionByName(counted(preds, zero, zero, one))
     )
-    picks = problems.select(*keys, F.explode(_picks(F.col("entries"), tolerance)).alias("pick"))
-    return picks.select(*keys, "pick.frame", "pick.pred_frame", "pick.n")
+    counts = every.groupBy(*keys, "frame").agg(*[F.sum(c).alias(c) for c in ("plain", "merged", "p")])
+    widest = max(tolerances)
+    near = _stretch(_within(counts, keys, widest), keys, widest)
+    settings = [
+        F.struct(F.lit(t).alias("tolerance"), F.lit(m).alias("coalesce"))
+        for t in tolerances
+        for m in (True, False)
+    ]
+    chosen = near.withColumn("setting", F.explode(F.array(*settings))).select(
+        "setting.*", *near.columns, F.when(F.col("setting.coalesce"), F.col("merged")).otherwise(F.col("plain")).alias("g")
+    )
+    return _solve(chosen, ["tolerance", "coalesce", *keys], F.col("tolerance"), widest)
 
 
-def match_in_list_order(truth: DataFrame, preds: DataFrame, clip: list[str], tolerance: int = 2) -> DataFrame:
-    """The same where the order of both lists is ``pos`` and not the frame.
+def match_lists(truth: DataFrame, preds: DataFrame, clip: list[str], tolerance: int = 2) -> DataFrame:
+    """Matching where the order of both lists is ``pos`` and not the frame, solved.
 
     Neighbours in the list with one frame form a run and are handled as a count. A list here is
     one answer, or the actions of one clip line: it was a single row when it was read, so what
     is gathered per clip is bounded by what one row holds.
     """
     keys = [*clip, "type", "detail"]
-
-    def runs(actions: DataFrame) -> DataFrame:
-        window = Window.partitionBy(*keys).orderBy("pos")
-        starts = F.coalesce(F.col("frame") != F.lag("frame").over(window), F.lit(True))
-        marked = actions.withColumn("_start", F.when(starts, F.col("pos")))
-        placed = marked.withColumn("id", F.last("_start", True).over(window))
-        return placed.groupBy(*keys, "id", "frame").agg(F.count(F.lit(1)).alias("p"))
-
-    candidates = (
-        runs(preds)
-        .groupBy(*keys)
-        .agg(F.collect_list(F.struct("id", F.col("frame").alias("pred_frame"), "p")).alias("near"))
+    columns = [*keys, "pos", "frame"]
+    both = truth.select(*columns, F.lit(True).alias("asks")).unionByName(
+        preds.select(*columns, F.lit(False).alias("asks"))
     )
-    asked = (
-        runs(truth)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("id", "frame", F.col("p").alias("g")))).alias("asked"))
+    window = Window.partitionBy(*keys).orderBy("asks", "pos")
+    here, before = F.struct("asks", "frame"), F.lag(F.struct("asks", "frame")).over(window)
+    marked = both.withColumn("_start", F.when(~here.eqNullSafe(before), F.col("pos")))
+    runs = (
+        marked.withColumn("id", F.last("_start", True).over(window))
+        .groupBy(*keys, "asks", "id", "frame")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    zero = F.lit(0).cast("bigint")
+    asked = F.struct("id", "frame", F.col("n").alias("g"), zero.alias("p"))
+    given = F.struct("id", F.col("frame").alias("pred_frame"), F.col("n").alias("p"))
+    gathered = runs.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(F.col("asks"), asked))).alias("asked"),
+        F.collect_list(F.when(~F.col("asks"), given)).alias("given"),
     )
-    problems = asked.join(candidates, keys)
     entries = F.transform(
         "asked",
         lambda e: F.struct(
-            e["frame"], e["g"], _ranked(e["frame"], F.col("near"), F.lit(tolerance)).alias("cands")
+            e["frame"], e["g"], _ranked(e["frame"], F.col("given"), F.lit(tolerance)).alias("cands")
         ),
     )
-    picks = problems.select(*keys, F.explode(_picks(entries, None)).alias("pick"))
-    return picks.select(*keys, "pick.frame", "pick.pred_frame", "pick.n")
+    # A one-element array binds the entries, so that they are put together once.
+    picks = F.element_at(F.transform(F.array(entries), lambda e: _picks(e, None)), 1)
+    said = F.transform(
+        "given", lambda c: F.struct(c["pred_frame"].alias("frame"), zero.alias("g"), c["p"].alias("p"))
+    )
+    listed = F.transform("asked", lambda e: F.struct(e["frame"].alias("frame"), e["g"].alias("g"), e["p"].alias("p")))
+    return gathered.select(*keys, F.concat(listed, said).alias("frames"), picks.alias("picks"))
+
+
+def _total(array: str, field: str) -> Column:
+    return F.aggregate(array, F.lit(0).cast("bigint"), lambda total, x: total + x[field])
+
+
+def outcome_counts(solved: DataFrame, by: list[str]) -> DataFrame:
+    """tp, fp, fn and the numbers of truth and predicted actions per ``by``."""
+    counted = solved.select(
+        *by,
+        _total("frames", "g").alias("gt_count"),
+        _total("frames", "p").alias("pred_count"),
+        _total("picks", "n").alias("tp"),
+    )
+    sums = counted.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("gt_count", "pred_count", "tp")])
+    return sums.withColumns({"fp": F.col("pred_count") - F.col("tp"), "fn": F.col("gt_count") - F.col("tp")})
 
 
 def match_clip(truth: DataFrame, preds: DataFrame, clip: list[str], tolerance: int = 2) -> DataFrame:
@@ -196,33 +251,33 @@ def match_clip(truth: DataFrame, preds: DataFrame, clip: list[str], tolerance: i
     ``outcome`` is ``match``, ``unmatched_gt`` or ``unmatched_pred``.
     """
     keys = [*clip, "type", "detail"]
-    matched = match_counts(truth, preds, clip, tolerance)
-    bigint, none = "bigint", F.lit(None).cast("int")
-
-    def left_over(side: str, actions: DataFrame, outcome: str) -> DataFrame:
-        have = actions.select(*keys, F.col("frame").alias(side), F.lit(1).cast(bigint).alias("n"))
-        used = matched.select(
-            *keys, F.col("frame" if side == "gt_frame" else "pred_frame").alias(side), (-F.col("n")).alias("n")
-        )
-        counts = have.unionByName(used).groupBy(*keys, side).agg(F.sum("n").alias("n"))
-        other = "pred_frame" if side == "gt_frame" else "gt_frame"
-        return counts.where("n > 0").select(
-            F.lit(outcome).alias("outcome"), *keys, side, none.alias(other), none.alias("frame_dist"), "n"
+    none = F.lit(None).cast("int")
+
+    def row(outcome: str, gt_frame: Column, pred_frame: Column, n: Column) -> Column:
+        return F.struct(
+            F.lit(outcome).alias("outcome"),
+            gt_frame.alias("gt_frame"),
+            pred_frame.alias("pred_frame"),
+            n.alias("n"),
         )
 
-    pairs = matched.select(
-        F.lit("match").alias("outcome"),
-        *keys,
-        F.col("frame").alias("gt_frame"),
-        "pred_frame",
-        F.abs(F.col("frame") - F.col("pred_frame")).alias("frame_dist"),
-        "n",
+    # What is there counts up and what is used counts down; the rest is left over.
+    rows = F.concat(
+        F.transform("picks", lambda x: row("match", x["frame"], x["pred_frame"], x["n"])),
+        F.transform("picks", lambda x: row("unmatched_gt", x["frame"], none, -x["n"])),
+        F.transform("picks", lambda x: row("unmatched_pred", none, x["pred_frame"], -x["n"])),
+        F.transform("frames", lambda x: row("unmatched_gt", x["frame"], none, x["g"])),
+        F.transform("frames", lambda x: row("unmatched_pred", none, x["frame"], x["p"])),
     )
-    every = pairs.unionByName(left_over("gt_frame", truth, "unmatched_gt")).unionByName(
-        left_over("pred_frame", preds, "unmatched_pred")
+    solved = match_frames(truth, preds, clip, tolerance)
+    counts = (
+        solved.select(*keys, F.explode(rows).alias("r"))
+        .groupBy("r.outcome", *keys, "r.gt_frame", "r.pred_frame")
+        .agg(F.sum("r.n").alias("n"))
     )
-    repeated = every.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast(bigint), "n")))
-    return repeated.drop("n", "_copy")
+    copies = counts.where("n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
+    distance = F.abs(F.col("gt_frame") - F.col("pred_frame"))
+    return copies.withColumn("frame_dist", distance).drop("n", "_copy")
 
 
 def candidate_counts(truth: DataFrame, preds: DataFrame, clip: list[str], tolerance: int = 2) -> DataFrame:
@@ -239,21 +294,6 @@ def candidate_counts(truth: DataFrame, preds: DataFrame, clip: list[str], tolera
     )
 
 
-def outcome_counts(matched: DataFrame, truth: DataFrame, preds: DataFrame, by: list[str]) -> DataFrame:
-    """tp, fp, fn and the numbers of truth and predicted actions per ``by``."""
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    tp, g, p = F.col("tp"), F.col("gt_count"), F.col("pred_count")
-    parts = (
-        matched.select(*by, F.col("n").alias("tp"), zero.alias("gt_count"), zero.alias("pred_count"))
-        .unionByName(truth.select(*by, zero.alias("tp"), one.alias("gt_count"), zero.alias("pred_count")))
-        .unionByName(preds.select(*by, zero.alias("tp"), zero.alias("gt_count"), one.alias("pred_count")))
-    )
-    sums = parts.groupBy(*by).agg(
-        F.sum("tp").alias("tp"), F.sum("gt_count").alias("gt_count"), F.sum("pred_count").alias("pred_count")
-    )
-    return sums.select(*by, "gt_count", "pred_count", "tp", (p - tp).alias("fp"), (g - tp).alias("fn"))
-
-
 def compute_f1(
     truth: DataFrame, preds: DataFrame, clips: DataFrame, clip: list[str], tolerance: int = 2
 ) -> DataFrame:
@@ -262,8 +302,7 @@ def compute_f1(
     Both lists empty scores 1, one empty scores 0. Names are compared as they are. ``clips``
     lists the clips to score, so that clips without any action are scored too.
     """
-    matched = match_in_list_order(truth, preds, clip, tolerance)
-    counts = outcome_counts(matched, truth, preds, clip)
+    counts = outcome_counts(match_lists(truth, preds, clip, tolerance), clip)
     scored = with_prf(clips.select(*clip).distinct().join(counts, clip, "left").na.fill(0))
     nothing = (F.col("gt_count") == 0) & (F.col("pred_count") == 0)
     values = {

@@ -25,15 +25,21 @@ FINENESS = 64
 
 
 def split_hot(
-    df: DataFrame, group: list[str], major: str, minor: str, hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    group: list[str],
+    major: str,
+    minor: str,
+    hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Cut groups of more than ``hot_rows`` rows into slices along (major, minor).
 
     Slices are equal stretches of ``major``, refined by ``minor`` where few values of
     ``major`` occur. The slice number never decreases along the order. Without a large group
     the table is returned as it is; other rows of a cut table have no slice number.
+    ``counted`` is a table cheaper to count that holds all rows of ``df``, and maybe more.
     """
-    sizes = df.groupBy(*group).agg(
+    sizes = (df if counted is None else counted).groupBy(*group).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.min(major).alias("_lo"),
         F.max(major).alias("_hi"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import with_prf
 from .gestures import coalesce_gt
-from .matching import match_counts, outcome_counts
+from .matching import match_frames, match_settings, outcome_counts
 from .scan import HOT_ROWS
 
 COUNTS = ["gt_count", "pred_count", "tp", "fp", "fn"]
@@ -41,8 +41,8 @@ def score(
     truth: DataFrame, preds: DataFrame, clips: DataFrame, clip: list[str], tolerance: int = 2
 ) -> DataFrame:
     """Match and roll up in one plan."""
-    matched = match_counts(truth, preds, clip, tolerance)
-    return score_rollup(outcome_counts(matched, truth, preds, [*clip, "type"]), clips, clip)
+    solved = match_frames(truth, preds, clip, tolerance)
+    return score_rollup(outcome_counts(solved, [*clip, "type"]), clips, clip)
 
 
 def micro(counts: DataFrame) -> DataFrame:
@@ -59,33 +59,16 @@ def macro(per_clip: DataFrame) -> DataFrame:
 
 
 def rescore_sweep(
-    truth: DataFrame,
-    preds: DataFrame,
-    clip: list[str],
-    tolerances: list[int],
-    coalesce: tuple[bool, ...] = (True, False),
-    hot_rows: int = HOT_ROWS,
+    truth: DataFrame, preds: DataFrame, clip: list[str], tolerances: list[int], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Overall counts and scores for every tolerance, with and without coalesced truth.
 
-    ``truth`` needs ``seq``. Every setting is one more key of the same matching job.
+    ``truth`` needs ``seq``. All settings share one matching job.
     """
-
-    def under(actions: DataFrame, merged: tuple[bool, ...]) -> DataFrame:
-        settings = F.array(*[F.lit(t) for t in tolerances])
-        flags = F.array(*[F.lit(m) for m in merged])
-        return actions.withColumn("tolerance", F.explode(settings)).withColumn("coalesce", F.explode(flags))
-
-    asked = None
-    for merged in coalesce:
-        side = coalesce_gt(truth, clip, hot_rows=hot_rows) if merged else truth
-        side = under(side.drop("seq"), (merged,))
-        asked = side if asked is None else asked.unionByName(side)
-    given = under(preds, coalesce)
-    keys = ["tolerance", "coalesce", *clip]
-    matched = match_counts(asked, given, keys, max(tolerances), "tolerance")
-    counts = outcome_counts(matched, asked, given, ["tolerance", "coalesce"])
-    return with_prf(counts)
+    merging = truth.where(F.col("type").isin("MouseScroll", "MouseClick"))
+    merged = coalesce_gt(merging, clip, hot_rows=hot_rows)
+    solved = match_settings(truth, merged, preds, clip, tolerances)
+    return with_prf(outcome_counts(solved, ["tolerance", "coalesce"]))
 
 
 def score_report(scores: DataFrame, clip: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,20 +18,27 @@ def truncate_tokens(ids: Column, max_length: int = 8192) -> Column:
 def find_prompt_len(ids: Column, marker: list[int]) -> Column:
     """End of the last occurrence of the marker, 0 where there is none."""
     m = len(marker)
-    wanted = F.array(*[F.lit(token) for token in marker])
-    places = F.sequence(F.lit(0), F.size(ids) - m)
-    found = F.filter(places, lambda i: F.slice(ids, i + 1, F.lit(m)) == wanted)
-    return F.when(F.size(ids) >= m, F.coalesce(F.array_max(found) + m, F.lit(0))).otherwise(0)
+    # The sequence beside itself, shifted: a place matches if all its elements do. Nothing but
+    # the lambda's own arguments is used inside it, else the ids would be computed per place.
+    places = F.greatest(F.size(ids) - (m - 1), F.lit(0))
+    beside = F.arrays_zip(*[F.slice(ids, k + 1, places).alias(f"t{k}") for k in range(m)])
+
+    def end(place: Column, i: Column) -> Column:
+        same = [place[f"t{k}"] == token for k, token in enumerate(marker)]
+        return F.when(reduce(lambda a, b: a & b, same), i + m)
+
+    return F.coalesce(F.array_max(F.transform(beside, end)), F.lit(0))
 
 
 def mask_labels(ids: Column, prompt_len: Column) -> Column:
     """The ids as labels, the prompt replaced by the ignored label."""
-    return F.transform(ids, lambda token, i: F.when(i < prompt_len, IGNORED).otherwise(token))
+    return F.concat(F.array_repeat(F.lit(IGNORED), prompt_len), F.slice(ids, prompt_len + 1, F.size(ids)))
 
 
 def prompt_slice(ids: Column, labels: Column) -> Column:
     """The ids at ignored positions: what generation starts from."""
-    return F.filter(ids, lambda token, i: F.get(labels, i) == IGNORED)
+    ignored = F.filter(F.arrays_zip(ids.alias("id"), labels.alias("label")), lambda z: z["label"] == IGNORED)
+    return F.transform(ignored, lambda z: z["id"])
 
 
 def _padded(values: Column, width: Column, fill: int) -> Column:

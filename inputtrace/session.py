@@ -8,12 +8,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 # AQE splits a hot join partition; the force flag lets it do so even where the split costs a
-# further exchange, as it does under a grouping on the same key. The byte limit keeps Arrow
-# batches of images small.
+# further exchange, as it does under a grouping on the same key. Small partitions may stay apart,
+# since a row costs more here than its bytes suggest. The record limit keeps Arrow batches of
+# images small.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from . import schemas
 
-# File names of recordings and of their logs.
-RECORDING_NAME = r"^recording_([0-9a-fA-F-]+)_seg(\d+)(_filtered)?\.mp4$"
-KEYLOG_NAME = r"^input_([0-9a-fA-F-]+)_seg(\d{4,})(_filtered)?\.msgpack$"
+# Paths of recordings (parent folder, session, segment, suffix) and frames.
+RECORDING_PATH = r"^(.*)/[^/]+/recording_([0-9a-fA-F-]+)_seg(\d+)(_filtered)?\.mp4$"
 FRAME_NAME = r"F(\d+)\.\w+$"
 
 
@@ -24,32 +23,20 @@ def list_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     )
 
 
-def _base(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)$", 1)
-
-
 def pair_recordings(videos: DataFrame, keylogs: DataFrame) -> DataFrame:
-    """Videos with a log of the same session, segment and suffix in the folder beside theirs."""
-
-    def parts(paths: DataFrame, pattern: str, folder: str, column: str) -> DataFrame:
-        name = _base(F.col("path"))
-        return paths.where(name.rlike(pattern)).select(
-            F.regexp_extract("path", folder, 1).alias("folder"),
-            F.regexp_extract(name, pattern, 1).alias("session_id"),
-            F.regexp_extract(name, pattern, 2).alias("digits"),
-            F.regexp_extract(name, pattern, 3).alias("suffix"),
-            F.col("path").alias(column),
-        )
-
-    left = parts(videos, RECORDING_NAME, r"^(.*)/[^/]*/[^/]*$", "video_path")
-    right = parts(keylogs, KEYLOG_NAME, r"^(.*)/keylogs/[^/]*$", "keylog_path")
-    seg = F.col("digits").cast("int")
-    # The log of segment 7 is 0007; the same number written otherwise is not its log.
-    right = right.where(F.col("digits") == F.format_string("%04d", seg))
-    left, right = left.withColumn("seg", seg), right.withColumn("seg", seg)
-    keys = ["folder", "session_id", "seg", "suffix"]
-    joined = left.drop("digits").join(right.drop("digits"), keys)
-    return joined.select("session_id", "seg", "suffix", "video_path", "keylog_path")
+    """Videos whose log exists: same session, segment and suffix, in the folder beside theirs."""
+    named = videos.where(F.col("path").rlike(RECORDING_PATH)).select(
+        F.regexp_extract("path", RECORDING_PATH, 1).alias("folder"),
+        F.regexp_extract("path", RECORDING_PATH, 2).alias("session_id"),
+        F.regexp_extract("path", RECORDING_PATH, 3).cast("int").alias("seg"),
+        F.regexp_extract("path", RECORDING_PATH, 4).alias("suffix"),
+        F.col("path").alias("video_path"),
+    )
+    log = F.concat(
+        "folder", F.lit("/keylogs/input_"), "session_id", F.format_string("_seg%04d", "seg"), "suffix", F.lit(".msgpack")
+    )
+    expected = named.withColumn("keylog_path", log).drop("folder")
+    return expected.join(keylogs.select(F.col("path").alias("keylog_path")), "keylog_path", "left_semi")
 
 
 def find_recordings(spark: SparkSession, root: str) -> DataFrame:
