@@ -46,33 +46,31 @@ _SESSION = "substr(md5(cast(user_id as varchar)), 1, 8) || '-' || substr(md5(cas
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A listing of videos and logs: one segment per (user, k), some without partner."""
+    """A listing of videos and logs: one segment per event, some names wrong, some logs absent."""
     rows = I.events(spark, sf_dir)
-    digest = F.md5(F.col("user_id").cast("string"))
-    session = F.concat(F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4))
+    k = F.col("k")
+    session = F.format_string("%08x-%04x", "user_id", "k")
     folder = F.concat(F.lit("/data/u"), (F.col("user_id") % 7).cast("string"))
-    suffix = F.when(F.col("k") % 5 == 0, "_filtered").otherwise("")
+    suffix = F.when(k % 5 == 0, "_filtered").otherwise("")
+    seg = F.format_string("%04d", "event_id")
     video = F.concat(
-        folder, F.lit("/recordings/"), F.when(F.col("k") % 17 == 0, "x").otherwise(""), F.lit("recording_"),
-        session, F.lit("_seg"), F.format_string("%04d", "k"), suffix, F.lit(".mp4"),
+        folder, F.lit("/recordings/"), F.when(k % 17 == 0, "x").otherwise(""), F.lit("recording_"),
+        session, F.lit("_seg"), F.when(k % 11 == 0, "0").otherwise(""), seg, suffix, F.lit(".mp4"),
     )
     log = F.concat(
         folder, F.lit("/keylogs/input_"), session, F.lit("_seg"),
-        F.when(F.col("k") % 13 == 0, F.col("k").cast("string")).otherwise(F.format_string("%04d", "k")),
-        suffix, F.lit(".msgpack"),
+        F.when(k % 13 == 0, F.col("event_id").cast("string")).otherwise(seg), suffix, F.lit(".msgpack"),
     )
-    videos = rows.select(video.alias("path")).distinct()
-    logs = rows.where("event_id % 3 <> 0").select(log.alias("path")).distinct()
-    return videos, logs
+    return rows.select(video.alias("path")), rows.where("event_id % 3 <> 0").select(log.alias("path"))
 
 
-_PAIRS = f"""
-select session_id, cast(k as int) as seg, suffix,
- folder || '/recordings/recording_' || session_id || '_seg' || printf('%04d', k) || suffix || '.mp4' as video_path,
- folder || '/keylogs/input_' || session_id || '_seg' || printf('%04d', k) || suffix || '.msgpack' as keylog_path
-from (select distinct {_SESSION} as session_id, '/data/u' || (user_id % 7) as folder, k,
+_PAIRS = """
+select session_id, cast(event_id as int) as seg, suffix,
+ folder || '/recordings/recording_' || session_id || '_seg' || case when k % 11 = 0 then '0' else '' end || printf('%04d', event_id) || suffix || '.mp4' as video_path,
+ folder || '/keylogs/input_' || session_id || '_seg' || printf('%04d', event_id) || suffix || '.msgpack' as keylog_path
+from (select *, printf('%08x-%04x', user_id, k) as session_id, '/data/u' || (user_id % 7) as folder,
        case when k % 5 = 0 then '_filtered' else '' end as suffix
-      from ev where event_id % 3 <> 0 and k % 17 <> 0 and k % 13 <> 0)"""
+      from ev where event_id % 3 <> 0 and k % 17 <> 0 and (k % 13 <> 0 or event_id > 999))"""
 
 
 @query("src_pair_recordings", _PAIRS)

@@ -90,8 +90,8 @@ ACTION_TYPE_PRESETS = {
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    pairs = [F.lit(item) for pair in table.items() for item in pair]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(f"'{raw}', '{name}'" for raw, name in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def normalize_key(raw: Column) -> Column:

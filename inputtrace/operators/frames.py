@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A channel below this is dark; this share of dark pixels makes a frame black.
 DARK = 15
 BLACK_THRESHOLD = 0.95
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _dark_share(data: pd.Series, channels: pd.Series) -> pd.Series:
     """Share of pixels whose channels are all dark; pixels are dense bytes of n channels."""
 

@@ -149,23 +149,31 @@ def instant_seq(ts_us: Column, ord_: Column) -> Column:
     )
 
 
-def explode_spans(spans: DataFrame, num_frames: int | str | None = None) -> DataFrame:
-    """One KeyPress per frame of a key span; a span inside one frame still counts there."""
+def span_actions(spans: DataFrame, num_frames: int | str | None = None) -> DataFrame:
+    """The actions of all spans in one pass: a KeyPress per held frame, a MouseClick per press.
+
+    A key span inside one frame still counts there, and none runs past ``num_frames``. A
+    dragged button is one click, at its first frame.
+    """
     last = F.greatest("end_frame", F.col("start_frame") + 1) - 1
     if num_frames is not None:
         last = F.least(last, _int(num_frames) - 1)
-    frames = F.explode(F.sequence("start_frame", last))
-    return spans.where(F.col("device") == "key").select(
-        "recording_id", frames.alias("frame_idx"), F.lit("KeyPress").alias("type"), "details", "seq"
+    is_key = F.col("device") == "key"
+    last = F.when(is_key, last).otherwise(F.col("start_frame"))
+    return spans.select(
+        "recording_id",
+        F.explode(F.sequence("start_frame", last)).alias("frame_idx"),
+        F.when(is_key, "KeyPress").otherwise("MouseClick").alias("type"),
+        "details",
+        "seq",
     )
 
 
+def explode_spans(spans: DataFrame, num_frames: int | str | None = None) -> DataFrame:
+    """One KeyPress per frame of each key span."""
+    return span_actions(spans.where(F.col("device") == "key"), num_frames)
+
+
 def clicks(spans: DataFrame) -> DataFrame:
     """One MouseClick per button span, at its first frame."""
-    return spans.where(F.col("device") == "button").select(
-        "recording_id",
-        F.col("start_frame").alias("frame_idx"),
-        F.lit("MouseClick").alias("type"),
-        "details",
-        "seq",
-    )
+    return span_actions(spans.where(F.col("device") == "button"))

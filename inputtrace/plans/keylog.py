@@ -36,9 +36,10 @@ def parse_keylog(
     """
     types = names.selected_types(action_types)
     held = framed_spans(log, fps, num_frames, hot_rows)
-    out = spans.explode_spans(held, num_frames)
     if "MouseClick" in types:
-        out = out.unionByName(spans.clicks(held))
+        out = spans.span_actions(held, num_frames)
+    else:
+        out = spans.explode_spans(held, num_frames)
     if "MouseScroll" in types:
         moved = gestures.scroll_per_frame(spans.in_frames(log, fps, num_frames))
         # A frame starts one gesture at most, so gestures need no order among themselves.
@@ -65,11 +66,7 @@ def gt_actions(log: DataFrame, fps: int | str = 2, hot_rows: int = HOT_ROWS) ->
         names.scroll_direction(F.col("dy")).alias("details"),
         spans.instant_seq(F.col("ts_us"), F.col("ord")).alias("seq"),
     )
-    out = (
-        spans.explode_spans(held)
-        .unionByName(spans.clicks(held))
-        .unionByName(scrolled.where(F.col("details").isNotNull()))
-    )
+    out = spans.span_actions(held).unionByName(scrolled.where(F.col("details").isNotNull()))
     return out.select(
         "recording_id",
         F.col("frame_idx").alias("frame"),

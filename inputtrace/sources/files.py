@@ -13,7 +13,7 @@ FRAME_NAME = r"F(\d+)\.\w+$"
 
 
 def list_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """Paths under a folder; contents are not read."""
+    """Paths under a folder, of files that are not empty; contents are not read."""
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
