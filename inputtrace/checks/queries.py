@@ -15,7 +15,7 @@ from ..operators import gestures, matching, reports, sampling, scoring, spans, t
 from ..operators.predictions import filter_predictions
 from ..operators.scan import split_hot
 from ..plans import examples
-from ..plans.keylog import framed_spans, gt_actions, parse_keylog
+from ..plans.keylog import framed_spans, gt_actions, merging_rows, parse_keylog
 from ..session import scratch_path, tune
 from ..sources import files, keylog
 from . import inputs as I
@@ -126,9 +126,7 @@ def _entries(spark, sf_dir) -> DataFrame:
     "select ord % 97 as kind, count(*) as n from keylog where ord % 97 in (1, 2, 3, 4) group by 1",
 )
 def _(spark, sf_dir):
-    good = keylog.parse_entries(_entries(spark, sf_dir)).select("ord", F.lit(True).alias("good"))
-    every = _entries(spark, sf_dir).join(good, "ord", "left")
-    _, bad = files.split_corrupt(every, F.col("good"))
+    _, bad = files.split_corrupt(keylog.type_entries(_entries(spark, sf_dir)), F.col("valid"))
     return bad.groupBy((F.col("ord") % 97).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -692,7 +690,8 @@ def _(spark, sf_dir):
 
 @query("coalesce_gt", "select recording_id, frame, type, detail from gt_merged")
 def _(spark, sf_dir):
-    return gestures.coalesce_gt(_truth(spark, sf_dir), REC).drop("seq")
+    counted = merging_rows(I.truth_log(spark, sf_dir), I.FPS)
+    return gestures.coalesce_gt(_truth(spark, sf_dir), REC, counted=counted).drop("seq")
 
 
 BLACK = 0.45
@@ -869,7 +868,9 @@ select tolerance, coalesced as coalesce, gt_count, pred_count, tp, fp, fn, {O._p
   union all select tolerance, coalesced, 0, 0, 1 from s_matched) group by 1, 2)""",
 )
 def _(spark, sf_dir):
-    return scoring.rescore_sweep(_truth(spark, sf_dir), _scored(spark, sf_dir), REC, [0, 1, 2, 5])
+    counted = merging_rows(I.truth_log(spark, sf_dir), I.FPS)
+    truth, said = _truth(spark, sf_dir), _scored(spark, sf_dir)
+    return scoring.rescore_sweep(truth, said, REC, [0, 1, 2, 5], counted=counted)
 
 
 @query(

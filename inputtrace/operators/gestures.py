@@ -71,15 +71,16 @@ def coalesce_repeats(
     details: str = "details",
     order: tuple[str, str] = ("pos", "pos"),
     hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Merge scrolls, and clicks, that repeat within ``gap`` frames; the first stays.
 
     Scrolls are compared with scrolls and clicks with clicks; other actions neither merge nor
     separate. ``order`` names what orders the actions of one frame, and a number that never
-    decreases along it.
+    decreases along it. ``counted`` as in ``split_hot``.
     """
     merging = F.col("type").isin("MouseScroll", "MouseClick")
-    sliced = split_hot(actions.where(merging), [*group, "type"], frame, order[1], hot_rows)
+    sliced = split_hot(actions.where(merging), [*group, "type"], frame, order[1], hot_rows, counted)
     here = F.struct(F.col(frame).alias("frame"), F.col(details).alias("details"))
     scanned = carry(sliced, [*group, "type"], [frame, order[0]], {"_prev": here}, dense=True)
     repeats = _repeats(F.col("_prev"), frame, details, gap)
@@ -93,8 +94,14 @@ def _repeats(prev: Column, frame: str, details: str, gap: int) -> Column:
     return F.coalesce(near & prev["details"].eqNullSafe(F.col(details)), F.lit(False))
 
 
-def coalesce_gt(truth: DataFrame, group: list[str], gap: int = 1, hot_rows: int = HOT_ROWS) -> DataFrame:
+def coalesce_gt(
+    truth: DataFrame,
+    group: list[str],
+    gap: int = 1,
+    hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
+) -> DataFrame:
     """The same on scoring actions; scrolls without direction vanish after merging."""
-    merged = coalesce_repeats(truth, group, "frame", gap, "detail", ("seq", "seq.ts_us"), hot_rows)
+    merged = coalesce_repeats(truth, group, "frame", gap, "detail", ("seq", "seq.ts_us"), hot_rows, counted)
     aimless = (F.col("type") == "MouseScroll") & (F.coalesce("detail", F.lit("")) == "")
     return merged.where(~aimless)

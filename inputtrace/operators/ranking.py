@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import hash32
 from ..session import shared_dir
 
-BUCKETS = 4096
+BUCKETS = 65_536
 BUCKET_WIDTH = 2**32 // BUCKETS
 
 

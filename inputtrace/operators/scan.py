@@ -56,7 +56,9 @@ def split_hot(
         (F.col("_top") + 1).alias("_top"),
         (F.ceil(F.col("_rows") / limit) * FINENESS).alias("_parts"),
     )
-    place = (F.col(major) - F.col("_lo")) + F.col(minor) / F.col("_top")
+    # The fraction stays below 1 also for values above those counted.
+    fraction = F.least(F.col(minor), F.col("_top") - 1) / F.col("_top")
+    place = (F.col(major) - F.col("_lo")) + fraction
     number = F.floor(place * F.col("_parts") / F.col("_width"))
     return (
         df.join(F.broadcast(hot), group, "left")
@@ -69,53 +71,50 @@ def carry(
     df: DataFrame,
     group: list[str],
     order: list[str],
-    values: dict[str, Column],
-    ahead: bool = False,
+    before: dict[str, Column] | None = None,
+    after: dict[str, Column] | None = None,
     dense: bool = False,
 ) -> DataFrame:
-    """Add, per value, the last non-null one before each row (``ahead``: the first after it).
+    """Add the last value that is not null ``before`` each row, and the first one ``after`` it.
 
-    ``dense`` states that the values are never null, so the neighbouring row decides.
+    Both map new column names to values. ``dense`` states that no value is ever null, so that
+    the neighbouring row decides and one sort serves both directions.
     """
+    before, after = before or {}, after or {}
+    values = {**before, **after}
     sliced = SLICE in df.columns
     keys = [*group, SLICE] if sliced else group
 
-    def local() -> dict[str, Column]:
-        if dense:
-            window = Window.partitionBy(*keys).orderBy(*order)
-            step = F.lead if ahead else F.lag
-            return {name: step(value).over(window) for name, value in values.items()}
-        direction = [F.col(c).desc() for c in order] if ahead else order
-        window = (
-            Window.partitionBy(*keys)
-            .orderBy(*direction)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        return {name: F.last(value, True).over(window) for name, value in values.items()}
+    def last_before(window, ordering):
+        return window.orderBy(*ordering).rowsBetween(Window.unboundedPreceding, -1)
 
+    backwards = [F.col(c).desc() for c in order]
+    rows = Window.partitionBy(*keys)
+    if dense:
+        local = {name: F.lag(v).over(rows.orderBy(*order)) for name, v in before.items()}
+        local.update({name: F.lead(v).over(rows.orderBy(*order)) for name, v in after.items()})
+    else:
+        local = {name: F.last(v, True).over(last_before(rows, order)) for name, v in before.items()}
+        local.update({name: F.last(v, True).over(last_before(rows, backwards)) for name, v in after.items()})
     if not sliced:
-        return df.withColumns(local())
+        return df.withColumns(local)
 
-    pick = F.min_by if ahead else F.max_by
+    # One row per slice of the cut groups: what it passes on at its end and at its start.
+    place = F.struct(*order)
+    passed = {name: F.max_by(v, F.when(v.isNotNull(), place)) for name, v in before.items()}
+    passed.update({name: F.min_by(v, F.when(v.isNotNull(), place)) for name, v in after.items()})
     ends = (
         df.where(F.col(SLICE).isNotNull())
         .groupBy(*keys)
-        .agg(
-            *[
-                pick(value, F.when(value.isNotNull(), F.struct(*order))).alias(f"_end_{name}")
-                for name, value in values.items()
-            ]
-        )
-    )
-    along = (
-        Window.partitionBy(*group)
-        .orderBy(F.col(SLICE).desc() if ahead else F.col(SLICE))
-        .rowsBetween(Window.unboundedPreceding, -1)
+        .agg(*[v.alias(f"_end_{name}") for name, v in passed.items()])
     )
+    along = Window.partitionBy(*group)
+    forth, back = last_before(along, [SLICE]), last_before(along, [F.col(SLICE).desc()])
     handed = ends.select(
-        *keys, *[F.last(f"_end_{name}", True).over(along).alias(f"_in_{name}") for name in values]
+        *keys,
+        *[F.last(f"_end_{name}", True).over(forth if name in before else back).alias(f"_in_{name}") for name in values],
+    )
+    joined = df.withColumns(local).join(handed, keys, "left")
+    return joined.withColumns({name: F.coalesce(F.col(name), F.col(f"_in_{name}")) for name in values}).drop(
+        *[f"_in_{name}" for name in values]
     )
-    joined = df.withColumns(local()).join(handed, keys, "left")
-    return joined.withColumns(
-        {name: F.coalesce(F.col(name), F.col(f"_in_{name}")) for name in values}
-    ).drop(*[f"_in_{name}" for name in values])

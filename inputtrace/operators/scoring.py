@@ -59,14 +59,19 @@ def macro(per_clip: DataFrame) -> DataFrame:
 
 
 def rescore_sweep(
-    truth: DataFrame, preds: DataFrame, clip: list[str], tolerances: list[int], hot_rows: int = HOT_ROWS
+    truth: DataFrame,
+    preds: DataFrame,
+    clip: list[str],
+    tolerances: list[int],
+    hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Overall counts and scores for every tolerance, with and without coalesced truth.
 
-    ``truth`` needs ``seq``. All settings share one matching job.
+    ``truth`` needs ``seq``. All settings share one matching job. ``counted`` as in ``split_hot``.
     """
     merging = truth.where(F.col("type").isin("MouseScroll", "MouseClick"))
-    merged = coalesce_gt(merging, clip, hot_rows=hot_rows)
+    merged = coalesce_gt(merging, clip, hot_rows=hot_rows, counted=counted)
     solved = match_settings(truth, merged, preds, clip, tolerances)
     return with_prf(outcome_counts(solved, ["tolerance", "coalesce"]))
 

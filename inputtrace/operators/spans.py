@@ -61,21 +61,20 @@ def state_rows(log: DataFrame) -> DataFrame:
 def held_before(rows: DataFrame, modifiers=names.MODIFIERS) -> DataFrame:
     """Which modifiers are held before each row: ``held_cmd`` and so on, and its ``epoch``.
 
-    The epoch is the ``ord`` of the context release before the row, -1 before the first one.
+    The epoch is the ``ord`` of the context release before the row, -1 before the first one;
+    ``epoch_end`` is the place of the next one.
     """
-    values = {
+    flags = {
         f"held_{m.lower()}": F.when(F.col("releases_all"), F.lit(False)).when(
             F.col("key") == m, F.col("pressed")
         )
         for m in modifiers
     }
-    values["epoch"] = F.when(F.col("releases_all"), F.col("ord"))
-    scanned = carry(rows, ["recording_id"], ORDER, values)
-    defaults = {
-        name: F.coalesce(F.col(name), F.lit(-1) if name == "epoch" else F.lit(False))
-        for name in values
-    }
-    return scanned.withColumns(defaults)
+    epoch = F.when(F.col("releases_all"), F.col("ord"))
+    ends_at = F.when(F.col("releases_all"), F.struct("frame", "ts_us", "ord"))
+    scanned = carry(rows, ["recording_id"], ORDER, {**flags, "epoch": epoch}, {"epoch_end": ends_at})
+    defaults = {name: F.coalesce(F.col(name), F.lit(False)) for name in flags}
+    return scanned.withColumns({**defaults, "epoch": F.coalesce("epoch", F.lit(-1))})
 
 
 def hold_spans(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -87,10 +86,6 @@ def hold_spans(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     ``keep`` names further columns of the press to pass on.
     """
     scanned = held_before(rows, names.SHOWN_MODIFIERS)
-    here = F.struct("frame", "ts_us", "ord")
-    ends_at = F.when(F.col("releases_all"), here)
-    scanned = carry(scanned, ["recording_id"], ORDER, {"epoch_end": ends_at}, ahead=True)
-
     held = {m: F.col(f"held_{m.lower()}") for m in names.SHOWN_MODIFIERS}
     is_key = F.col("key").isNotNull()
     devices = scanned.where(~F.col("releases_all")).where(
@@ -105,11 +100,14 @@ def hold_spans(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
             ),
         }
     )
+    # Within an epoch presses and releases of a key alternate once repeats are left out, so a
+    # span ends at its neighbour, or else with the epoch.
     group = ["recording_id", "epoch", "device", "name"]
     before = carry(devices, group, ORDER, {"was_pressed": F.col("pressed")}, dense=True)
     was_pressed = F.coalesce(F.col("was_pressed"), F.lit(False))
     turns = before.where(F.col("pressed") != was_pressed)
-    ended = carry(turns, group, ORDER, {"release": here}, ahead=True, dense=True)
+    here = F.struct("frame", "ts_us", "ord")
+    ended = carry(turns, group, ORDER, after={"release": here}, dense=True)
     end = F.coalesce("release", "epoch_end")
     seq = F.struct(
         F.coalesce(end["ts_us"], F.lit(NEVER)).alias("ts_us"),

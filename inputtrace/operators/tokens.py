@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed value: the label of positions that do not count.
@@ -48,11 +48,10 @@ def _padded(values: Column, width: Column, fill: int) -> Column:
 def collate_batch(examples: DataFrame, pad_id: int = 0, modality: str | None = None) -> DataFrame:
     """Pad ``ids`` and ``labels`` to the longest of their ``batch_id`` and add the mask.
 
-    The width of a batch is aggregated first and joined back, so no batch's rows are gathered.
-    ``modality`` names a further sequence to pad with 0.
+    A batch has a fixed number of rows, so its window is bounded. ``modality`` names a further
+    sequence to pad with 0.
     """
-    widths = examples.groupBy("batch_id").agg(F.max(F.size("ids")).alias("_width"))
-    joined = examples.join(widths, "batch_id")
+    widest = F.max(F.size("ids")).over(Window.partitionBy("batch_id"))
     width = F.col("_width")
     columns = {
         "attention_mask": _padded(F.transform("ids", lambda _: F.lit(1)), width, 0),
@@ -61,4 +60,4 @@ def collate_batch(examples: DataFrame, pad_id: int = 0, modality: str | None = N
     }
     if modality:
         columns[modality] = _padded(F.col(modality), width, 0)
-    return joined.withColumns(columns).drop("_width")
+    return examples.withColumn("_width", widest).withColumns(columns).drop("_width")

@@ -74,3 +74,12 @@ def gt_actions(log: DataFrame, fps: int | str = 2, hot_rows: int = HOT_ROWS) ->
         F.col("details").alias("detail"),
         "seq",
     )
+
+
+def merging_rows(log: DataFrame, fps: int | str = 2) -> DataFrame:
+    """The log rows that truth scrolls and clicks come from, to count them without the state."""
+    etype = F.col("etype")
+    kind = F.when(etype == "MouseScroll", "MouseScroll").when(etype == "MousePress", "MouseClick")
+    rows = spans.in_rounded_frames(log, fps).withColumn("type", kind)
+    seq = spans.instant_seq(F.col("ts_us"), F.col("ord"))
+    return rows.where(F.col("type").isNotNull()).select("recording_id", "type", "frame", seq.alias("seq"))

@@ -24,7 +24,12 @@ def whole_number(text: Column) -> Column:
 
 
 def parse_entries(entries: DataFrame) -> DataFrame:
-    """Typed columns from one JSON entry per row (column ``entry``); invalid entries vanish.
+    """Typed columns from one JSON entry per row (column ``entry``); invalid entries vanish."""
+    return type_entries(entries).where("valid").drop("entry", "valid")
+
+
+def type_entries(entries: DataFrame) -> DataFrame:
+    """Typed columns beside every entry, and whether it is ``valid``.
 
     Valid are lists of two or more whose first element is a time and whose second is a list
     that is not empty.
@@ -47,8 +52,8 @@ def parse_entries(entries: DataFrame) -> DataFrame:
             "uncaptured": F.coalesce(F.array_contains(payload, "UNCAPTURED"), F.lit(False)),
         }
     )
-    valid = F.col("ts_us").isNotNull() & (F.size("_event") >= 1)
-    return parsed.where(valid).drop("entry", "_entry", "_event", "_payload")
+    valid = F.col("ts_us").isNotNull() & F.coalesce(F.size("_event") >= 1, F.lit(False))
+    return parsed.withColumn("valid", valid).drop("_entry", "_event", "_payload")
 
 
 def entries_of(logs: DataFrame, column: str = "entries") -> DataFrame:
