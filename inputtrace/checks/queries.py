@@ -126,7 +126,7 @@ def _entries(spark, sf_dir) -> DataFrame:
     "select ord % 97 as kind, count(*) as n from keylog where ord % 97 in (1, 2, 3, 4) group by 1",
 )
 def _(spark, sf_dir):
-    _, bad = files.split_corrupt(keylog.type_entries(_entries(spark, sf_dir)), F.col("valid"))
+    bad = keylog.corrupt_entries(_entries(spark, sf_dir))
     return bad.groupBy((F.col("ord") % 97).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 

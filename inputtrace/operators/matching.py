@@ -29,20 +29,21 @@ def _counts(truth: DataFrame, preds: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _within(counts: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
-    """Add ``near``: the predictions within the tolerance of each frame."""
-    window = Window.partitionBy(*keys).orderBy("frame").rangeBetween(-tolerance, tolerance)
-    here = F.struct(
-        F.col("frame").cast("bigint").alias("id"), F.col("frame").alias("pred_frame"), F.col("p")
-    )
-    return counts.withColumn("near", F.collect_list(F.when(F.col("p") > 0, here)).over(window))
-
+    """Add ``near``, the predictions within the tolerance of each frame, and ``stretch``.
 
-def _stretch(counts: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
-    """Number the stretches of a problem that cannot influence each other."""
+    A frame has one row, so what is in reach lies at most ``tolerance`` rows away. Stretches
+    number the parts of a problem that cannot influence each other.
+    """
     window = Window.partitionBy(*keys).orderBy("frame")
-    gap = F.col("frame") - F.lag("frame").over(window) > tolerance
-    flagged = counts.withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("int"))
-    return flagged.withColumn("stretch", F.sum("_gap").over(window)).drop("_gap")
+    frame, p = F.col("frame"), F.col("p")
+    here = F.when(
+        p > 0, F.struct(frame.cast("bigint").alias("id"), frame.alias("pred_frame"), p.alias("p"))
+    )
+    beside = [F.lag(here, i).over(window) for i in range(tolerance, 0, -1)]
+    beside += [here] + [F.lead(here, i).over(window) for i in range(1, tolerance + 1)]
+    gap = frame - F.lag("frame").over(window) > tolerance
+    placed = counts.withColumns({"near": F.array_compact(F.array(*beside)), "_gap": F.coalesce(gap, F.lit(False)).cast("int")})
+    return placed.withColumn("stretch", F.sum("_gap").over(window)).drop("_gap")
 
 
 def _ranked(frame: Column, near: Column, limit: Column) -> Column:
@@ -130,11 +131,12 @@ def _picks(entries: Column, reach: int | None) -> Column:
 
 def _solve(near: DataFrame, keys: list[str], limit: Column, reach: int) -> DataFrame:
     """Per stretch of a problem: ``frames`` with their counts, and the ``picks`` made there."""
-    asks = (F.col("g") > 0) & (F.size("near") > 0)
-    entry = F.struct("frame", "g", _ranked(F.col("frame"), F.col("near"), limit).alias("cands"))
+    cands = _ranked(F.col("frame"), F.col("near"), limit)
+    near = near.withColumn("cands", F.when(F.col("g") > 0, cands))
+    entry = F.when(F.size("cands") > 0, F.struct("frame", "g", "cands"))
     stretches = near.groupBy(*keys, "stretch").agg(
         F.collect_list(F.struct("frame", "g", "p")).alias("frames"),
-        F.array_sort(F.collect_list(F.when(asks, entry))).alias("entries"),
+        F.array_sort(F.collect_list(entry)).alias("entries"),
     )
     return stretches.withColumn("picks", _picks(F.col("entries"), reach)).drop("entries", "stretch")
 
@@ -144,7 +146,7 @@ def match_frames(
 ) -> DataFrame:
     """Matching of actions ordered by frame, solved: clip, type, detail, ``frames``, ``picks``."""
     keys = [*clip, "type", "detail"]
-    near = _stretch(_within(_counts(truth, preds, keys), keys, tolerance), keys, tolerance)
+    near = _within(_counts(truth, preds, keys), keys, tolerance)
     return _solve(near, keys, F.lit(tolerance), tolerance)
 
 
@@ -175,7 +177,7 @@ def match_settings(
     )
     counts = every.groupBy(*keys, "frame").agg(*[F.sum(c).alias(c) for c in ("plain", "merged", "p")])
     widest = max(tolerances)
-    near = _stretch(_within(counts, keys, widest), keys, widest)
+    near = _within(counts, keys, widest)
     settings = [
         F.struct(F.lit(t).alias("tolerance"), F.lit(m).alias("coalesce"))
         for t in tolerances
@@ -287,10 +289,13 @@ def candidate_counts(truth: DataFrame, preds: DataFrame, clip: list[str], tolera
     """
     keys = [*clip, "type", "detail"]
     near = _within(_counts(truth, preds, keys), keys, tolerance).where("g > 0")
-    nearest = F.array_min(F.transform("near", lambda c: F.abs(c["pred_frame"] - F.col("frame"))))
-    total = F.aggregate("near", F.lit(0).cast("bigint"), lambda n, c: n + c["p"])
-    return near.select(
-        *keys, "frame", F.col("g").alias("n_truth"), total.alias("n_candidates"), nearest.alias("nearest")
+    reached = near.withColumn("cands", _ranked(F.col("frame"), F.col("near"), F.lit(tolerance)))
+    return reached.select(
+        *keys,
+        "frame",
+        F.col("g").alias("n_truth"),
+        _total("cands", "p").alias("n_candidates"),
+        F.get("cands", F.lit(0))["d"].alias("nearest"),
     )
 
 

@@ -156,9 +156,3 @@ def write_summary(scores: DataFrame, path: str) -> None:
 def write_metadata(row: DataFrame, path: str) -> None:
     """A one-row table as one JSON file."""
     row.coalesce(1).write.mode("errorifexists").json(path)
-
-
-def split_corrupt(rows: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and the bad ones to keep aside."""
-    ok = F.coalesce(valid, F.lit(False))
-    return rows.where(ok), rows.where(~ok)

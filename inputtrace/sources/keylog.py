@@ -13,47 +13,54 @@ from pyspark.sql import functions as F
 from ..functions.names import payload_button, payload_key
 from ..functions.text import json_list
 
-LOG_COLUMNS = ["ts_us", "etype", "raw_key", "button", "dx", "dy", "uncaptured"]
 
+def _typed(entry: Column) -> Column:
+    """The parsed entry as a struct, inside an array that binds each step once."""
 
-def whole_number(text: Column) -> Column:
-    """A time as a whole number, fractions cut off; null where it is none."""
-    number = F.when(text.rlike(r"^-?\d*\.\d*([eE][+-]?\d+)?$|^-?\d+[eE][+-]?\d+$"), text)
-    truth = F.when(text == "true", 1).when(text == "false", 0)
-    return F.coalesce(text.try_cast("bigint"), number.try_cast("double").try_cast("bigint"), truth)
+    def at(v: Column, path: str, data_type: str = "string") -> Column:
+        return F.try_variant_get(v, path, data_type)
 
+    def head(v: Column) -> Column:
+        time, etype = at(v, "$[0]", "bigint"), at(v, "$[1][0]")
+        return F.struct(v.alias("v"), time.alias("ts_us"), etype.alias("etype"))
 
-def parse_entries(entries: DataFrame) -> DataFrame:
-    """Typed columns from one JSON entry per row (column ``entry``); invalid entries vanish."""
-    return type_entries(entries).where("valid").drop("entry", "valid")
+    def typed(e: Column) -> Column:
+        v, etype = e["v"], e["etype"]
+        payload = F.array(at(v, "$[1][1][0]"), at(v, "$[1][1][1]"))
+        dx, dy = at(v, "$[1][1][0]", "double"), at(v, "$[1][1][1]", "double")
+        words = F.when(etype == "ContextChanged", at(v, "$[1][1]", "array<string>"))
+        # Movement that is not a pair of numbers counts as none.
+        moves = (etype == "MouseScroll") & dx.isNotNull() & dy.isNotNull()
+        return F.struct(
+            e["ts_us"].alias("ts_us"),
+            etype.alias("etype"),
+            F.when(etype.isin("KeyPress", "KeyRelease"), payload_key(payload)).alias("raw_key"),
+            F.when(etype.isin("MousePress", "MouseRelease"), payload_button(payload)).alias("button"),
+            F.when(moves, dx).otherwise(F.lit(0.0)).alias("dx"),
+            F.when(moves, dy).otherwise(F.lit(0.0)).alias("dy"),
+            F.coalesce(F.array_contains(words, "UNCAPTURED"), F.lit(False)).alias("uncaptured"),
+        )
+
+    return F.transform(F.transform(F.array(F.try_parse_json(entry)), head), typed)
+
+
+def _valid(typed: Column) -> Column:
+    return typed["ts_us"].isNotNull() & typed["etype"].isNotNull()
 
 
-def type_entries(entries: DataFrame) -> DataFrame:
-    """Typed columns beside every entry, and whether it is ``valid``.
+def parse_entries(entries: DataFrame) -> DataFrame:
+    """Typed columns from one JSON entry per row (column ``entry``); invalid entries vanish.
 
-    Valid are lists of two or more whose first element is a time and whose second is a list
-    that is not empty.
+    Valid are lists of two or more whose first element is a time (fractions are cut off) and
+    whose second is a list that is not empty.
     """
-    outer = entries.withColumn("_entry", json_list(F.col("entry")))
-    outer = outer.withColumn("_event", json_list(F.get("_entry", F.lit(1))))
-    outer = outer.withColumn("_payload", json_list(F.get("_event", F.lit(1))))
-    payload = F.col("_payload")
-    deltas = [F.get(payload, F.lit(i)).try_cast("double") for i in (0, 1)]
-    etype = F.get("_event", F.lit(0))
-    scrolls = (etype == "MouseScroll") & deltas[0].isNotNull() & deltas[1].isNotNull()
-    parsed = outer.withColumns(
-        {
-            "ts_us": whole_number(F.get("_entry", F.lit(0))),
-            "etype": etype,
-            "raw_key": F.when(etype.isin("KeyPress", "KeyRelease"), payload_key(payload)),
-            "button": F.when(etype.isin("MousePress", "MouseRelease"), payload_button(payload)),
-            "dx": F.when(scrolls, deltas[0]).otherwise(F.lit(0.0)),
-            "dy": F.when(scrolls, deltas[1]).otherwise(F.lit(0.0)),
-            "uncaptured": F.coalesce(F.array_contains(payload, "UNCAPTURED"), F.lit(False)),
-        }
-    )
-    valid = F.col("ts_us").isNotNull() & F.coalesce(F.size("_event") >= 1, F.lit(False))
-    return parsed.withColumn("valid", valid).drop("_entry", "_event", "_payload")
+    kept = [c for c in entries.columns if c != "entry"]
+    return entries.select(*kept, F.inline(F.filter(_typed(F.col("entry")), _valid)))
+
+
+def corrupt_entries(entries: DataFrame) -> DataFrame:
+    """The entries that ``parse_entries`` drops, as they are."""
+    return entries.where(~F.exists(_typed(F.col("entry")), _valid))
 
 
 def entries_of(logs: DataFrame, column: str = "entries") -> DataFrame:
