@@ -77,10 +77,13 @@ def keep_existing_clips(clips: DataFrame, frames: DataFrame, key: list[str]) ->
     return clips.join(frames.select(*key), key, "left_semi")
 
 
-def nest_actions(clips: DataFrame, actions: DataFrame, clip: list[str] = CLIP) -> DataFrame:
-    """Clip rows with their actions as an array in frame order, ``pos`` deciding ties."""
-    order = F.struct(fn.frame_of_label(F.col("frame")).alias("f"), "pos", "frame", "type", "details")
-    listed = actions.groupBy(*clip).agg(F.array_sort(F.collect_list(order)).alias("_listed"))
+def nest_actions(
+    clips: DataFrame, actions: DataFrame, clip: list[str] = CLIP, order: tuple[str, ...] = ("pos",)
+) -> DataFrame:
+    """Clip rows with their actions as an array in frame order, ``order`` deciding ties."""
+    ties = [F.col(c).alias(f"o{i}") for i, c in enumerate(order)]
+    placed = F.struct(fn.frame_of_label(F.col("frame")).alias("f"), *ties, "frame", "type", "details")
+    listed = actions.groupBy(*clip).agg(F.array_sort(F.collect_list(placed)).alias("_listed"))
     bare = F.transform("_listed", lambda a: F.struct(a["frame"], a["type"], a["details"]))
     empty = F.array().cast("array<struct<frame:string,type:string,details:string>>")
     joined = clips.join(listed, clip, "left")
