@@ -55,3 +55,28 @@ def test_score_results(spark, tmp_path):
     assert plain["type", None, "MouseScroll"] == (1, 0, 1)
     merged = {(r.level, r.clip_index, r.type): (r.tp, r.fp, r.fn) for r in score_results(results, coalesce=True).collect()}
     assert merged["overall", None, None] == (2, 1, 0)
+
+
+def test_index_plans(spark):
+    import random
+
+    from inputtrace.operators.reports import coalesce_report
+    from inputtrace.plans.index import coalesce_index, drop_empty, subsample_index
+
+    rnd = random.Random(8)
+    kinds = [("MouseScroll", "up"), ("MouseScroll", "down"), ("MouseClick", "Left"), ("KeyPress", "A")]
+    lists = [[(rnd.randrange(25), *rnd.choice(kinds)) for _ in range(n)] for n in (0, 1, 30, 60)]
+    rows = [(f"c{i}", 25, 5, [(f"F{f:02d}", t, d) for f, t, d in a], "train") for i, a in enumerate(lists)]
+    schema = "clip_id string, num_frames int, fps int, actions array<struct<frame:string,type:string,details:string>>, split string"
+    merged = coalesce_index(spark.createDataFrame(rows, schema))
+    for row in merged.orderBy("clip_id").collect():
+        given = lists[int(row.clip_id[1:])]
+        found = [(int(a.frame[1:]), a.type, a.details) for a in row.actions]
+        assert sorted(found) == simulate.merged(given)
+        rank = {"KeyPress": 0, "MouseScroll": 1, "MouseClick": 2}
+        assert [(f, rank[t]) for f, t, _ in found] == sorted((f, rank[t]) for f, t, _ in found)
+    report = coalesce_report(merged).first()
+    assert (report.clips, report.before, report.empty_clips) == (4, 91, 1)
+    assert drop_empty(merged).count() == 3
+    moved = subsample_index(merged).orderBy("clip_id").collect()[3]
+    assert (moved.num_frames, moved.fps) == (10, 2) and all(int(a.frame[1:]) < 10 for a in moved.actions)
