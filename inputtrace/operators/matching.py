@@ -129,25 +129,30 @@ def _picks(entries: Column, reach: int | None) -> Column:
     return F.aggregate(blocks, _empty_state(), step, lambda state: state["picks"])
 
 
-def _solve(near: DataFrame, keys: list[str], limit: Column, reach: int) -> DataFrame:
-    """Per stretch of a problem: ``frames`` with their counts, and the ``picks`` made there."""
-    cands = _ranked(F.col("frame"), F.col("near"), limit)
-    near = near.withColumn("cands", F.when(F.col("g") > 0, cands))
-    entry = F.when(F.size("cands") > 0, F.struct("frame", "g", "cands"))
-    stretches = near.groupBy(*keys, "stretch").agg(
-        F.collect_list(F.struct("frame", "g", "p")).alias("frames"),
-        F.array_sort(F.collect_list(entry)).alias("entries"),
-    )
-    return stretches.withColumn("picks", _picks(F.col("entries"), reach)).drop("entries", "stretch")
+def _entry(g: Column, cands: Column) -> Column:
+    """A truth frame that has candidates; null for all others."""
+    asks = (g > 0) & (F.size(cands) > 0)
+    return F.when(asks, F.struct(F.col("frame"), g.alias("g"), cands.alias("cands")))
 
 
 def match_frames(
     truth: DataFrame, preds: DataFrame, clip: list[str], tolerance: int = 2
 ) -> DataFrame:
-    """Matching of actions ordered by frame, solved: clip, type, detail, ``frames``, ``picks``."""
+    """Matching of actions ordered by frame, solved per stretch of a (clip, type, detail).
+
+    ``picks`` are the matches made, ``frames`` the counts they were made from.
+    """
     keys = [*clip, "type", "detail"]
     near = _within(_counts(truth, preds, keys), keys, tolerance)
-    return _solve(near, keys, F.lit(tolerance), tolerance)
+    near = near.withColumn("cands", _ranked(F.col("frame"), F.col("near"), F.lit(tolerance)))
+    stretches = near.groupBy(*keys, "stretch").agg(
+        F.sum("g").alias("gt_count"),
+        F.sum("p").alias("pred_count"),
+        F.collect_list(F.struct("frame", "g", "p")).alias("frames"),
+        F.collect_list(_entry(F.col("g"), F.col("cands"))).alias("entries"),
+    )
+    picks = _picks(F.array_sort("entries"), tolerance)
+    return stretches.withColumn("picks", picks).drop("entries", "stretch")
 
 
 def match_settings(
@@ -178,15 +183,31 @@ def match_settings(
     counts = every.groupBy(*keys, "frame").agg(*[F.sum(c).alias(c) for c in ("plain", "merged", "p")])
     widest = max(tolerances)
     near = _within(counts, keys, widest)
-    settings = [
-        F.struct(F.lit(t).alias("tolerance"), F.lit(m).alias("coalesce"))
-        for t in tolerances
-        for m in (True, False)
+    for t in tolerances:
+        near = near.withColumn(f"cands_{t}", _ranked(F.col("frame"), F.col("near"), F.lit(t)))
+    settings = [(t, merged) for t in tolerances for merged in (True, False)]
+
+    def name(t: int, merged: bool) -> str:
+        return f"entries_{t}_{'merged' if merged else 'plain'}"
+
+    lists = [
+        F.collect_list(_entry(F.col("merged" if m else "plain"), F.col(f"cands_{t}"))).alias(name(t, m))
+        for t, m in settings
     ]
-    chosen = near.withColumn("setting", F.explode(F.array(*settings))).select(
-        "setting.*", *near.columns, F.when(F.col("setting.coalesce"), F.col("merged")).otherwise(F.col("plain")).alias("g")
-    )
-    return _solve(chosen, ["tolerance", "coalesce", *keys], F.col("tolerance"), widest)
+    sums = [F.sum(c).alias(c) for c in ("plain", "merged", "p")]
+    stretches = near.groupBy(*keys, "stretch").agg(*sums, *lists)
+    rows = [
+        F.struct(
+            F.lit(t).alias("tolerance"),
+            F.lit(m).alias("coalesce"),
+            F.col("merged" if m else "plain").alias("gt_count"),
+            F.col("p").alias("pred_count"),
+            F.array_sort(name(t, m)).alias("entries"),
+        )
+        for t, m in settings
+    ]
+    chosen = stretches.select(*keys, F.explode(F.array(*rows)).alias("row")).select(*keys, "row.*")
+    return chosen.withColumn("picks", _picks(F.col("entries"), widest)).drop("entries")
 
 
 def match_lists(truth: DataFrame, preds: DataFrame, clip: list[str], tolerance: int = 2) -> DataFrame:
@@ -228,7 +249,13 @@ def match_lists(truth: DataFrame, preds: DataFrame, clip: list[str], tolerance:
         "given", lambda c: F.struct(c["pred_frame"].alias("frame"), zero.alias("g"), c["p"].alias("p"))
     )
     listed = F.transform("asked", lambda e: F.struct(e["frame"].alias("frame"), e["g"].alias("g"), e["p"].alias("p")))
-    return gathered.select(*keys, F.concat(listed, said).alias("frames"), picks.alias("picks"))
+    return gathered.select(
+        *keys,
+        F.concat(listed, said).alias("frames"),
+        picks.alias("picks"),
+        _total("asked", "g").alias("gt_count"),
+        _total("given", "p").alias("pred_count"),
+    )
 
 
 def _total(array: str, field: str) -> Column:
@@ -237,12 +264,7 @@ def _total(array: str, field: str) -> Column:
 
 def outcome_counts(solved: DataFrame, by: list[str]) -> DataFrame:
     """tp, fp, fn and the numbers of truth and predicted actions per ``by``."""
-    counted = solved.select(
-        *by,
-        _total("frames", "g").alias("gt_count"),
-        _total("frames", "p").alias("pred_count"),
-        _total("picks", "n").alias("tp"),
-    )
+    counted = solved.select(*by, "gt_count", "pred_count", _total("picks", "n").alias("tp"))
     sums = counted.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("gt_count", "pred_count", "tp")])
     return sums.withColumns({"fp": F.col("pred_count") - F.col("tp"), "fn": F.col("gt_count") - F.col("tp")})
 
