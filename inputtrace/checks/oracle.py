@@ -9,8 +9,6 @@ from __future__ import annotations
 import re
 
 from ..functions import text
-from ..operators.reports import WHOLE_COLLECTION
-from .inputs import MARKER, RAW_NAMES
 
 SEED = 42
 
