@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from inputtrace.llm.bpe import op6_transducer_bpe
 from inputtrace.llm.exact_dedup import OP5_SQL, op5_digest_index
 from inputtrace.llm.html_text import op7_tree_scoring
 from inputtrace.llm.language_id import op8_rank_order_profiles
@@ -11,7 +12,7 @@ from inputtrace.llm.quality import op9_compression_quality
 QUERIES = {
     f.__name__: f
     for f in (
-        op5_digest_index, op7_tree_scoring, op8_rank_order_profiles, op9_compression_quality, op10_levelled_line_runs,
+        op5_digest_index, op6_transducer_bpe, op7_tree_scoring, op8_rank_order_profiles, op9_compression_quality, op10_levelled_line_runs,
     )
 }
 ORACLES = {"op5_digest_index": OP5_SQL, "op10_levelled_line_runs": OP10_SQL}
