@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from functools import cache, lru_cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,21 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inputtrace.llm.common import carried, numbered, stored, table
-from inputtrace.llm.wordpieces import Encoder, chunks, vocabulary
+from inputtrace.llm.wordpieces import Encoder, byte_symbols, chunks, vocabulary
 from inputtrace.session import scratch_path
 
 LEXICON = 1 << 16  # words compiled
 HELD = 400_000  # distinct words a counting task holds before it hands counts on
 
 
-@cache
-def byte_symbols() -> list[str]:
-    """The character that stands for each byte: itself where it prints, else the next free one from 256."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    odd = [b for b in range(256) if b not in plain]
-    return [chr(b) if b in plain else chr(256 + odd.index(b)) for b in range(256)]
-
-
 class Merger:
     """Exact merging of one word: the pair of lowest rank first, the leftmost among equals."""
 

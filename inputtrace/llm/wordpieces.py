@@ -24,6 +24,24 @@ PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"  # fi
 MEMO = 600_000  # words whose ids a worker remembers
 
 
+@cache
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte: itself where it prints, else the next free one from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    odd = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + odd.index(b)) for b in range(256)]
+
+
+@cache
+def _symbol_table() -> dict[int, str]:
+    return dict(enumerate(byte_symbols()))
+
+
+def as_symbols(piece: str) -> str:
+    """The piece's bytes, each as its symbol."""
+    return piece.encode().decode("latin-1").translate(_symbol_table())
+
+
 class Vocabulary:
     """What the file says, and the pieces of texts."""
 
