@@ -9,11 +9,12 @@ from inputtrace.llm.language_id import op8_rank_order_profiles
 from inputtrace.llm.line_dedup import OP10_SQL, op10_levelled_line_runs
 from inputtrace.llm.quality import op9_compression_quality
 from inputtrace.llm.repair import op2_repair_ids
+from inputtrace.llm.simhash import op4_pivot_simhash
 
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_repair_ids, op5_digest_index, op6_transducer_bpe, op7_tree_scoring, op8_rank_order_profiles, op9_compression_quality, op10_levelled_line_runs,
+        op2_repair_ids, op4_pivot_simhash, op5_digest_index, op6_transducer_bpe, op7_tree_scoring, op8_rank_order_profiles, op9_compression_quality, op10_levelled_line_runs,
     )
 }
 ORACLES = {"op5_digest_index": OP5_SQL, "op10_levelled_line_runs": OP10_SQL}
