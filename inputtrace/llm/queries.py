@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inputtrace.llm.bpe import op6_transducer_bpe
+from inputtrace.llm.decontaminate import op1_template_decontamination
 from inputtrace.llm.exact_dedup import OP5_SQL, op5_digest_index
 from inputtrace.llm.html_text import op7_tree_scoring
 from inputtrace.llm.language_id import op8_rank_order_profiles
@@ -14,7 +15,7 @@ from inputtrace.llm.simhash import op4_pivot_simhash
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_repair_ids, op4_pivot_simhash, op5_digest_index, op6_transducer_bpe, op7_tree_scoring, op8_rank_order_profiles, op9_compression_quality, op10_levelled_line_runs,
+        op1_template_decontamination, op2_repair_ids, op4_pivot_simhash, op5_digest_index, op6_transducer_bpe, op7_tree_scoring, op8_rank_order_profiles, op9_compression_quality, op10_levelled_line_runs,
     )
 }
 ORACLES = {"op5_digest_index": OP5_SQL, "op10_levelled_line_runs": OP10_SQL}
