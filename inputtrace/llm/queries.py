@@ -11,11 +11,12 @@ from inputtrace.llm.line_dedup import OP10_SQL, op10_levelled_line_runs
 from inputtrace.llm.quality import op9_compression_quality
 from inputtrace.llm.repair import op2_repair_ids
 from inputtrace.llm.simhash import op4_pivot_simhash
+from inputtrace.llm.substring import OP3_SQL, op3_seed_extend_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_template_decontamination, op2_repair_ids, op4_pivot_simhash, op5_digest_index, op6_transducer_bpe, op7_tree_scoring, op8_rank_order_profiles, op9_compression_quality, op10_levelled_line_runs,
+        op1_template_decontamination, op2_repair_ids, op3_seed_extend_dedup, op4_pivot_simhash, op5_digest_index, op6_transducer_bpe, op7_tree_scoring, op8_rank_order_profiles, op9_compression_quality, op10_levelled_line_runs,
     )
 }
-ORACLES = {"op5_digest_index": OP5_SQL, "op10_levelled_line_runs": OP10_SQL}
+ORACLES = {"op3_seed_extend_dedup": OP3_SQL, "op5_digest_index": OP5_SQL, "op10_levelled_line_runs": OP10_SQL}
