@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inputtrace.llm.common import numbered, table
-from inputtrace.llm.wordpieces import Encoder, as_symbols, chunks, vocabulary
+from inputtrace.llm.wordpieces import Encoder, as_symbols, chunks, pack_ids, vocabulary
 from inputtrace.session import scratch_path
 
 MAGIC = b"REPAIR01"
@@ -48,41 +48,51 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary_size: int) -> tuple[n
     line = ids.astype(kind)
     stop = np.zeros(len(line), bool)
     stop[ends - 1] = True
-    rules: dict[int, int] = {}
+    rules = np.empty(0, kind)
     for _ in range(ROUNDS):
         if len(line) < 2:
             break
         keys = line[:-1] << kind(width) | line[1:]
-        free = ~stop[:-1]
-        values = np.sort(keys[free])
-        first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, int)
-        counts = np.diff(np.append(first, len(values)))
+        values = np.sort(keys[~stop[:-1]])
+        first = np.flatnonzero(values[1:] != values[:-1]) + 1
+        first = np.concatenate(([0], first, [len(values)])) if len(values) else np.zeros(1, np.int64)
+        counts = np.diff(first)
         often = counts >= LEAST
-        values, counts = values[first][often], counts[often]
-        picked = []
-        for key in one_per_slot(values[np.lexsort((values, -counts))]).tolist():
-            if key in rules or len(rules) < room:
-                rules.setdefault(key, vocabulary_size + len(rules))
-                picked.append(key)
-        if not picked:
+        values, counts = values[first[:-1][often]], counts[often]
+        picked = one_per_slot(values[np.argsort(-counts, kind="stable")])
+        number = place_in(rules, picked)
+        new = number < 0
+        fits = ~new | (np.cumsum(new) <= room - len(rules))
+        picked, number, new = picked[fits], number[fits], new[fits]
+        number[new] = len(rules) + np.arange(int(new.sum()))
+        rules = np.concatenate((rules, picked[new]))
+        if not len(picked):
             break
-        place = rank_of(keys, np.array(picked, kind))
-        place[~free] = len(picked)
-        before = np.concatenate(([len(picked)], place[:-1]))
-        after = np.concatenate((place[1:], [len(picked)]))
-        at = np.flatnonzero((place < len(picked)) & (place < before) & (place <= after))
+        none = np.int32(len(picked))
+        place = rank_of(keys, picked)
+        place[stop[:-1]] = none
+        wins = place < none
+        wins[1:] &= place[1:] < place[:-1]
+        wins[:-1] &= place[:-1] <= place[1:]
+        at = np.flatnonzero(wins)
         if not len(at):
             break
-        names = np.array([rules[k] for k in picked], kind)
-        line[at] = names[place[at]]
+        line[at] = (number + vocabulary_size).astype(kind)[place[at]]
         stop[at] |= stop[at + 1]
         stay = np.ones(len(line), bool)
         stay[at + 1] = False
         line, stop = line[stay], stop[stay]
-    pairs = np.array(list(rules), kind)
-    grammar = np.stack([pairs >> kind(width), pairs & kind((1 << width) - 1)], axis=1) if len(pairs) else np.empty((0, 2), kind)
-    cut = np.flatnonzero(stop) + 1
-    return grammar, line, cut
+    grammar = np.stack([rules >> kind(width), rules & kind((1 << width) - 1)], axis=1)
+    return grammar, line, np.flatnonzero(stop) + 1
+
+
+def place_in(values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where the asked values stand among distinct ones, -1 where they don't."""
+    if not len(values):
+        return np.full(len(asked), -1, np.int64)
+    order = np.argsort(values)
+    found = order[np.minimum(np.searchsorted(values, asked, sorter=order), len(values) - 1)]
+    return np.where(values[found] == asked, found, -1)
 
 
 def one_per_slot(values: np.ndarray) -> np.ndarray:
@@ -109,10 +119,14 @@ def rank_of(keys: np.ndarray, picked: np.ndarray) -> np.ndarray:
 
 
 def lengths(grammar: np.ndarray, vocabulary_size: int) -> np.ndarray:
-    """Ids that each rule expands to; a rule only names earlier symbols."""
-    found = np.zeros(len(grammar), np.int64)
-    for i, (left, right) in enumerate(grammar.tolist()):
-        found[i] = sum(1 if s < vocabulary_size else found[s - vocabulary_size] for s in (left, right))
+    """Ids that each rule expands to; a rule only names symbols of earlier rounds."""
+    symbols = grammar.astype(np.int64) - vocabulary_size
+    found = np.full(len(grammar), 2, np.int64)
+    while len(grammar):
+        longer = np.where(symbols < 0, 1, found[np.maximum(symbols, 0)]).sum(axis=1)
+        if (longer == found).all():
+            break
+        found = longer
     return found
 
 
@@ -196,16 +210,22 @@ class Shard:
 def library_encoder(path: str) -> Encoder:
     """The tokenizers library's model, asked once for each distinct piece of the words at hand."""
     known = vocabulary(path)
-    model = known.tokenizer.model
+    tokenize = known.tokenizer.model.tokenize
+
+    class Ids(dict):
+        def __missing__(self, piece: str) -> bytes:
+            found = encoder.memo.get(piece)
+            if found is None or len(known.pieces(piece)) != 1:
+                found = pack_ids([t.id for t in tokenize(as_symbols(piece))])
+            self[piece] = found
+            return found
 
     def resolve(words: list[str]) -> list[bytes]:
-        split = [known.pieces(w) for w in words]
-        ids = {p: None for pieces in split for p in pieces}
-        for piece in ids:
-            ids[piece] = np.array([t.id for t in model.tokenize(as_symbols(piece))], "<u4").tobytes()
-        return [b"".join(map(ids.__getitem__, pieces)) for pieces in split]
+        ids = Ids()
+        return [b"".join([ids[p] for p in known.pieces(w)]) for w in words]
 
-    return Encoder(known, resolve)
+    encoder = Encoder(known, resolve)
+    return encoder
 
 
 def write(docs: DataFrame, path: str, target: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> None:
