@@ -169,10 +169,10 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actions on the frames of ``images``."""
+    """Actions on the frames of ``images``: 20 log rows in a row are on one frame."""
     return keylog(spark, sf_dir).select(
-        (F.col("recording_id") % 40).alias("recording_id"),
-        (F.col("ord") % 50).cast("int").alias("frame_idx"),
+        F.floor(F.col("ord") / 1000).alias("recording_id"),
+        (F.floor(F.col("ord") / 20) % 50).cast("int").alias("frame_idx"),
         F.lit("KeyPress").alias("type"),
         F.col("raw_key").alias("details"),
     )

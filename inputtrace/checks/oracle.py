@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from ..functions import text
+from ..functions import names, text
 
 SEED = 42
 
@@ -26,9 +26,8 @@ def _case(column: str, pairs: dict[str, str], other: str) -> str:
     return f"case {column} {whens} else {other} end"
 
 
-# Fixed values of the log's keys and of the predicted spellings that the tables produce.
-_SHIFTED = {"ShiftLeft": "Shift", "ShiftRight": "Shift", "ControlLeft": "Ctrl", "ControlRight": "Ctrl",
-            "AltLeft": "Alt", "AltRight": "Alt", "MetaLeft": "Cmd", "MetaRight": "Cmd"}
+# The names that change, of the keys that the tables produce.
+_SHIFTED = {raw: name for raw, name in names.KEY_NAMES.items() if raw != name}
 
 
 def _normal(raw: str) -> str:
@@ -76,7 +75,7 @@ select * from (
 where frame >= 0"""
 
 
-def _state(framed: str, prefix: str, last: str) -> None:
+def _state(framed: str, prefix: str, last: str, join: str = "") -> None:
     """Held modifiers, spans and clicks over a framed log, by rows replicated to every key."""
 
     def held(name: str, raw: str) -> str:
@@ -106,7 +105,7 @@ select c.recording_id, c.ts_us, c.ord, c.frame, d.device, d.name, null, 'C'
 from {prefix}held c join (select distinct recording_id, device, name from {prefix}devices) d using (recording_id)
 where c.etype = 'ContextChanged'"""
     CTES[f"{prefix}spans"] = f"""
-select recording_id, device, name, details, frame as start_frame, released.f as released_frame,
+select z.recording_id, device, name, details, frame as start_frame, released.f as released_frame,
  coalesce(released.f, {last}) as end_frame,
  [coalesce(released.ts, 9007199254740992), coalesce(released.o, 9007199254740992), ts_us, ord] as seq
 from (
@@ -114,13 +113,13 @@ from (
   first_value(case when kind <> 'P' then {{'f': frame, 'ts': ts_us, 'o': ord}} end ignore nulls) over
    (partition by recording_id, device, name order by ts_us, ord rows between 1 following and unbounded following) as released
  from {prefix}replicated
- window w as (partition by recording_id, device, name order by ts_us, ord)) z
+ window w as (partition by recording_id, device, name order by ts_us, ord)) z {join}
 where kind = 'P' and coalesce(before_kind, 'R') <> 'P'"""
 
 
 _state("framed", "", "149")
 CTES["gt_last"] = "select recording_id, max(frame) as last_frame from gt_framed group by 1"
-_state("gt_framed", "gt_", "(select last_frame from gt_last l where l.recording_id = z.recording_id)")
+_state("gt_framed", "gt_", "l.last_frame", "join gt_last l on l.recording_id = z.recording_id")
 
 CTES["key_frames"] = """
 select recording_id, cast(unnest(range(start_frame, least(greatest(end_frame, start_frame + 1), 150))) as int) as frame_idx,
@@ -160,12 +159,14 @@ select recording_id, ord as pos, case when fr < 0 then 'F-1' else {_label('fr')}
 from (select *, cast(floor(ts_us*5/1000000) as int) + cast(ord%5 as int) - 2 as fr from keylog) z
 where etype in ('KeyPress','MousePress','MouseScroll') and ord%6<>0"""
 
-CTES["scored"] = """
+PREDICTED_KEY = (
+    "case when details = 'cmd+c' then 'Cmd+C' when details = 'enter' then 'Return' "
+    "when length(details) = 1 then upper(details) else details end"
+)
+CTES["scored"] = f"""
 select recording_id, pos, cast(substr(frame, 2) as int) as frame, type,
  case when type = 'MouseScroll' then case when lower(details) in ('up', 'down') then lower(details) else '' end
-      when type = 'KeyPress' then
-        case when details = 'cmd+c' then 'Cmd+C' when details = 'enter' then 'Return'
-             when length(details) = 1 then upper(details) else details end
+      when type = 'KeyPress' then {PREDICTED_KEY}
       else details end as detail
 from preds where frame <> 'F-1'"""
 
@@ -212,7 +213,7 @@ CTES["kept"] = "select * from images where black_fraction <= 0.45"
 CTES["renumbered"] = """
 select *, row_number() over (partition by recording_id order by frame_idx) - 1 as new_idx from kept"""
 CTES["frame_events"] = """
-select recording_id % 40 as recording_id, cast(ord % 50 as int) as frame_idx, 'KeyPress' as type, raw_key as details from keylog"""
+select ord // 1000 as recording_id, cast(ord // 20 % 50 as int) as frame_idx, 'KeyPress' as type, raw_key as details from keylog"""
 CTES["reindexed"] = """
 select e.recording_id, cast(m.new_idx as int) as frame_idx, e.type, e.details
 from frame_events e join renumbered m on m.recording_id = e.recording_id and m.frame_idx = e.frame_idx"""
@@ -252,7 +253,7 @@ from (select *, len(lens) // 2 as h from
 CTES["cut_tokens"] = "select example_id, ids[1:64] as ids from tokens"
 CTES["masked"] = """
 select example_id, ids, plen, list_transform(ids, lambda t, i: case when i <= plen then -100 else t end) as labels
-from (select *, coalesce(list_max(list_filter(range(1, len(ids)), lambda i: ids[i] = 1000 and ids[i+1] = 1003)) + 1, 0) as plen from cut_tokens)"""
+from (select *, coalesce(list_max(list_filter(range(1, len(ids)), lambda i: ids[i] = 1000 and ids[i+1] = 1003)) + 1, 0) as plen from tokens)"""
 CTES["batched"] = f"""
 select * from (
  select *, (rn - 1) // 8 as batch_id, n // 8 as full_batches from (
@@ -331,6 +332,9 @@ from scored, s_settings, (select unnest([true, false]) as coalesced)"""
 _matching("s", "s_truth", "s_preds", ["tolerance", "coalesced", *CLIP_KEYS], "a.tolerance")
 
 
+ONCE = {"keylog", "gt_framed", "held", "gt_held", "devices", "gt_devices", "spans", "gt_spans", "gt", "actions", "scored", "clip_actions"}
+
+
 def sql(body: str) -> str:
     """A statement with the common table expressions it needs, in order of definition."""
     needed: set[str] = set()
@@ -345,7 +349,9 @@ def sql(body: str) -> str:
     parts = []
     for name, statement in CTES.items():
         if name in needed:
-            parts.append(f"{name} as ({statement})")
+            # Steps that are read more than once are computed once.
+            kept = "materialized " if name in ONCE else ""
+            parts.append(f"{name} as {kept}({statement})")
     # A statement may bring expressions of its own.
     own = body.lstrip().startswith("with ")
     joined = ", ".join(parts)

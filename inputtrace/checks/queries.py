@@ -91,7 +91,7 @@ select recording_id, ord, ts_us, etype,
  case when etype in ('KeyPress', 'KeyRelease') then raw_key end as raw_key,
  case when etype in ('MousePress', 'MouseRelease') then button end as button,
  case when etype = 'MouseScroll' then dx else 0 end as dx, case when etype = 'MouseScroll' then dy else 0 end as dy,
- etype = 'ContextChanged' as uncaptured
+ cast(null as varchar) as direction, etype = 'ContextChanged' as uncaptured
 from keylog where ord % 97 not in (1, 2, 3, 4)""",
 )
 def _(spark, sf_dir):
@@ -123,11 +123,12 @@ def _entries(spark, sf_dir) -> DataFrame:
 
 @query(
     "quarantine_corrupt",
-    "select ord % 97 as kind, count(*) as n from keylog where ord % 97 in (1, 2, 3, 4) group by 1",
+    """
+select recording_id, ord, case ord % 97 when 1 then 'no event' when 2 then 'no time' when 3 then 'no event type' else 'not a list' end as reason
+from keylog where ord % 97 in (1, 2, 3, 4)""",
 )
 def _(spark, sf_dir):
-    bad = keylog.corrupt_entries(_entries(spark, sf_dir))
-    return bad.groupBy((F.col("ord") % 97).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return keylog.corrupt_entries(_entries(spark, sf_dir)).select("recording_id", "ord", "reason")
 
 
 def _indexed(spark, sf_dir) -> DataFrame:
@@ -259,12 +260,12 @@ def _(spark, sf_dir):
     return files.first_fps(I.events(spark, sf_dir).withColumnRenamed("k", "fps"), "event_id")
 
 
-@query("sink_summary", "select level, type, gt_count, pred_count, tp, fp, fn from rollup where level <> 'clip'")
+@query("sink_summary", "select level, recording_id, type, gt_count, pred_count, tp, fp, fn, precision, recall, f1 from rollup")
 def _(spark, sf_dir):
     path = scratch_path(spark, "summary")
-    files.write_summary(_scores(spark, sf_dir).where("level <> 'clip'"), path)
-    schema = "level string, type string, gt_count bigint, pred_count bigint, tp bigint, fp bigint, fn bigint"
-    return spark.read.schema(schema).json(path)
+    scores = _scores(spark, sf_dir)
+    files.write_summary(scores, path)
+    return spark.read.schema(scores.schema).json(path)
 
 
 @query(
@@ -443,10 +444,10 @@ def _(spark, sf_dir):
 
 @query(
     "normalize_pred_key",
-    "select recording_id, pos, details as given, detail from (select p.*, s.detail from preds p join scored s on s.recording_id = p.recording_id and s.pos = p.pos) where type = 'KeyPress'",
+    f"select recording_id, pos, details as given, {O.PREDICTED_KEY} as detail from preds where type = 'KeyPress'",
 )
 def _(spark, sf_dir):
-    keyed = I.preds(spark, sf_dir).where("type = 'KeyPress' and frame <> 'F-1'")
+    keyed = I.preds(spark, sf_dir).where("type = 'KeyPress'")
     detail = names.normalize_pred_key(F.col("details"))
     return keyed.select("recording_id", "pos", F.col("details").alias("given"), detail.alias("detail"))
 
@@ -667,12 +668,12 @@ def _(spark, sf_dir):
     """
 select recording_id, frame_idx, type, details, pos from (
  select *, lag(type) over w as pt, lag(details) over w as pd, lag(frame_idx) over w as pf
- from (select recording_id, pos, type, details, cast(regexp_extract(frame, '[0-9]+') as int) as frame_idx from preds where frame <> 'F-1')
+ from (select recording_id, pos, type, details, cast(replace(frame, 'F', '') as int) as frame_idx from preds)
  window w as (partition by recording_id order by pos))
 where not coalesce(type = 'MouseScroll' and pt = 'MouseScroll' and pd = details and frame_idx <= pf + 1, false)""",
 )
 def _(spark, sf_dir):
-    listed = I.preds(spark, sf_dir).where("frame <> 'F-1'").select(
+    listed = I.preds(spark, sf_dir).select(
         "recording_id", "pos", "type", "details", fn.frame_of_label(F.col("frame")).alias("frame_idx")
     )
     return gestures.coalesce_scroll_list(listed, REC)
@@ -900,9 +901,9 @@ def _(spark, sf_dir):
 
 
 def _before_after(spark, sf_dir) -> DataFrame:
-    """Clips with their scrolls and clicks counted before and after merging, and their split."""
+    """Clips with their actions counted before and after merging, and their split."""
     split = sampling.split_recordings(I.recordings(spark, sf_dir), "recording_id")
-    listed = I.clip_actions(spark, sf_dir).where("type <> 'KeyPress'").withColumn("f", fn.frame_of_label(F.col("frame")))
+    listed = I.clip_actions(spark, sf_dir).withColumn("f", fn.frame_of_label(F.col("frame")))
     merged = gestures.coalesce_repeats(listed, CLIP, "f")
     both = listed.select(*CLIP, F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(
         merged.select(*CLIP, F.lit(0).alias("b"), F.lit(1).alias("a"))
@@ -915,8 +916,8 @@ def _before_after(spark, sf_dir) -> DataFrame:
 _BEFORE_AFTER = """
 select c.recording_id, c.chunk, s.split, coalesce(b.n, 0) as n_before, coalesce(a.n, 0) as n_after
 from clips c join split s on s.recording_id = c.recording_id
-left join (select recording_id, chunk, count(*) as n from clip_actions where type <> 'KeyPress' group by 1, 2) b on b.recording_id = c.recording_id and b.chunk = c.chunk
-left join (select recording_id, chunk, count(*) as n from clip_merged where type <> 'KeyPress' group by 1, 2) a on a.recording_id = c.recording_id and a.chunk = c.chunk"""
+left join (select recording_id, chunk, count(*) as n from clip_actions group by 1, 2) b on b.recording_id = c.recording_id and b.chunk = c.chunk
+left join (select recording_id, chunk, count(*) as n from clip_merged group by 1, 2) a on a.recording_id = c.recording_id and a.chunk = c.chunk"""
 
 
 @query(
@@ -1000,7 +1001,7 @@ def _cut(spark, sf_dir) -> DataFrame:
 
 
 def _masked(spark, sf_dir) -> DataFrame:
-    found = _cut(spark, sf_dir).withColumn("plen", tokens.find_prompt_len(F.col("ids"), I.MARKER))
+    found = I.tokens(spark, sf_dir).withColumn("plen", tokens.find_prompt_len(F.col("ids"), I.MARKER))
     return found.withColumn("labels", tokens.mask_labels(F.col("ids"), F.col("plen")))
 
 

@@ -77,8 +77,12 @@ def clip_count(frames: Column, length: int, stride: int) -> Column:
     return _div(F.greatest(F.lit(1), frames - length + 1) - 1, stride) + 1
 
 
+# Fixed value: a session id, of which the first six digits are kept.
+SESSION_ID = "([0-9a-f]{6})[0-9a-f-]+"
+
+
 def short_clip_id(video_name: Column, chunk: Column) -> Column:
     """Display id of a clip: shortened recording name and clip number."""
     stem = F.replace(F.replace(video_name, F.lit(".mp4"), F.lit("")), F.lit("recording_"), F.lit("rec_"))
-    short = F.regexp_replace(stem, "([0-9a-f]{6})[0-9a-f-]+", "$1")
+    short = F.regexp_replace(stem, SESSION_ID, "$1")
     return F.concat(short, F.format_string("_c%03d", chunk))

@@ -131,8 +131,10 @@ def payload_button(payload: Column) -> Column:
 
 
 def scroll_delta(dx: Column, dy: Column) -> Column:
-    """Vertical movement, or the horizontal one where there is none; null if neither."""
-    return F.coalesce(F.nullif(dy, F.lit(0.0)), F.nullif(dx, F.lit(0.0)))
+    """Vertical movement, or the horizontal one where there is none; null if neither, and where
+    one of them is not a number."""
+    both = dx.isNotNull() & dy.isNotNull()
+    return F.when(both, F.coalesce(F.nullif(dy, F.lit(0.0)), F.nullif(dx, F.lit(0.0))))
 
 
 def scroll_direction(amount: Column) -> Column:
@@ -161,7 +163,7 @@ def normalize_pred_key(details: Column) -> Column:
         )
 
     return F.array_join(
-        F.transform(F.split(details, r"\+", -1), lambda part: spell(F.trim(part))), "+"
+        F.transform(F.split(details, r"\+", -1), lambda part: spell(F.regexp_replace(part, r"^\s+|\s+$", ""))), "+"
     )
 
 

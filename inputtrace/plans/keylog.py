@@ -59,11 +59,15 @@ def gt_actions(log: DataFrame, fps: int | str = 2, hot_rows: int = HOT_ROWS) ->
     rows = split_hot(spans.state_rows(framed), ["recording_id"], "ts_us", "ord", hot_rows, counted=log)
     last = spans.last_frame_of_log(framed)
     held = spans.close_open_spans(spans.hold_spans(rows), last)
+    # A merged scroll names its direction; a raw one has its vertical movement.
+    direction = names.scroll_direction(F.col("dy"))
+    if "direction" in framed.columns:
+        direction = F.coalesce(F.nullif("direction", F.lit("")), direction)
     scrolled = framed.where(F.col("etype") == "MouseScroll").select(
         "recording_id",
         F.col("frame").alias("frame_idx"),
         F.lit("MouseScroll").alias("type"),
-        names.scroll_direction(F.col("dy")).alias("details"),
+        direction.alias("details"),
         spans.instant_seq(F.col("ts_us"), F.col("ord")).alias("seq"),
     )
     out = spans.span_actions(held).unionByName(scrolled.where(F.col("details").isNotNull()))

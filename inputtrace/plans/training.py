@@ -30,14 +30,18 @@ def training_clips(
     train_ratio: float = 0.85,
     seed: int = 42,
     hot_rows: int = HOT_ROWS,
+    recordings: DataFrame | None = None,
 ) -> DataFrame:
     """Clip index rows: ``clip_id, clip_dir, num_frames, fps, actions, split``, and their keys.
 
     ``log`` holds typed entries, ``frames`` one row per frame with its ``black_fraction``, both
-    by ``recording_id``, the name of the video. A recording without frames yields no clips, but
-    takes part in the split.
+    by ``recording_id``, the name of the video. ``recordings`` lists them all; else those with
+    a log or frames count. A recording without frames yields no clips and one with an empty log
+    clips without actions; both take part in the split.
     """
-    split = sampling.split_recordings(log.select("recording_id").distinct(), "recording_id", train_ratio, seed)
+    if recordings is None:
+        recordings = log.select("recording_id").union(frames.select("recording_id"))
+    split = sampling.split_recordings(recordings.select("recording_id").distinct(), "recording_id", train_ratio, seed)
     timed = log.join(FR.frame_counts(frames), "recording_id")
     actions = parse_keylog(timed, fps, "num_frames", action_types, hot_rows)
 
@@ -60,12 +64,19 @@ def training_clips(
 def score_results(
     results: DataFrame, tolerance: int = 2, coalesce: bool = False, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Scores of stored results (``read_results``) overall, per type and per clip."""
-    keyed = results.withColumn("recording_id", F.col("clip_index"))
+    """Scores of stored results (``read_results``) overall, per type and per clip of a document.
+
+    Clips are told apart by ``document`` and ``clip_index``; the rows of a clip have both, its
+    ``clip_name`` and its ``tag``."""
+    keyed = results.withColumn("recording_id", F.struct("document", "clip_index"))
     log = parse_entries(truth_entries(keyed, ["recording_id"]))
     truth = gt_actions(log, "fps", hot_rows)
     if coalesce:
         truth = coalesce_gt(truth, ["recording_id"], hot_rows=hot_rows, counted=merging_rows(log, "fps"))
     said = filter_predictions(predicted_actions(keyed, ["recording_id"])).drop("pos")
     scores = scoring.score(truth, said, keyed, ["recording_id"], tolerance)
-    return scores.withColumnRenamed("recording_id", "clip_index")
+    named = keyed.select("recording_id", "clip_name", "tag").dropDuplicates(["recording_id"])
+    return scores.join(named, "recording_id", "left").select(
+        "level", F.col("recording_id.document").alias("document"), F.col("recording_id.clip_index").alias("clip_index"),
+        "clip_name", "tag", *[c for c in scores.columns if c not in ("level", "recording_id")],
+    )

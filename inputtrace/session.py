@@ -10,8 +10,7 @@ from pyspark.sql import SparkSession
 # AQE splits a hot join partition; the force flag lets it do so even where the split costs a
 # further exchange, as it does under a grouping on the same key. Small partitions may stay apart,
 # since a row costs more here than its bytes suggest. Lists are gathered for many small groups,
-# which stay in the hash table up to the threshold. The record limit keeps Arrow batches of
-# images small.
+# which stay in the hash table up to the threshold.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -20,7 +19,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
 }
 
 

@@ -97,9 +97,16 @@ def read_eval_clips(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
-    """One row per clip of stored result documents, settings repeated."""
+    """One row per clip of stored result documents, settings repeated.
+
+    ``document`` tells documents apart, since each numbers its clips from 0: the file, and the
+    place in it where a file has one document per line."""
     documents = spark.read.schema(schemas.RESULTS).option("multiLine", str(not one_per_line).lower()).json(path)
-    settings = ["model_id", "fps", "tolerance", "coalesce", "interleave_labels"]
+    name = F.col("_metadata.file_path")
+    if one_per_line:
+        name = F.concat_ws("#", name, F.monotonically_increasing_id().cast("string"))
+    documents = documents.select("*", name.alias("document"))
+    settings = ["document", "model_id", "fps", "tolerance", "coalesce", "interleave_labels"]
     return documents.select(*settings, F.explode("clips").alias("clip")).select(*settings, "clip.*")
 
 

@@ -27,17 +27,17 @@ def _typed(entry: Column) -> Column:
     def typed(e: Column) -> Column:
         v, etype = e["v"], e["etype"]
         payload = F.array(at(v, "$[1][1][0]"), at(v, "$[1][1][1]"))
+        scrolls = etype == "MouseScroll"
         dx, dy = at(v, "$[1][1][0]", "double"), at(v, "$[1][1][1]", "double")
         words = F.when(etype == "ContextChanged", at(v, "$[1][1]", "array<string>"))
-        # Movement that is not a pair of numbers counts as none.
-        moves = (etype == "MouseScroll") & dx.isNotNull() & dy.isNotNull()
         return F.struct(
             e["ts_us"].alias("ts_us"),
             etype.alias("etype"),
             F.when(etype.isin("KeyPress", "KeyRelease"), payload_key(payload)).alias("raw_key"),
             F.when(etype.isin("MousePress", "MouseRelease"), payload_button(payload)).alias("button"),
-            F.when(moves, dx).otherwise(F.lit(0.0)).alias("dx"),
-            F.when(moves, dy).otherwise(F.lit(0.0)).alias("dy"),
+            F.when(scrolls, dx).otherwise(F.lit(0.0)).alias("dx"),
+            F.when(scrolls, dy).otherwise(F.lit(0.0)).alias("dy"),
+            F.when(scrolls, at(v, "$[1][1].direction")).alias("direction"),
             F.coalesce(F.array_contains(words, "UNCAPTURED"), F.lit(False)).alias("uncaptured"),
         )
 
@@ -59,8 +59,18 @@ def parse_entries(entries: DataFrame) -> DataFrame:
 
 
 def corrupt_entries(entries: DataFrame) -> DataFrame:
-    """The entries that ``parse_entries`` drops, as they are."""
-    return entries.where(~F.exists(_typed(F.col("entry")), _valid))
+    """The entries that ``parse_entries`` drops, as they are, with the ``reason``."""
+    read = F.try_parse_json("entry")
+    listed = F.coalesce(F.schema_of_variant(read).startswith("ARRAY"), F.lit(False))
+    typed = F.element_at(_typed(F.col("entry")), 1)
+    reason = (
+        F.when(read.isNull(), "not JSON")
+        .when(~listed, "not a list")
+        .when(F.try_variant_get(read, "$[1]", "variant").isNull(), "no event")
+        .when(typed["ts_us"].isNull(), "no time")
+        .otherwise("no event type")
+    )
+    return entries.where(~F.exists(_typed(F.col("entry")), _valid)).withColumn("reason", reason)
 
 
 def entries_of(logs: DataFrame, column: str = "entries") -> DataFrame:
@@ -80,7 +90,21 @@ def read_json_keylogs(spark: SparkSession, path: str) -> DataFrame:
 def read_binary_keylogs(
     spark: SparkSession, path: str, decode: Callable[[bytes], list] | None = None, glob: str = "*.msgpack"
 ) -> DataFrame:
-    """Binary logs, decoded per file inside the tasks; an unreadable file yields no rows."""
+    """Binary logs, decoded per file inside the tasks; ``broken_keylogs`` has the unreadable ones."""
+    rows = _decoded(spark, path, decode, glob).where("error is null")
+    return parse_entries(rows.select("recording_id", "ord", "entry"))
+
+
+def broken_keylogs(
+    spark: SparkSession, path: str, decode: Callable[[bytes], list] | None = None, glob: str = "*.msgpack"
+) -> DataFrame:
+    """The binary logs that cannot be read: ``path, reason``."""
+    rows = _decoded(spark, path, decode, glob).where("error is not null")
+    return rows.select(F.col("recording_id").alias("path"), F.col("error").alias("reason"))
+
+
+def _decoded(spark: SparkSession, path: str, decode: Callable[[bytes], list] | None, glob: str) -> DataFrame:
+    """Entries as JSON, or one row with the error of a file."""
     decode = decode or unpack
     files = (
         spark.read.format("binaryFile")
@@ -95,7 +119,10 @@ def read_binary_keylogs(
             for name, content in zip(batch["path"], batch["content"]):
                 try:
                     items = decode(content)
-                except (ValueError, IndexError, struct.error):
+                    if not isinstance(items, list):
+                        raise ValueError("not a list of entries")
+                except (ValueError, IndexError, struct.error) as broken:
+                    yield pd.DataFrame({"recording_id": [name], "ord": [-1], "entry": [None], "error": [str(broken)]})
                     continue
                 for at in range(0, len(items), 10_000):
                     part = items[at : at + 10_000]
@@ -104,11 +131,11 @@ def read_binary_keylogs(
                             "recording_id": name,
                             "ord": range(at, at + len(part)),
                             "entry": [json.dumps(item) for item in part],
+                            "error": None,
                         }
                     )
 
-    rows = files.mapInPandas(entries, "recording_id string, ord bigint, entry string")
-    return parse_entries(rows)
+    return files.mapInPandas(entries, "recording_id string, ord bigint, entry string, error string")
 
 
 def unpack(content: bytes):
@@ -131,6 +158,9 @@ _SIZED = {
     0xDC: (">H", "list"), 0xDD: (">I", "list"), 0xDE: (">H", "map"), 0xDF: (">I", "map"),
 }
 _PLAIN = {0xC0: None, 0xC2: False, 0xC3: True}
+# Extension values: a type byte, then as many bytes as the code or the size says.
+_FIXED_EXTENSIONS = {0xD4: 1, 0xD5: 2, 0xD6: 4, 0xD7: 8, 0xD8: 16}
+_EXTENSIONS = {0xC7: ">B", 0xC8: ">H", 0xC9: ">I"}
 
 
 def _unpack(data: memoryview, at: int):
@@ -143,6 +173,15 @@ def _unpack(data: memoryview, at: int):
     if code in _NUMBERS:
         form = _NUMBERS[code]
         return struct.unpack_from(form, data, at)[0], at + struct.calcsize(form)
+    if code in _FIXED_EXTENSIONS or code in _EXTENSIONS:
+        size = _FIXED_EXTENSIONS.get(code)
+        if size is None:
+            form = _EXTENSIONS[code]
+            size, at = struct.unpack_from(form, data, at)[0], at + struct.calcsize(form)
+        raw = bytes(data[at + 1 : at + 1 + size])
+        if len(raw) < size:
+            raise ValueError("value cut off")
+        return raw.decode("latin-1"), at + 1 + size
     if code in _SIZED:
         form, kind = _SIZED[code]
         size, at = struct.unpack_from(form, data, at)[0], at + struct.calcsize(form)

@@ -5,6 +5,9 @@ LOG = (
     "button string, dx double, dy double, uncaptured boolean"
 )
 
+# Parsed entries also hold the direction that merged scrolls name; other logs may lack it.
+PARSED_LOG = LOG + ", direction string"
+
 ACTIONS = "array<struct<frame:string,type:string,details:string>>"
 
 CLIP = f"clip_id string, clip_dir string, num_frames int, fps int, actions {ACTIONS}"

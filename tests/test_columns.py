@@ -89,7 +89,7 @@ A = '{"frame":"F01","type":"KeyPress","details":"A"}'
     [
         (f"[{A}]", 1), (f"  [{A},{A}]  ", 2), ("[]", 0), ("", 0), (A, 0), (f"[{A}", 0), (f"[{A}] tail", 1),
         (f"```json\n[{A}]\n```", 1), (f"```\n[{A}]```", 1), (f"<think>[1]</think>[{A}]", 1), (f"<think>[{A}]", 0),
-        (f"<|begin_of_box|>[{A}]<|end_of_box|>", 1), (f'say: [{A}] or [{A}]', 0), ("[{'frame': 'F01'}]", 0),
+        (f"<|begin_of_box|>[{A}]<|end_of_box|>", 1), (f'say: [{A}] or [{A}]', 0), ("[{'frame': 'F01'}]", 0), ('[]} x {"b":1', 0), ("```json", 0), ("``````", 0),
         (f'{{"actions": [{A}]}}', 1), ("[\n" + A + ",\n" + A + "\n]", 2),
     ],
 )
@@ -173,3 +173,8 @@ def test_timing_median(spark):
     for data in ([3.0], [4.0, 1.0], [1.0, 2.0, 10.0], [2.0] * 50 + [7.0] * 51, [float(i) for i in range(1000)]):
         df = spark.createDataFrame([(x,) for x in data], "s double")
         assert timing_stats(df, "s").first().median_s == sorted(data)[len(data) // 2]
+
+
+def test_predicted_keys_lose_all_white_space(spark):
+    given = ["cmd+\tc", " a ", "\nenter", "shift + b"]
+    assert values(spark, given, "string", names.normalize_pred_key) == ["Cmd+C", "A", "Return", "Shift+B"]

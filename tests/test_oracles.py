@@ -13,7 +13,7 @@ def con():
     return compare.sql_tables(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query(spark, con, name):
     assert compare.difference(queries()[name](spark, SF_DIR), con, oracle_sql()[name]) is None
 

@@ -8,6 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from inputtrace.operators import frames as FR
+from inputtrace.operators.gestures import scroll_per_frame
+from inputtrace.operators.spans import in_frames
+from inputtrace.plans.keylog import gt_actions
+from inputtrace.plans.training import score_results
 from inputtrace.sources import files, keylog
 from inputtrace.functions import text
 
@@ -29,7 +33,7 @@ LOG = [
 ]
 WANTED = [
     (0, 500_000, "KeyPress", "KeyA"), (1, 600_000, "MousePress", "Left"), (2, 700_000, "MouseScroll", -1.0),
-    (3, 800_000, "ContextChanged", True), (4, 1, "MouseScroll", 0.0), (12, 950_000, "KeyPress", None),
+    (3, 800_000, "ContextChanged", True), (4, 1, "MouseScroll", None), (12, 950_000, "KeyPress", None),
     (13, 960_000, "KeyPress", None),
 ]
 
@@ -159,3 +163,42 @@ def test_api_messages(spark, tmp_path):
     content = files.read_frame_bytes(spark, str(tmp_path)).select(text.build_api_messages(F.array("content"), F.lit("p")).alias("m")).first().m[0].content
     assert content[0].image_url.url.startswith("data:image/png;base64,eHh4") and "\n" not in content[0].image_url.url
     assert content[1].text == "p"
+
+
+def test_scroll_payloads(spark):
+    texts = ['[1000000,["MouseScroll",[null,-1,0,0]]]', '[2000000,["MouseScroll",{"direction":"down"}]]', '[3000000,["MouseScroll",[2,0]]]']
+    log = keylog.parse_entries(spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)], "recording_id string, ord bigint, entry string"))
+    truth = gt_actions(log.withColumn("start_s", F.lit(0.0)), 2)
+    assert sorted((r.frame, r.detail) for r in truth.collect()) == [(2, "down"), (4, "down")]
+    moved = scroll_per_frame(in_frames(log, 2, 10))
+    assert [(r.frame, r.delta) for r in moved.collect()] == [(6, 2.0)]
+
+
+def test_extension_values_and_broken_files(spark, tmp_path):
+    entry = b"\x92" + pack(500_000) + b"\x92" + pack("KeyPress") + b"\x93" + pack(1) + pack("KeyA") + b"\xd6\x05abcd"
+    (tmp_path / "a.msgpack").write_bytes(b"\x91" + entry)
+    (tmp_path / "b.msgpack").write_bytes(b"\x91" + entry[:-2])
+    (tmp_path / "c.msgpack").write_bytes(pack({"no": 1}))
+    rows = keylog.read_binary_keylogs(spark, str(tmp_path)).collect()
+    assert [(r.ts_us, r.raw_key) for r in rows] == [(500_000, "KeyA")]
+    broken = {r.path[-9:]: r.reason for r in keylog.broken_keylogs(spark, str(tmp_path)).collect()}
+    assert broken == {"b.msgpack": "value cut off", "c.msgpack": "not a list of entries"}
+
+
+def test_corrupt_entries(spark):
+    texts = ['[1,["KeyPress"]]', "[1]", '{"ts":1}', '["soon",["KeyPress"]]', "[1,[]]", "[1,", '"text"']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "ord bigint, entry string")
+    got = {r.ord: r.reason for r in keylog.corrupt_entries(df).collect()}
+    assert got == {1: "no event", 2: "not a list", 3: "no time", 4: "no event type", 5: "not JSON", 6: "not a list"}
+
+
+def test_two_documents_with_one_clip_number(spark, tmp_path):
+    clip = {"clip_index": 0, "clip_name": "c", "tag": "t", "start_s": 0.0, "predictions": [{"frame": "F02", "type": "KeyPress", "details": "A"}],
+            "ground_truth": [[1_000_000, ["KeyPress", [1, "KeyA"]]], [1_400_000, ["KeyRelease", [1, "KeyA"]]]]}
+    for name, predictions in (("a", clip["predictions"]), ("b", [])):
+        text = json.dumps({"model_id": "m", "fps": 2, "clips": [{**clip, "clip_name": name, "predictions": predictions}]})
+        (tmp_path / f"{name}.json").write_text(text)
+    rows = score_results(files.read_results(spark, str(tmp_path))).collect()
+    clips = {r.clip_name: (r.tp, r.fn, r.tag) for r in rows if r.level == "clip"}
+    assert clips == {"a": (1, 0, "t"), "b": (0, 1, "t")}
+    assert [(r.tp, r.fn) for r in rows if r.level == "overall"] == [(1, 1)]
