@@ -213,15 +213,21 @@ def match_settings(
 def match_lists(truth: DataFrame, preds: DataFrame, clip: list[str], tolerance: int = 2) -> DataFrame:
     """Matching where the order of both lists is ``pos`` and not the frame, solved.
 
-    Neighbours in the list with one frame form a run and are handled as a count. A list here is
-    one answer, or the actions of one clip line: it was a single row when it was read, so what
-    is gathered per clip is bounded by what one row holds.
+    Frames further apart than the tolerance cannot meet, so each stretch of frames is solved on
+    its own: what is gathered and compared is bounded by a stretch, and the result has a row per
+    stretch. Neighbours in the list of a stretch with one frame form a run and are handled as a
+    count.
     """
     keys = [*clip, "type", "detail"]
     columns = [*keys, "pos", "frame"]
     both = truth.select(*columns, F.lit(True).alias("asks")).unionByName(
         preds.select(*columns, F.lit(False).alias("asks"))
     )
+    by_frame = Window.partitionBy(*keys).orderBy("frame")
+    apart = F.col("frame") - F.lag("frame").over(by_frame) > tolerance
+    both = both.withColumn("apart", F.when(apart, 1).otherwise(0))
+    both = both.withColumn("stretch", F.sum("apart").over(by_frame)).drop("apart")
+    keys = [*keys, "stretch"]
     window = Window.partitionBy(*keys).orderBy("asks", "pos")
     here, before = F.struct("asks", "frame"), F.lag(F.struct("asks", "frame")).over(window)
     marked = both.withColumn("_start", F.when(~here.eqNullSafe(before), F.col("pos")))
