@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 # Fixed value: recordings in the whole collection, for the time estimate.
 WHOLE_COLLECTION = 2147
 
-# The bracket around the median holds about 4 / ACCURACY of the rows.
+# The bracket around the median holds about 4 / ACCURACY of the rows; it is cut into so many
+# parts of equal width, and only the part with the median is ordered by value.
 ACCURACY = 100_000
+PARTS = 4096
 
 
 def run_counts(recordings: DataFrame, clips: DataFrame) -> DataFrame:
@@ -26,8 +28,8 @@ def run_counts(recordings: DataFrame, clips: DataFrame) -> DataFrame:
 def timing_stats(timings: DataFrame, seconds: str, estimate_for: int = WHOLE_COLLECTION) -> DataFrame:
     """Total, mean, upper median and maximum of seconds per recording, and an estimate.
 
-    The exact median is looked up among the few values that an approximate one brackets, so
-    nothing is sorted or gathered as a whole.
+    The exact median is looked up among the few values that an approximate one brackets: counts
+    tell the part of the bracket that holds it, and that part alone is ordered.
     """
     value = F.col(seconds)
     stats = timings.agg(
@@ -38,11 +40,19 @@ def timing_stats(timings: DataFrame, seconds: str, estimate_for: int = WHOLE_COL
     )
     low, high = stats.select(F.col("band")[0]).scalar(), stats.select(F.col("band")[1]).scalar()
     below = timings.where(value < low).agg(F.count(F.lit(1))).scalar()
-    near = timings.where(value.between(low, high)).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.orderBy("value")) + below
     # The value at place n div 2, counted from 0.
     middle = F.floor(stats.select("n").scalar() / 2)
-    median = near.select("value", upto.alias("upto")).where(F.col("upto") > middle).agg(F.min("value"))
+    near = timings.where(value.between(low, high)).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    part = F.coalesce(F.floor((F.col("value") - low) / F.nullif(high - low, F.lit(0.0)) * PARTS), F.lit(0))
+    near = near.withColumn("part", part)
+    parts = near.groupBy("part").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("part")) + below
+    found = parts.select("part", "n", upto.alias("upto")).where(F.col("upto") > middle).agg(
+        F.min_by(F.struct("part", (F.col("upto") - F.col("n")).alias("before")), "part").alias("found")
+    )
+    inside = near.where(F.col("part") == found.select("found.part").scalar())
+    upto = F.sum("n").over(Window.orderBy("value")) + found.select("found.before").scalar()
+    median = inside.select("value", upto.alias("upto")).where(F.col("upto") > middle).agg(F.min("value"))
     mean = F.col("total") / F.col("n")
     return stats.select(
         F.bround("total", 1).alias("total_s"),
