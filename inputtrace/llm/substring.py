@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from inputtrace.llm.common import carried, numbered, stored, table
 
 LENGTH = 20
-GRAM = 5
+GRAM = 8
 BITS = 26  # of the table that says which anchors may occur twice; fixed, whatever the input
 
 _BLANK = np.zeros(256, bool)
