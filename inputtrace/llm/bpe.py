@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inputtrace.llm.common import carried, numbered, stored, table
-from inputtrace.llm.wordpieces import Encoder, byte_symbols, chunks, vocabulary
+from inputtrace.llm.wordpieces import Encoder, byte_symbols, chunks, pack_ids, vocabulary
 from inputtrace.session import scratch_path
 
 LEXICON = 1 << 16  # words compiled
-HELD = 400_000  # distinct words a counting task holds before it hands counts on
+HELD = 200_000  # distinct words a counting task holds before it hands counts on
 
 
 class Merger:
@@ -58,7 +58,7 @@ class Merger:
                 found[at - 1] = get(line[at - 1] << 32 | line[at])
 
 
-@lru_cache(4)
+@lru_cache(1)
 def merger(path: str) -> Merger:
     return Merger(path)
 
@@ -172,7 +172,7 @@ class Codec:
         places = self.words.places(pieces)
         known = iter(self.words.outputs(places[places >= 0]))
         for piece, data, place in zip(distinct, pieces, places.tolist()):
-            distinct[piece] = next(known) if place >= 0 else np.array(self.merge.ids(data), "<u4").tobytes()
+            distinct[piece] = next(known) if place >= 0 else pack_ids(self.merge.ids(data))
         return [b"".join(map(distinct.__getitem__, pieces)) for pieces in split]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -183,7 +183,7 @@ class Codec:
         return " ".join(map(self.names.__getitem__, ids.tolist()))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def codec(path: str, file: str) -> Codec:
     return Codec(path, np.memmap(SparkFiles.get(file), np.int64, "r"))
 

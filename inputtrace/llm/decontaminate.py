@@ -24,7 +24,7 @@ from inputtrace.llm.common import carried, numbered, stored, table
 WINDOW = 5  # words
 SHARE = 0.5  # of an item's words that aligned windows must cover
 BITS = 24  # the bit table has 2 ** BITS bits, whatever the benchmark's size
-MEMO = 500_000
+MEMO = 150_000
 
 TOKEN = re.compile("[^\x20\x09-\x0d]+|\n")
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’‚…¡¿–—·•"

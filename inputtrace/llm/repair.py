@@ -221,8 +221,11 @@ def library_encoder(path: str) -> Encoder:
             return found
 
     def resolve(words: list[str]) -> list[bytes]:
-        ids = Ids()
-        return [b"".join([ids[p] for p in known.pieces(w)]) for w in words]
+        ids, found = Ids(), []
+        for word in words:
+            pieces = known.pieces(word)
+            found.append(ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces]))
+        return found
 
     encoder = Encoder(known, resolve)
     return encoder

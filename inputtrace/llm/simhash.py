@@ -18,10 +18,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inputtrace.llm.common import LOWER, UPPER, WORD, carried, numbered, stored, table
+from inputtrace.llm.common import LOWER, UPPER, WORD, bucket_count, carried, numbered, stored, table
 
 PIVOTS = 32  # reference fingerprints
 CELL = 2048  # fingerprints of a bucket that meet those of another part of it in one cell
@@ -68,14 +68,25 @@ def references(n: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(i.to_bytes(8, "little"), SEED) for i in range(n)], np.uint64)
 
 
-def bucket_keys(fp: Column, blocks: int, agree: int) -> Column:
-    """One key per choice of `agree` of `blocks` blocks: the bits there, and the choice."""
+def masks(blocks: int, agree: int, layouts: int = 1) -> list[int]:
+    """The bits of each choice of `agree` of `blocks` blocks, as signed integers; further layouts
+    have their blocks shifted by a part of a block."""
     cuts = [64 * i // blocks for i in range(blocks + 1)]
-    keys = []
-    for n, chosen in enumerate(combinations(range(blocks), agree)):
-        mask = sum(((1 << cuts[b + 1] - cuts[b]) - 1) << cuts[b] for b in chosen)
-        keys.append(F.xxhash64(fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)), F.lit(n)))
-    return F.array(*keys)
+    found = []
+    for layout in range(layouts):
+        shift = 64 * layout // (blocks * layouts)
+        for chosen in combinations(range(blocks), agree):
+            whole = sum(1 << (bit + shift) % 64 for b in chosen for bit in range(cuts[b], cuts[b + 1]))
+            found.append(whole - (1 << 64) if whole >> 63 else whole)
+    return found
+
+
+def bucketed(nodes: DataFrame, blocks: int, agree: int, layouts: int) -> DataFrame:
+    """(fp, key): one key per choice of blocks, from the bits there and the choice. The small table
+    is dealt out first, since each of its rows becomes many."""
+    dealt = nodes.repartition(bucket_count(nodes.sparkSession), "fp")
+    chosen = dealt.select("fp", F.explode(F.array(*map(F.lit, masks(blocks, agree, layouts)))).alias("mask"))
+    return chosen.select("fp", F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")), "mask").alias("key"))
 
 
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -134,10 +145,10 @@ def near_pairs(
     return np.concatenate(left or [np.empty(0, int)]), np.concatenate(right or [np.empty(0, int)])
 
 
-def links(nodes: DataFrame, distance: int, blocks: int, agree: int) -> DataFrame:
+def links(nodes: DataFrame, distance: int, blocks: int, agree: int, layouts: int = 1) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of `nodes` (fp, stored), enough to connect all
     that a chain of near pairs connects."""
-    keyed = nodes.select("fp", F.explode(bucket_keys(F.col("fp"), blocks, agree)).alias("key"))
+    keyed = bucketed(nodes, blocks, agree, layouts)
     sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     parts = F.ceil(F.col("n") / CELL).cast("int")
     placed = keyed.join(sizes, "key").select(
@@ -209,8 +220,8 @@ def connect(edges: DataFrame) -> DataFrame:
 
 
 def group_near(
-    docs: DataFrame, words: int = 5, distance: int = 9, blocks: int = 10, agree: int = 3, doc_id: str = "doc_id",
-    text: str = "text", carry: Sequence[str] = (),
+    docs: DataFrame, words: int = 5, distance: int = 8, blocks: int = 8, agree: int = 3, layouts: int = 3,
+    doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = (),
 ) -> DataFrame:
     """Columns fp, component_id, first and those of `carry`, one row per input row.
 
@@ -220,16 +231,18 @@ def group_near(
     fingerprint 0; shorter texts are one shingle. Null ids are greatest; among repeated rows with
     the smallest id one is first. No rows give no rows.
 
-    Fingerprints meet where they agree on `agree` of `blocks` blocks of bits. Up to
-    `blocks - agree` differing bits that is certain, and the result is exact if `distance` is no
-    more. Nine of 64 bits are what a similarity of 0.8 makes differ on average; ten blocks of
-    which three agree find all pairs with up to seven differing bits, and of those with eight and
-    nine 98 and 92 % at random, more through chains."""
+    Fingerprints meet where they agree on `agree` of `blocks` blocks of bits, in one of `layouts`
+    of the blocks. Up to `blocks - agree` differing bits that is certain, and the result is exact
+    if `distance` is no more. Eight of 64 bits are what a similarity of 0.86 makes differ on
+    average, and a similarity of 0.8 often enough. Three layouts of eight blocks, of which three
+    agree, find all pairs with up to five differing bits, and of those with six, seven and eight
+    over 99, 98 and 93 % if layouts met at random; the tests measure it. More agreeing blocks make
+    longer keys, which larger collections need: buckets grow with the number of texts per key."""
     kept = [*dict.fromkeys([doc_id, *carry])]
     small = stored(fingerprints(docs, words, text, [doc_id]), "fingerprints")
     lead = F.min(F.struct(F.col("doc").getField(doc_id).isNull().alias("none"), F.col("doc").getField(doc_id).alias("id"), "row"))
     nodes = stored(small.groupBy("fp").agg(lead.alias("lead")), "nodes")
-    roots = connect(links(nodes.select("fp"), distance, blocks, agree)).withColumnRenamed("node", "fp")
+    roots = connect(links(nodes.select("fp"), distance, blocks, agree, layouts)).withColumnRenamed("node", "fp")
     rooted = stored(
         nodes.join(roots, "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root")), "rooted"
     )
@@ -247,7 +260,7 @@ def group_near(
 
 
 def op4_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = group_near(table(spark, sf_dir, "documents"), words=4, distance=4, blocks=6, agree=2, carry=["doc_id"])
+    found = group_near(table(spark, sf_dir, "documents"), words=4, distance=4, blocks=6, agree=2, layouts=1, carry=["doc_id"])
     return found.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Callable, Iterable
 from functools import cache
 
@@ -21,7 +22,7 @@ from tokenizers.pre_tokenizers import Split
 PLAIN = re.compile("[\t-\r -~\xa1-\xff]*")
 PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+")
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"  # fixed by the file format
-MEMO = 600_000  # words whose ids a worker remembers
+MEMO = 150_000  # words that a worker remembers at least; it holds twice as many at most
 
 
 @cache
@@ -38,10 +39,22 @@ def _symbol_table() -> dict[int, str]:
 
 
 def as_symbols(piece: str) -> str:
-    """The piece's bytes, each as its symbol."""
+    """The piece's bytes, each as its symbol; those of printing ASCII are the characters."""
+    if piece.isascii() and piece.isprintable():
+        return piece
     return piece.encode().decode("latin-1").translate(_symbol_table())
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit integers."""
+    return _packer(len(ids))(*ids)
+
+
+@cache
+def _packer(n: int) -> Callable[..., bytes]:
+    return struct.Struct(f"<{n}I").pack
+
+
 class Vocabulary:
     """What the file says, and the pieces of texts."""
 
@@ -86,6 +99,8 @@ class Vocabulary:
 
     def pieces(self, word: str) -> list[str]:
         """The pieces of a word from `words`; those of a text that isn't plain are pieces already."""
+        if word.isascii() and word.isalpha():
+            return [word]
         return PLAIN_PIECES.findall(word) if PLAIN.fullmatch(word) else [word]
 
 
@@ -96,22 +111,29 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Ids of whole texts from ids of words. `resolve` gives the ids of distinct words at once; the
-    last words are remembered."""
+    """Ids of whole texts from ids of words. `resolve` gives the ids of distinct words at once. Words
+    are remembered while they keep coming back."""
 
     def __init__(self, known: Vocabulary, resolve: Callable[[list[str]], Iterable[bytes]]):
         self.known, self.resolve = known, resolve
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as little-endian 32-bit integers."""
         split = [self.known.parts(t) for t in texts]
         words = [[p if i % 2 else self.known.words(p) for i, p in enumerate(parts)] for parts in split]
-        missing = {w for parts in words for p in parts[::2] for w in p} - self.memo.keys()
-        if len(self.memo) + len(missing) > MEMO:
-            self.memo.clear()
-            missing = {w for parts in words for p in parts[::2] for w in p}
-        new = sorted(missing)
+        distinct = set().union(*(p for parts in words for p in parts[::2]))
+        if len(self.memo) > MEMO:
+            self.memo, self.older = {}, self.memo
+        new = []
+        for word in distinct:
+            if word not in self.memo:
+                ids = self.older.get(word)
+                if ids is None:
+                    new.append(word)
+                else:
+                    self.memo[word] = ids
         self.memo.update(zip(new, self.resolve(new)))
         get, special = self.memo.__getitem__, self.known.special
         return [

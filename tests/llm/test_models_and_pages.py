@@ -180,6 +180,20 @@ def test_near_stage_against_brute_force(spark):
     assert set(range(30)) <= kept and len(kept) <= 31
 
 
+def test_stages_with_clashing_columns_and_nulls(spark):
+    from pyspark.sql import functions as F
+
+    texts = [*sentences(8, 21, 50), None, "", "1 2 3", None]
+    docs = clashing(documents(spark, texts, [*range(11), None]))
+    extra = {n: F.lit(1) for n in ("first", "lang_pred", "keep_id", "fingerprint", "whole", "n_tokens", "item", "group_size")}
+    docs = stored(spark, docs.withColumns(extra))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, TABLES)
+        assert found.columns == docs.columns, name
+        assert {r["doc_id"] for r in found.collect()} >= set(range(8)), name
+    assert corpus_pipeline.bpe(spark, docs, TABLES).count() == len(texts)
+
+
 def test_stages_on_nothing(spark):
     docs = documents(spark, [])
     for name, stage in corpus_pipeline.STAGES:
