@@ -19,24 +19,35 @@ from inputtrace.llm.simhash import group_near
 MIN_SCORE = 0.2  # of the language score: 0 is text without a known n-gram, 1 that of the profile itself
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """The columns the stages read, and all columns as one, so that no name can clash."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select("doc_id", "text", "lang", whole.alias("whole"))
+
+
+def unwrapped(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*[F.col("whole").getField(c).alias(c) for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language stay. Those without a letter go, and those whose n-grams are
     unlike every language's. Learned from the documents that the held-out fold leaves."""
     profiles = learn(docs.where(fold(F.col("doc_id"), 4) != 2))
-    found = predict(docs, profiles, carry=docs.columns)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    found = predict(wrapped(docs), profiles, carry=["whole"])
+    return unwrapped(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)), docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text stays: the one with the largest id."""
-    return deduplicate(docs, new_index(docs), carry=docs.columns).where("kept").select(*docs.columns)
+    return unwrapped(deduplicate(wrapped(docs), new_index(docs), carry=["whole"]).where("kept"), docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id. Shingles are
-    five words; fingerprints link at nine or fewer differing bits, which estimates a similarity of
-    0.8 or more."""
-    return group_near(docs, words=5, distance=9, blocks=10, agree=3, carry=docs.columns).where("first").select(*docs.columns)
+    five words; fingerprints link at eight or fewer differing bits, where the estimated similarity
+    is above 0.8."""
+    found = group_near(wrapped(docs), words=5, distance=8, blocks=8, agree=3, layouts=3, carry=["whole"])
+    return unwrapped(found.where("first"), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
