@@ -19,7 +19,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inputtrace.llm.common import carried, numbered, stored, table
+from inputtrace.llm.common import carried, mapped, numbered, stored, table
 from inputtrace.llm.wordpieces import Encoder, byte_symbols, chunks, pack_ids, vocabulary
 from inputtrace.session import scratch_path
 
@@ -262,7 +262,7 @@ def encode(
                 at += len(texts)
 
     schema = f"doc {rows.schema['doc'].dataType.simpleString()}, ids array<int>"
-    return rows.mapInArrow(run, schema).select(*carried(carry), "ids")
+    return mapped(rows, run, schema).select(*carried(carry), "ids")
 
 
 def digests(
@@ -287,7 +287,7 @@ def digests(
             yield pa.RecordBatch.from_arrays(arrays, ["doc", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = f"doc {rows.schema['doc'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return rows.mapInArrow(run, schema).select(*carried(carry), "n_tokens", "ids_sha256", "decoded_sha256")
+    return mapped(rows, run, schema).select(*carried(carry), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def default_path() -> str:

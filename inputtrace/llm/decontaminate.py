@@ -19,12 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inputtrace.llm.common import carried, numbered, stored, table
+from inputtrace.llm.common import carried, mapped, numbered, stored, table
 
 WINDOW = 5  # words
 SHARE = 0.5  # of an item's words that aligned windows must cover
 BITS = 24  # the bit table has 2 ** BITS bits, whatever the benchmark's size
-MEMO = 150_000
+MEMO = 60_000
 
 TOKEN = re.compile("[^\x20\x09-\x0d]+|\n")
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’‚…¡¿–—·•"
@@ -143,7 +143,7 @@ def item_windows(items: DataFrame, text: str, item_id: str, window: int) -> Data
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, ["item", "item_words", *[n for n, _ in ARROW]])
 
-    return rows.mapInArrow(run, f"item {rows.schema['item'].dataType.simpleString()}, item_words int, {WINDOWS}")
+    return mapped(rows, run, f"item {rows.schema['item'].dataType.simpleString()}, item_words int, {WINDOWS}")
 
 
 def bit_table(windows: DataFrame) -> np.ndarray:
@@ -178,7 +178,7 @@ def document_windows(docs: DataFrame, text: str, bits: np.ndarray, sizes: Sequen
             arrays = [pa.array(list(c), k) for c, k in zip(columns, [pa.int64(), *[k for _, k in ARROW]])]
             yield pa.RecordBatch.from_arrays(arrays, ["row", *[n for n, _ in ARROW]])
 
-    return rows.mapInArrow(run, f"row bigint, {WINDOWS}")
+    return mapped(rows, run, f"row bigint, {WINDOWS}")
 
 
 def leaks(

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inputtrace.llm.common import carried, numbered, table
+from inputtrace.llm.common import carried, mapped, numbered, table
 
 SIZE = 400  # n-grams of a profile, and of a document that count
 UNKNOWN = "und"
@@ -141,7 +141,7 @@ def predict(
 
     rows = numbered(docs, text, carry).select("text", "doc")
     schema = f"doc {rows.schema['doc'].dataType.simpleString()}, lang_pred string, score double"
-    return rows.mapInArrow(run, schema).select(*carried(carry), "lang_pred", "score")
+    return mapped(rows, run, schema).select(*carried(carry), "lang_pred", "score")
 
 
 def fold(doc_id: Column, parts: int) -> Column:

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inputtrace.llm.common import carried, numbered, table
+from inputtrace.llm.common import carried, mapped, numbered, table
 from inputtrace.llm.language_id import fold
 
 SAMPLE = 3000  # labelled rows drawn per class: half for the dictionaries, half for calibration
@@ -146,7 +146,7 @@ def score(
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(values)], ["doc", "score"])
 
     schema = f"doc {rows.schema['doc'].dataType.simpleString()}, score double"
-    return rows.mapInArrow(run, schema).select(*carried(carry), "score")
+    return mapped(rows, run, schema).select(*carried(carry), "score")
 
 
 def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inputtrace.llm.common import LOWER, UPPER, WORD, bucket_count, carried, numbered, stored, table
+from inputtrace.llm.common import LOWER, UPPER, WORD, bucket_count, carried, mapped, numbered, stored, table
 
 PIVOTS = 32  # reference fingerprints
 CELL = 2048  # fingerprints of a bucket that meet those of another part of it in one cell
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int, text: str, carry: Sequence[str]) -
             arrays = [batch.column(0), batch.column(2), pa.array(found.view(np.int64))]
             yield pa.RecordBatch.from_arrays(arrays, ["row", "doc", "fp"])
 
-    return rows.mapInArrow(run, f"row bigint, doc {rows.schema['doc'].dataType.simpleString()}, fp bigint")
+    return mapped(rows, run, f"row bigint, doc {rows.schema['doc'].dataType.simpleString()}, fp bigint")
 
 
 def references(n: int = PIVOTS) -> np.ndarray:

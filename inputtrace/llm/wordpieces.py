@@ -22,7 +22,7 @@ from tokenizers.pre_tokenizers import Split
 PLAIN = re.compile("[\t-\r -~\xa1-\xff]*")
 PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+")
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"  # fixed by the file format
-MEMO = 150_000  # words that a worker remembers at least; it holds twice as many at most
+MEMO = 80_000  # words that a worker remembers at least; it holds twice as many at most
 
 
 @cache
