@@ -21,11 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hold_splits(spark: SparkSession) -> None:
+    """Files are split alike in all jobs of the session. Else the split follows the cores that
+    are there when a job is planned, and row numbers shift with an executor lost or come back."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
 def numbered(docs: DataFrame, text: str, carry: Sequence[str]) -> DataFrame:
     """Rows (row, text, doc): a number that tells rows apart even where ids are null or repeated,
     the text (null is empty), and the carried columns as one struct, so that no name can clash.
 
-    The number follows from the place in the input, so the input must be a stored table."""
+    The number follows from the place in the input, so the input must be a stored table, and from
+    how its files are split, which is held for the session."""
+    hold_splits(docs.sparkSession)
     kept = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
     return docs.select(
         F.monotonically_increasing_id().alias("row"),

@@ -98,3 +98,23 @@ def test_every_line_dropped(spark, least):
     texts = ["a\na", "a"]
     rows = drop_frequent(documents(spark, texts), LineRuns(spark, scratch_path(spark, "runs")), least, carry=["doc_id"])
     assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in rows.collect()) == [(0, 2, 2, ""), (1, 1, 1, "")]
+
+
+def test_row_numbers_hold_when_cores_change(spark):
+    from inputtrace.llm.common import numbered, scratch_path
+
+    path, cores = scratch_path(spark, "many-files"), "spark.sql.leafNodeDefaultParallelism"
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.files.openCostInBytes",)}
+    spark.range(4000).selectExpr("id", "cast(id as string) as text").repartition(16).write.parquet(path)
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        seen = []
+        for n in ("2", "16"):
+            spark.conf.set(cores, n)
+            rows = numbered(spark.read.parquet(path), "text", ["id"])
+            seen.append({r["doc"]["id"]: r["row"] for r in rows.collect()})
+    finally:
+        spark.conf.unset(cores)
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert seen[0] == seen[1] and len(set(seen[0].values())) == 4000
