@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inputtrace.llm.common import LOWER, UPPER, WORD, bucket_count, carried, mapped, numbered, stored, table
@@ -26,22 +26,27 @@ from inputtrace.llm.common import LOWER, UPPER, WORD, bucket_count, carried, map
 PIVOTS = 32  # reference fingerprints
 CELL = 2048  # fingerprints of a bucket that meet those of another part of it in one cell
 SEED = 42
+BITS = 26  # of the tables that spare shuffles; fixed, whatever the input
 _LOWERED = str.maketrans(UPPER, LOWER)
 
 
-def fingerprint(text: str, words: int, seed: int = SEED) -> int:
-    """Bit i is 1 if it is set in over half of the shingles' XXH64 hashes; 0 without words."""
+def shingle_hashes(text: str, words: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle, in order; a text of fewer words is one, one without words has none."""
     found = WORD.findall(text.translate(_LOWERED) if not text.islower() else text)
     if not found:
-        return 0
+        return np.empty(0, "<u8")
     line = " ".join(found).encode("utf-8", "surrogatepass")
     hash_of = xxhash.xxh64_intdigest
     if len(found) <= words:
-        return hash_of(line, seed)
+        return np.array([hash_of(line, seed)], "<u8")
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     starts = [0, *(gaps + 1).tolist()][: len(found) - words + 1]
     ends = [*gaps.tolist(), len(line)][words - 1 :]
-    hashes = np.array([hash_of(line[a:b], seed) for a, b in zip(starts, ends)], "<u8")
+    return np.array([hash_of(line[a:b], seed) for a, b in zip(starts, ends)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the hashes; 0 without any."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)].view(np.uint8)
@@ -50,6 +55,11 @@ def fingerprint(text: str, words: int, seed: int = SEED) -> int:
     return int(bits.view("<u8")[0])
 
 
+def fingerprint(text: str, words: int, seed: int = SEED) -> int:
+    """Bit i is 1 if it is set in over half of the shingles' XXH64 hashes; 0 without words."""
+    return majority(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int, text: str, carry: Sequence[str]) -> DataFrame:
     """Rows (row, doc, fp), the fingerprint as a signed 64-bit integer. Null text is empty."""
     rows = numbered(docs, text, carry)
@@ -219,9 +229,92 @@ def connect(edges: DataFrame) -> DataFrame:
     return roots
 
 
+def shingled(docs: DataFrame, words: int, text: str, carry: Sequence[str]) -> DataFrame:
+    """Rows (row, doc, fp, digest): the fingerprint, and a 128-bit digest of the set of shingles."""
+    rows = numbered(docs, text, carry)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, digests = [], []
+            for t in batch.column(1):
+                hashes = shingle_hashes(t.as_py(), words)
+                prints.append(majority(hashes))
+                digests.append(xxhash.xxh3_128_digest(np.unique(hashes).tobytes()))
+            arrays = [batch.column(0), batch.column(2), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(digests, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc", "fp", "digest"])
+
+    return mapped(rows, run, f"row bigint, doc {rows.schema['doc'].dataType.simpleString()}, fp bigint, digest binary")
+
+
+def top_bits(name: str, bits: int) -> Column:
+    return F.shiftrightunsigned(name, 64 - bits)
+
+
+def bit_table(values: DataFrame, name: str, level: Column | None = None) -> np.ndarray:
+    """2 ** BITS bits as bytes. Without a level, the bit of a value's highest bits is set; with one,
+    the value has a byte, in which as many low bits are set. At most 2 ** (BITS - 6) rows are read."""
+    if level is None:
+        place, bit = top_bits(name, BITS), F.lit(1).cast("long")
+        spot = F.expr(f"cast(shiftrightunsigned({name}, {64 - BITS}) & 63 as int)")
+        at = F.shiftright(place, 6)
+    else:
+        place, bit = top_bits(name, BITS - 3), F.expr("shiftleft(1L, least(level, 8)) - 1")
+        spot = F.expr(f"cast(shiftrightunsigned({name}, {64 - BITS + 3}) & 7 as int) * 8")
+        at = F.shiftright(place, 3)
+        values = values.withColumn("level", level.cast("int"))
+    found = values.select(at.cast("int").alias("at"), bit.alias("bit"), spot.alias("spot"))
+    found = found.select("at", F.expr("shiftleft(bit, spot)").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(1 << BITS - 6, "<i8")
+    bits[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return bits.view(np.uint8)
+
+
+def is_set(table_of: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = values >> np.uint64(64 - BITS)
+    return (table_of[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1) == 1
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that what is made of a part stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
+def chosen_rows(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
+    """(row, text) of the rows in `nodes` (node), and some others: those whose bit is set."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(nodes.select(F.xxhash64("node").alias("h")), "h"))
+    rows = numbered(docs, text, []).select("row", "text", F.xxhash64("row").alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(is_set(shared.value, hashes))).select([0, 1])
+
+    return mapped(rows, run, "row bigint, text string")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, words: int, text: str, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of row numbers (stored), those whose shingle sets are similar; stored."""
+    nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+
+    sets = mapped(chosen_rows(docs, nodes, text), run, "node bigint, s array<bigint>")
+    sets = stored(sets.join(nodes, "node", "left_semi"), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
+    shared = F.size(F.array_intersect("s", "t"))
+    union = F.size("s") + F.size("t") - shared
+    return stored(both.where((union == 0) | (shared / union >= similarity)).select("a", "b"), "verified")
+
+
 def group_near(
     docs: DataFrame, words: int = 5, distance: int = 8, blocks: int = 8, agree: int = 3, layouts: int = 3,
-    doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = (),
+    doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = (), similarity: float | None = None,
 ) -> DataFrame:
     """Columns fp, component_id, first and those of `carry`, one row per input row.
 
@@ -231,30 +324,46 @@ def group_near(
     fingerprint 0; shorter texts are one shingle. Null ids are greatest; among repeated rows with
     the smallest id one is first. No rows give no rows.
 
+    With `similarity`, texts link instead when the Jaccard similarity of their shingle sets is at
+    least that (as far as 64-bit hashes tell shingles apart) and a link by fingerprint names them.
+
     Fingerprints meet where they agree on `agree` of `blocks` blocks of bits, in one of `layouts`
-    of the blocks. Up to `blocks - agree` differing bits that is certain, and the result is exact
-    if `distance` is no more. Eight of 64 bits are what a similarity of 0.86 makes differ on
-    average, and a similarity of 0.8 often enough. Three layouts of eight blocks, of which three
-    agree, find all pairs with up to five differing bits, and of those with six, seven and eight
-    over 99, 98 and 93 % if layouts met at random; the tests measure it. More agreeing blocks make
-    longer keys, which larger collections need: buckets grow with the number of texts per key."""
+    of the blocks. Up to `blocks - agree` differing bits that is certain, and the result by bits is
+    exact if `distance` is no more. Three layouts of eight blocks, of which three agree, find all
+    pairs with up to five differing bits, and of those with six, seven and eight 99, 93 and 80 %.
+    More agreeing blocks make longer keys, which larger collections need: buckets grow with the
+    number of texts per key."""
     kept = [*dict.fromkeys([doc_id, *carry])]
-    small = stored(fingerprints(docs, words, text, [doc_id]), "fingerprints")
     lead = F.min(F.struct(F.col("doc").getField(doc_id).isNull().alias("none"), F.col("doc").getField(doc_id).alias("id"), "row"))
-    nodes = stored(small.groupBy("fp").agg(lead.alias("lead")), "nodes")
-    roots = connect(links(nodes.select("fp"), distance, blocks, agree, layouts)).withColumnRenamed("node", "fp")
-    rooted = stored(
-        nodes.join(roots, "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root")), "rooted"
-    )
+    if similarity is None:
+        unit = "fp"
+        small = stored(fingerprints(docs, words, text, [doc_id]), "fingerprints")
+        nodes = stored(small.groupBy("fp").agg(lead.alias("lead")), "nodes")
+        roots = connect(links(nodes.select("fp"), distance, blocks, agree, layouts)).withColumnRenamed("node", "fp")
+        rooted = nodes.join(roots, "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
+    else:
+        unit = "digest"
+        small = stored(shingled(docs, words, text, [doc_id]), "shingled")
+        nodes = small.groupBy("digest").agg(lead.alias("lead"), F.min("fp").alias("fp"))
+        nodes = stored(nodes.withColumn("node", F.col("lead.row")), "nodes")
+        heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("head")), "fingerprint-heads")
+        near = links(heads.select("fp"), distance, blocks, agree, layouts)
+        near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a")
+        near = near.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+        near = near.unionByName(nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y")))
+        near = stored(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
+        roots = connect(verified(docs, near, words, text, similarity))
+        rooted = nodes.join(roots, "node", "left").select("digest", "lead", F.coalesce("root", "node").alias("root"))
+    rooted = stored(rooted, "rooted")
     best = stored(rooted.groupBy("root").agg(F.min("lead").alias("lead")), "leads")
     owner = stored(
-        rooted.drop("lead").join(best, "root").select("fp", F.col("lead.id").alias("component_id"), F.col("lead.row").alias("lead_row")),
+        rooted.drop("lead").join(best, "root").select(unit, F.col("lead.id").alias("component_id"), F.col("lead.row").alias("lead_row")),
         "owners",
     )
     if kept == [doc_id]:
-        found = small.join(owner, "fp")
+        found = small.join(owner, unit)
     else:
-        placed = small.join(owner, "fp").select("row", "fp", "component_id", "lead_row")
+        placed = small.join(owner, unit).select("row", "fp", "component_id", "lead_row")
         found = numbered(docs, text, carry).drop("text").join(placed, "row")
     return found.select(*carried(carry), "fp", "component_id", (F.col("row") == F.col("lead_row")).alias("first"))
 

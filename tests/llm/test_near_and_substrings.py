@@ -75,6 +75,43 @@ def test_recall_beyond_the_blocks(spark):
     assert sum(rows[i] == rows[i + 1] for i in near) >= 0.9 * len(near)
 
 
+def shingle_set(text, words=5):
+    found = WORD.findall((text or "").translate(LOWERED))
+    return {" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def similar_groups(texts, least=0.8):
+    sets, group = [shingle_set(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            union = len(sets[i]) + len(sets[j]) - shared
+            if group[i] != group[j] and (not union or shared / union >= least):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return [group.index(g) for g in group]
+
+
+def related_texts():
+    """Pairs about the similarity of 0.8 on both sides, chains, and texts with a common passage."""
+    rng = random.Random(5)
+    texts = [t for base in sentences(60, 5, 150) for t in (base, edited(base, rng.randint(1, 6), rng))]
+    chain = sentences(1, 6, 200)[0].split()
+    texts += [" ".join(chain[i * 10 : i * 10 + 120]) for i in range(8)]
+    passage = sentences(1, 7, 60)[0]
+    texts += [f"{passage} {t}" for n in (4, 10, 40) for t in sentences(30, 8 + n, n)]
+    return texts + near_texts()
+
+
+def test_links_are_verified(spark):
+    texts = related_texts()
+    rows = group_near(documents(spark, texts), 5, 8, 8, 3, 3, carry=["doc_id"], similarity=0.8).collect()
+    got, want = {r["doc_id"]: r["component_id"] for r in rows}, similar_groups(texts)
+    assert all(want[i] == want[got[i]] for i in range(len(texts)))
+    by_bits = slow_groups(list(range(len(texts))), [slow_fingerprint(t, 5) for t in texts], 8)
+    assert any(want[i] != want[by_bits[i]] for i in range(len(texts)))  # bits alone link others
+
+
 def test_cells_compare_what_they_must():
     rng = np.random.default_rng(0)
     centre = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
