@@ -45,7 +45,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id. Near copies
     are texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8; links by
-    fingerprint are verified."""
+    fingerprint are verified, and what they miss is found by shared shingles."""
     found = group_near(wrapped(docs), words=5, distance=8, blocks=8, agree=3, layouts=3, carry=["whole"], similarity=0.8)
     return unwrapped(found.where("first"), docs)
 

@@ -12,6 +12,7 @@ forest of its links, never its pairs. Components are found by contraction over w
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
@@ -27,6 +28,9 @@ PIVOTS = 32  # reference fingerprints
 CELL = 2048  # fingerprints of a bucket that meet those of another part of it in one cell
 SEED = 42
 BITS = 26  # of the tables that spare shuffles; fixed, whatever the input
+SAMPLE = 8  # one of so many texts counts for the order of shingles, on which no result depends
+PARITY = 8  # 64-bit integers of a set's parities
+NAMES = ["key", "node", "n", *[f"p{i}" for i in range(PARITY)]]
 _LOWERED = str.maketrans(UPPER, LOWER)
 
 
@@ -274,6 +278,20 @@ def is_set(table_of: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (table_of[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1) == 1
 
 
+def prefix(values: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles of a set, rarest first, as far as a set of that similarity must share one."""
+    need = math.ceil(similarity * len(values) - 1e-9)
+    order = np.lexsort((values, levels[(values >> np.uint64(64 - BITS + 3)).astype(np.int64)]))
+    return values[order[: len(values) - need + 1]] if len(values) else values
+
+
+def parity(values: np.ndarray) -> np.ndarray:
+    """For each value of the low bits, whether an odd number of shingles has it: two sets differ in
+    at least as many shingles as their parities in bits."""
+    counts = np.bincount((values & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY)
+    return np.packbits(counts & 1, bitorder="little").view("<i8")
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in parts, so that what is made of a part stays small."""
     for batch in batches:
@@ -312,6 +330,79 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, text: str, similarit
     return stored(both.where((union == 0) | (shared / union >= similarity)).select("a", "b"), "verified")
 
 
+def similar(
+    docs: DataFrame, nodes: DataFrame, edges: DataFrame, words: int, text: str, similarity: float
+) -> DataFrame:
+    """(node, root) of all components by similar pairs among `nodes` (rows with distinct sets,
+    stored), of which `edges` are some; nodes without a link may be missing.
+
+    Two similar sets share one of the shingles of their prefixes, whatever the order of shingles;
+    here common ones come last, as a sample of the nodes counts them, so that buckets stay small.
+    A bucket's members are not all paired: a few heads meet all others, pairs of one component,
+    of unfit sizes or parities are left out, and what fits is verified. Heads then leave, and
+    buckets of one component are done. The number of heads grows with each round until no bucket
+    is left; so a group of near copies costs a round, and unlike members cost at most all pairs."""
+    spark = docs.sparkSession
+    sample = nodes.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SAMPLE)) == 0)
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = np.concatenate([np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
+
+    counts = mapped(chosen_rows(docs, sample, text), all_of, "h bigint").groupBy("h").agg(F.count("*").alias("n"))
+    levels = spark.sparkContext.broadcast(
+        bit_table(counts.where("n > 1").select("h", "n"), "h", F.floor(F.log2("n")))
+    )
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(1)]
+            keys = np.concatenate([prefix(s, levels.value, similarity) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+
+    own = chosen_rows(docs, nodes, text)
+    met = mapped(own, keys_of, "key bigint").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    often = spark.sparkContext.broadcast(bit_table(met.select("key"), "key"))
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys, same = [], []
+            for row, t in zip(batch.column(0), batch.column(1)):
+                values = np.unique(shingle_hashes(t.as_py(), words))
+                found = prefix(values, levels.value, similarity)
+                keys.append(found[is_set(often.value, found)])
+                same.append((row.as_py(), len(values), *parity(values).tolist()))
+            own = np.repeat(np.array(same, np.int64), [len(k) for k in keys], axis=0)
+            columns = [np.concatenate(keys).view(np.int64), *own.T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], NAMES)
+
+    rows = mapped(own, rows_of, ", ".join(f"{n} bigint" for n in NAMES)).join(nodes, "node", "left_semi")
+    rows = stored(rows.select(*NAMES), "prefixes")
+    heads_each = 4
+    while True:
+        roots = connect(edges)
+        rows = rows.join(roots.withColumnRenamed("root", "comp"), "node", "left")
+        rows = rows.withColumn("comp", F.coalesce("comp", "node"))
+        live = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        rows = stored(rows.join(stored(live.select("key"), "live"), "key", "left_semi"), "bucket-rows")
+        if rows.isEmpty():
+            return roots
+        part = F.pmod(F.xxhash64("node", F.lit(heads_each)), F.lit(heads_each))
+        first = F.min(F.struct("n", "node", "comp", *NAMES[3:])).alias("head")
+        heads = stored(rows.groupBy("key", part.alias("part")).agg(first).select("key", "head"), "heads")
+        n, m = F.col("n"), F.col("head.n")
+        apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"head.{p}"))) for p in NAMES[3:]), F.lit(0))
+        most = (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        fits = (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (apart <= most)
+        pairs = rows.join(heads, "key").where((F.col("comp") != F.col("head.comp")) & fits)
+        pairs = stored(pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct(), "pairs")
+        edges = stored(edges.unionByName(verified(docs, pairs, words, text, similarity)), "similar")
+        gone = heads.select("key", F.col("head.node").alias("node"))
+        rows = rows.drop("comp").join(gone, ["key", "node"], "left_anti")
+        heads_each *= 8
+
+
 def group_near(
     docs: DataFrame, words: int = 5, distance: int = 8, blocks: int = 8, agree: int = 3, layouts: int = 3,
     doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = (), similarity: float | None = None,
@@ -325,7 +416,8 @@ def group_near(
     the smallest id one is first. No rows give no rows.
 
     With `similarity`, texts link instead when the Jaccard similarity of their shingle sets is at
-    least that (as far as 64-bit hashes tell shingles apart) and a link by fingerprint names them.
+    least that, all such pairs and no others (as far as 64-bit hashes tell shingles apart): links
+    by fingerprint are only candidates then, and `similar` finds what they miss.
 
     Fingerprints meet where they agree on `agree` of `blocks` blocks of bits, in one of `layouts`
     of the blocks. Up to `blocks - agree` differing bits that is certain, and the result by bits is
@@ -352,7 +444,7 @@ def group_near(
         near = near.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
         near = near.unionByName(nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y")))
         near = stored(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
-        roots = connect(verified(docs, near, words, text, similarity))
+        roots = similar(docs, nodes.select("node"), verified(docs, near, words, text, similarity), words, text, similarity)
         rooted = nodes.join(roots, "node", "left").select("digest", "lead", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted, "rooted")
     best = stored(rooted.groupBy("root").agg(F.min("lead").alias("lead")), "leads")

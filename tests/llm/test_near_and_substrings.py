@@ -112,6 +112,29 @@ def test_links_are_verified(spark):
     assert any(want[i] != want[by_bits[i]] for i in range(len(texts)))  # bits alone link others
 
 
+def test_all_similar_pairs_and_no_others(spark):
+    texts = related_texts()
+    rows = group_near(clashing(documents(spark, texts)), 5, 8, 8, 3, 3, carry=["doc_id"], similarity=0.8).collect()
+    got = {r["doc_id"]: r["component_id"] for r in rows}
+    want = similar_groups(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert sorted(r["doc_id"] for r in rows if r["first"]) == sorted(set(want))
+    by_bits = slow_groups(list(range(len(texts))), [slow_fingerprint(t, 5) for t in texts], 8)
+    assert any(w != b for w, b in zip(want, by_bits))  # links by bits alone are others
+
+
+def test_pipeline_near_copies(spark):
+    from corpus_pipeline import simhash_near_dedup
+
+    texts = related_texts()
+    rows = simhash_near_dedup(spark, documents(spark, texts), "").collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(set(similar_groups(texts)))
+
+
+def test_similarity_of_no_rows(spark):
+    assert group_near(documents(spark, []), similarity=0.8).count() == 0
+
+
 def test_cells_compare_what_they_must():
     rng = np.random.default_rng(0)
     centre = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
