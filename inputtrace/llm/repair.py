@@ -41,7 +41,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary_size: int) -> tuple[n
 
     In each round the pairs are counted, and every occurrence of a frequent pair that is more
     frequent than the pairs overlapping it (the left one among equals) becomes its pair's nonterminal. Rounds end when no
-    pair is frequent, or the symbols' width is used up."""
+    pair is frequent, the symbols' width is used up, or after ROUNDS = 6, so a rule spans at most
+    64 ids: longer repeats stay chains of symbols, and only compression is less."""
     width = 16 if vocabulary_size < (1 << 16) - 4096 else 32
     kind = np.uint32 if width == 16 else np.uint64
     room = (1 << width) - vocabulary_size if width == 16 else 1 << 20
