@@ -13,7 +13,6 @@ take bounded blocks of candidates and of anchors.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +27,9 @@ ANCHORS = 1 << 16  # anchors of a task, about
 PIVOTS = 1024  # at most, which reach the driver and all tasks
 LABEL_PARTS = 16
 LEAF = 16  # vectors of a leaf; more if they are alike
+STEP = 64  # nodes that a query opens in a round
+PAIRS = 1 << 16  # products computed at once
+CELLS = 1 << 21  # bounds held at once
 BASE = 1.3  # radius of a level to that of the next
 SLACK = 1e-6  # of an angle, for rounding
 SCALE = 256  # fixed by the query's contract
@@ -92,6 +94,8 @@ class CoverTree:
             self.span.append((start, end))
             at += 1
         self.center, self.radius = np.array(self.center, np.int64), np.array(self.radius)
+        self.kids = np.array(self.kids, np.int64).reshape(-1, 2)
+        self.span = np.array(self.span, np.int64).reshape(-1, 2)
         self.vectors = vectors
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,38 +108,65 @@ class CoverTree:
         return least - lengths * 1e-12, most + lengths * 1e-12
 
     def best(
-        self, query: np.ndarray, least: np.ndarray, most: np.ndarray, k: int, low: float, high: float,
-        ids: np.ndarray, allowed: np.ndarray,
-    ) -> list[tuple[int, int, int]]:
-        """The k allowed vectors of the largest products from `low` to `high`, as (-product, id, place),
-        ties by id, then place. `least` and `most` are the bounds of the query."""
-        if not len(self.center) or not allowed.any():
-            return []
-        found: list[tuple[int, int, int]] = []
-        floor = low
-        heap = [(-most[0], 0)] if least[0] <= high else []
-        while heap and -heap[0][0] >= floor:
-            _, node = heapq.heappop(heap)
-            first, end = self.kids[node]
-            if first < end:
-                keep = (most[first:end] >= floor) & (least[first:end] <= high)
-                for kid in (np.flatnonzero(keep) + first).tolist():
-                    heapq.heappush(heap, (-most[kid], kid))
-                continue
-            a, b = self.span[node]
-            places = self.order[a:b]
-            places = places[allowed[places]]
-            score = products(query[None], self.vectors[places])[0]
-            fits = (score >= floor) & (score <= high)
-            places, score = places[fits], score[fits]
-            if len(places) > k:
-                first_k = np.lexsort((places, ids[places], -score))[:k]
-                places, score = places[first_k], score[first_k]
-            found += zip((-score).tolist(), ids[places].tolist(), places.tolist())
-            if len(found) >= k:
-                found = sorted(found)[:k]
-                floor = max(low, -found[-1][0])
-        return sorted(found)[:k]
+        self, queries: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], k: int, low: np.ndarray, high: np.ndarray,
+        ids: np.ndarray, allowed: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each query the k largest products from `low` to `high`, as columns (query, product,
+        place), ties by id, then place. `allowed` says which pairs of query and place count.
+
+        All queries descend together, each by its own `STEP` best open nodes a round. What a round
+        finds raises the floor below which a query leaves nodes out."""
+        least, most = bounds
+        none = np.empty(0, np.int64)
+        query, product, place = none, none, none
+        open_nodes = np.zeros(most.shape, bool)
+        if most.shape[1]:
+            open_nodes[:, 0] = least[:, 0] <= high
+        floor = low.copy()
+        while True:
+            live = np.where(open_nodes & (most >= floor[:, None]), most, -np.inf)
+            if live.shape[1] > STEP:
+                column = np.argpartition(live, -STEP, axis=1)[:, -STEP:]
+                some, at = np.nonzero(np.take_along_axis(live, column, 1) > -np.inf)
+                node = column[some, at]
+            else:
+                some, node = np.nonzero(live > -np.inf)
+            if not len(some):
+                return query, product, place
+            open_nodes[some, node] = False
+            inner = self.kids[node, 1] > self.kids[node, 0]
+            who, kid = spread(some[inner], self.kids[node[inner]])
+            open_nodes[who, kid] = least[who, kid] <= high[who]
+            who, at = spread(some[~inner], self.span[node[~inner]])
+            at = self.order[at]
+            keep = allowed(who, at)
+            who, at = who[keep], at[keep]
+            score = self.pair_products(queries, who, at)
+            keep = (score >= floor[who]) & (score <= high[who])
+            query = np.concatenate((query, who[keep]))
+            product = np.concatenate((product, score[keep]))
+            place = np.concatenate((place, at[keep]))
+            sort = np.lexsort((place, ids[place], -product, query))
+            query, product, place = query[sort], product[sort], place[sort]
+            rank = np.arange(len(query)) - np.searchsorted(query, query)
+            full = rank == k - 1
+            floor[query[full]] = np.maximum(floor[query[full]], product[full])
+            query, product, place = query[rank < k], product[rank < k], place[rank < k]
+
+    def pair_products(self, queries: np.ndarray, who: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Exact products of pairs of a query and a vector."""
+        found = np.empty(len(who), np.int64)
+        for start in range(0, len(who), PAIRS):
+            cut = slice(start, start + PAIRS)
+            found[cut] = np.einsum("ij,ij->i", queries[who[cut]], self.vectors[at[cut]])
+        return found
+
+
+def spread(who: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each number of each range, beside the query the range is for."""
+    sizes = ranges[:, 1] - ranges[:, 0]
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(who, sizes), np.arange(sizes.sum()) + np.repeat(ranges[:, 0] - before, sizes)
 
 
 def prepared(rows: DataFrame, vec_id: str, vector: str, label: Column) -> DataFrame:
@@ -198,54 +229,64 @@ class Blocks:
             found = F.when(part == own, F.sequence(F.lit(begin), F.lit(end - 1)).cast("array<bigint>")).otherwise(found)
         return found
 
-    def search(
-        self, anchors: DataFrame, blocks: Column, groups: int, schema: str,
-        find: Callable[[CoverTree, dict, dict, np.ndarray, np.ndarray, int], Iterator[tuple]],
-    ) -> DataFrame:
-        """Rows that `find` gives for each anchor and block, anchors in `groups` parts."""
+    def search(self, anchors: DataFrame, blocks: Column, groups: int, schema: str, find: Callable) -> DataFrame:
+        """Rows that `find` gives for each block and the anchors that meet it, anchors in `groups` parts."""
         group = F.pmod(F.xxhash64("row", F.lit(2)), F.lit(groups)).alias("group")
         left = self.rows.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
         right = anchors.select("*", group, F.explode(blocks).alias("block"))
         names = [c.split()[0] for c in schema.split(", ")]
-        kinds = [pa.int64()] * len(names)
 
         def run(_, candidates: pa.Table, queries: pa.Table) -> pa.Table:
-            found: list[tuple] = []
-            if len(candidates) and len(queries):
-                vectors, asked = matrix(candidates.column("v")), matrix(queries.column("v"))
-                width = max(vectors.shape[1], asked.shape[1])
-                vectors, asked = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (vectors, asked))
-                tree = CoverTree(vectors)
-                told = {c: np.asarray(candidates.column(c)) for c in ("row", "vec_id", "label")}
-                for start in range(0, len(asked), 512):
-                    least, most = tree.bounds(asked[start : start + 512])
-                    some = queries.slice(start, 512).to_pylist()
-                    for i, query in enumerate(some):
-                        found += find(tree, told, query, asked[start + i], least[i], most[i])
-            columns = list(zip(*found)) if found else [[]] * len(names)
-            return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            if not len(candidates) or not len(queries):
+                return pa.table([pa.array([], pa.int64())] * len(names), names)
+            vectors, asked = matrix(candidates.column("v")), matrix(queries.column("v"))
+            width = max(vectors.shape[1], asked.shape[1])
+            vectors, asked = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (vectors, asked))
+            tree = CoverTree(vectors)
+            told = {c: np.asarray(candidates.column(c)) for c in ("row", "vec_id", "label")}
+            size = max(1, CELLS // len(tree.center))
+            parts = [
+                find(tree, told, queries.slice(start, size), asked[start : start + size])
+                for start in range(0, len(asked), size)
+            ]
+            return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts)], names)
 
         pair = left.groupBy("block", "group").cogroup(right.groupBy("block", "group"))
         return pair.applyInArrow(run, schema)
 
 
 def _positives(k: int):
-    def find(tree, told, query, vector, least, most):
-        allowed = (told["label"] == query["label"]) & (told["row"] != query["row"])
-        for score, vec_id, place in tree.best(vector, least, most, k, -np.inf, np.inf, told["vec_id"], allowed):
-            yield query["row"], -score, vec_id, int(told["row"][place])
+    def find(tree: CoverTree, told: dict, queries: pa.Table, asked: np.ndarray) -> tuple:
+        row, label = np.asarray(queries.column("row")), np.asarray(queries.column("label"))
+        free = np.full(len(row), np.inf)
+        who, score, place = tree.best(
+            asked, tree.bounds(asked), k, -free, free, told["vec_id"],
+            lambda q, at: (told["label"][at] == label[q]) & (told["row"][at] != row[q]),
+        )
+        return row[who], score, told["vec_id"][place], told["row"][place]
 
     return find
 
 
 def _negatives(k: int, low: int):
-    def find(tree, told, query, vector, least, most):
-        allowed = told["label"] != query["label"]
-        for n, high in enumerate(query["scores"]):
-            least_score = -(-low * high // 100)
-            if least_score <= high:
-                for score, vec_id, place in tree.best(vector, least, most, k, least_score, high, told["vec_id"], allowed):
-                    yield query["row"], n, -score, vec_id, int(told["row"][place])
+    def find(tree: CoverTree, told: dict, queries: pa.Table, asked: np.ndarray) -> tuple:
+        row, label = np.asarray(queries.column("row")), np.asarray(queries.column("label"))
+        lists = queries.column("scores").combine_chunks()
+        high = np.asarray(lists.flatten(), np.int64)
+        sizes = np.asarray(lists.value_lengths(), np.int64)
+        anchor, window = spread(np.arange(len(row)), np.column_stack((sizes * 0, sizes)))
+        least = -(-low * high // 100)
+        bounds = tree.bounds(asked)
+        parts = []
+        for n in range(int(sizes.max(initial=0))):  # the windows of one place; an anchor has few
+            own = np.flatnonzero((window == n) & (least <= high))
+            a = anchor[own]
+            who, score, place = tree.best(
+                asked[a], tuple(b[a] for b in bounds), k, least[own].astype(float), high[own].astype(float), told["vec_id"],
+                lambda q, at, a=a: told["label"][at] != label[a[q]],
+            )
+            parts.append((row[a[who]], np.full(len(who), n), score, told["vec_id"][place], told["row"][place]))
+        return tuple(np.concatenate(c) for c in zip(*parts))
 
     return find
 
