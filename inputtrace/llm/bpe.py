@@ -20,42 +20,77 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inputtrace.llm.common import carried, mapped, numbered, stored, table
-from inputtrace.llm.wordpieces import Encoder, byte_symbols, chunks, pack_ids, vocabulary
+from inputtrace.llm.wordpieces import Encoder, byte_symbols, chunks, vocabulary
 from inputtrace.session import scratch_path
 
 LEXICON = 1 << 16  # words compiled
+NEVER = 1 << 22  # above any rank
+PLACE = (1 << 40) - 1
 HELD = 200_000  # distinct words a counting task holds before it hands counts on
 
 
 class Merger:
-    """Exact merging of one word: the pair of lowest rank first, the leftmost among equals."""
+    """Exact merging: in each word the pair of lowest rank first, the leftmost among equals."""
 
     def __init__(self, path: str):
         known = vocabulary(path)
         ids, symbols = known.ids, byte_symbols()
-        self.inner = [ids[s] for s in symbols]
-        self.last = [ids[s + known.suffix] for s in symbols]
-        self.pairs = {ids[a] << 32 | ids[b]: (rank, ids[a + b]) for rank, (a, b) in enumerate(known.merges)}
-
-    def ids(self, word: bytes) -> list[int]:
-        if not word:
-            return []
-        line = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
-        get = self.pairs.get
-        found = [get(a << 32 | b) for a, b in zip(line, line[1:])]
-        while True:
-            best, at = None, -1
-            for i, pair in enumerate(found):
-                if pair is not None and (best is None or pair < best):
-                    best, at = pair, i
-            if best is None:
-                return line
-            line[at : at + 2] = [best[1]]
-            del found[at]
-            if at < len(found):
-                found[at] = get(line[at] << 32 | line[at + 1])
-            if at:
-                found[at - 1] = get(line[at - 1] << 32 | line[at])
+        self.inner = np.array([ids[s] for s in symbols], np.int64)
+        self.last = np.array([ids[s + known.suffix] for s in symbols], np.int64)
+        pairs = np.array([(ids[a] << 32 | ids[b], ids[a + b]) for a, b in known.merges], np.int64).reshape(-1, 2)
+        order = np.argsort(pairs[:, 0])
+        self.pairs, self.rank, self.merged = pairs[order, 0], order, pairs[:, 1]
+
+    def ranks(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, `NEVER` for those that do not merge."""
+        pair = first << 32 | second
+        place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[place] == pair, self.rank[place], NEVER)
+
+    def many(self, words: Sequence[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian 32-bit integers. All words merge one pair a round; a
+        word in which nothing merges is set aside."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        found = [b""] * len(words)
+        word = np.flatnonzero(sizes)
+        sizes = sizes[word]
+        starts = np.cumsum(sizes) - sizes
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        line = self.inner[letters]
+        ends = starts + sizes - 1
+        line[ends] = self.last[letters[ends]]
+        rank = np.full(len(line), NEVER)
+        rank[:-1] = self.ranks(line[:-1], line[1:])
+        rank[ends] = NEVER
+        while len(word):
+            best = np.minimum.reduceat(rank << 40 | np.arange(len(line)), starts)
+            live = best >> 40 < NEVER
+            if not live.all():
+                done = np.flatnonzero(~live)
+                data = line.astype("<u4").tobytes()
+                for i, a, n in zip(word[done].tolist(), starts[done].tolist(), sizes[done].tolist()):
+                    found[i] = data[4 * a : 4 * (a + n)]
+                stay = np.repeat(live, sizes)
+                moved = starts - np.cumsum(np.where(live, 0, sizes))
+                line, rank = line[stay], rank[stay]
+                place = (best & PLACE)[live] - starts[live]
+                word, sizes, best, starts = word[live], sizes[live], best[live], moved[live]
+                place += starts
+            else:
+                place = best & PLACE
+            line[place] = self.merged[best >> 40]
+            stay = np.ones(len(line), bool)
+            stay[place + 1] = False
+            line, rank = line[stay], rank[stay]
+            gone = np.arange(len(word))
+            place, starts, sizes = place - gone, starts - gone, sizes - 1
+            before = place[place > starts]
+            rank[before - 1] = self.ranks(line[before - 1], line[before])
+            inside = place < starts + sizes - 1
+            rank[place[~inside]] = NEVER
+            place = place[inside]
+            rank[place] = self.ranks(line[place], line[place + 1])
+        return found
 
 
 @lru_cache(1)
@@ -163,7 +198,9 @@ class Codec:
     def __init__(self, path: str, lexicon: np.ndarray):
         self.known, self.words, self.merge = vocabulary(path), Transducer(lexicon), merger(path)
         self.encoder = Encoder(self.known, self.resolve)
-        self.names = self.known.names()
+        self.names = [name.encode() for name in self.known.names()]
+        self.numbers = [b"%d" % i for i in range(self.known.size)]
+        self.teller = Encoder(self.known, self.tell)
 
     def resolve(self, words: list[str]) -> list[bytes]:
         split = [self.known.pieces(w) for w in words]
@@ -171,16 +208,36 @@ class Codec:
         pieces = [p.encode() for p in distinct]
         places = self.words.places(pieces)
         known = iter(self.words.outputs(places[places >= 0]))
-        for piece, data, place in zip(distinct, pieces, places.tolist()):
-            distinct[piece] = next(known) if place >= 0 else pack_ids(self.merge.ids(data))
-        return [b"".join(map(distinct.__getitem__, pieces)) for pieces in split]
+        merged = iter(self.merge.many([p for p, place in zip(pieces, places.tolist()) if place < 0]))
+        for piece, place in zip(distinct, places.tolist()):
+            distinct[piece] = next(known) if place >= 0 else next(merged)
+        return [distinct[p[0]] if len(p) == 1 else b"".join(map(distinct.__getitem__, p)) for p in split]
+
+    def tell(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """Of each word the decimal ids and the tokens' strings, each joined by blanks."""
+        found = self.resolve(words)
+        flat = np.frombuffer(b"".join(found), "<u4").tolist()
+        numbers, names = list(map(self.numbers.__getitem__, flat)), list(map(self.names.__getitem__, flat))
+        told, at = [], 0
+        for ids in found:
+            end = at + len(ids) // 4
+            told.append((numbers[at], names[at]) if end == at + 1 else (b" ".join(numbers[at:end]), b" ".join(names[at:end])))
+            at = end
+        return told
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.encoder.encode(texts)
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens' strings between blanks, as the library joins them without a decoder."""
-        return " ".join(map(self.names.__getitem__, ids.tolist()))
+        return b" ".join(map(self.names.__getitem__, ids.tolist())).decode()
+
+    def told(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """Of each text the decimal ids and the decoded text."""
+        special = {name: (b"%d" % i, name.encode()) for name, i in self.known.special.items()}
+        for words in self.teller.values(texts, special):
+            words = [w for w in words if w[0]]
+            yield b" ".join([w[0] for w in words]), b" ".join([w[1] for w in words])
 
 
 @lru_cache(1)
@@ -231,7 +288,7 @@ def build_lexicon(docs: DataFrame, path: str, text: str = "text", size: int = LE
     At most `size` words reach the driver. The file is kept in the shared folder."""
     spark = docs.sparkSession
     words = sorted(w.encode() for w in frequent(count_words(docs, path, text), size))
-    data = compile_words(words, [merger(path).ids(w) for w in words]).astype("<i8").tobytes()
+    data = compile_words(words, [np.frombuffer(ids, "<u4").tolist() for ids in merger(path).many(words)]).astype("<i8").tobytes()
     place = scratch_path(spark, "lexicon")
     target = spark._jvm.org.apache.hadoop.fs.Path(place)
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
@@ -274,15 +331,13 @@ def digests(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = codec(path, lexicon)
-        numbers = [str(i) for i in range(worker.known.size)]
         for batch in batches:
             counts, first, second = [], [], []
             for texts in chunks(t.as_py() for t in batch.column(0)):
-                for ids in worker.encode(texts):
-                    counts.append(len(ids))
-                    told = " ".join(map(numbers.__getitem__, ids.tolist()))
-                    first.append(hashlib.sha256(told.encode()).hexdigest())
-                    second.append(hashlib.sha256(worker.decode(ids).encode()).hexdigest())
+                for ids, decoded in worker.told(texts):
+                    counts.append(ids.count(b" ") + 1 if ids else 0)
+                    first.append(hashlib.sha256(ids).hexdigest())
+                    second.append(hashlib.sha256(decoded).hexdigest())
             arrays = [batch.column(1), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc", "n_tokens", "ids_sha256", "decoded_sha256"])
 

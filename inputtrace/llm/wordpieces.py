@@ -111,40 +111,40 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Ids of whole texts from ids of words. `resolve` gives the ids of distinct words at once. Words
-    are remembered while they keep coming back."""
+    """What belongs to each word of whole texts, such as its ids. `resolve` gives it for distinct words
+    at once. Words are remembered while they keep coming back."""
 
-    def __init__(self, known: Vocabulary, resolve: Callable[[list[str]], Iterable[bytes]]):
+    def __init__(self, known: Vocabulary, resolve: Callable[[list[str]], Iterable]):
         self.known, self.resolve = known, resolve
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memo: dict = {}
+        self.older: dict = {}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as little-endian 32-bit integers."""
+    def values(self, texts: list[str], special: dict) -> Iterable[list]:
+        """Of each text what belongs to its words, and, from `special`, to special tokens."""
         split = [self.known.parts(t) for t in texts]
         words = [[p if i % 2 else self.known.words(p) for i, p in enumerate(parts)] for parts in split]
         distinct = set().union(*(p for parts in words for p in parts[::2]))
         if len(self.memo) > MEMO:
             self.memo, self.older = {}, self.memo
         new = []
-        for word in distinct:
-            if word not in self.memo:
-                ids = self.older.get(word)
-                if ids is None:
-                    new.append(word)
-                else:
-                    self.memo[word] = ids
+        for word in distinct.difference(self.memo):
+            found = self.older.get(word)
+            if found is None:
+                new.append(word)
+            else:
+                self.memo[word] = found
         self.memo.update(zip(new, self.resolve(new)))
-        get, special = self.memo.__getitem__, self.known.special
-        return [
-            np.frombuffer(
-                b"".join(
-                    special[p].to_bytes(4, "little") if i % 2 else b"".join(map(get, p)) for i, p in enumerate(parts)
-                ),
-                "<u4",
-            )
-            for parts in words
-        ]
+        get = self.memo.__getitem__
+        for parts in words:
+            if len(parts) == 1:
+                yield list(map(get, parts[0]))
+            else:
+                yield [v for i, p in enumerate(parts) for v in ([special[p]] if i % 2 else map(get, p))]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, as little-endian 32-bit integers."""
+        special = {name: i.to_bytes(4, "little") for name, i in self.known.special.items()}
+        return [np.frombuffer(b"".join(values), "<u4") for values in self.values(texts, special)]
 
 
 def chunks(texts: Iterable[str], size: int = 1 << 20) -> Iterable[list[str]]:

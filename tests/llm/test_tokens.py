@@ -101,3 +101,49 @@ def test_files_of_nothing_and_of_repeated_rows(spark):
         rows = sorted(repair.read(spark, target).collect(), key=lambda r: r["start"])
         assert [r["doc_id"] for r in rows] == sorted(ids, key=lambda i: i or 0)
         assert [r["start"] for r in rows] == [0, 1, 4][: len(rows)]
+
+
+def one_by_one(word):
+    """The ids of a word by the rule itself: the pair of lowest rank, the leftmost first."""
+    known = bpe.vocabulary(PATH)
+    line = [bpe.byte_symbols()[b] for b in word]
+    line[-1:] = [line[-1] + known.suffix] if line else []
+    rank = {pair: i for i, pair in enumerate(known.merges)}
+    while True:
+        best = min(((rank[p], i) for i, p in enumerate(zip(line, line[1:])) if p in rank), default=None)
+        if best is None:
+            return [known.ids[s] for s in line]
+        line[best[1] : best[1] + 2] = ["".join(line[best[1] : best[1] + 2])]
+
+
+def test_merging_many_words_is_merging_each():
+    rng = random.Random(3)
+    words = [bytes(rng.choice(b"etaoinshr\xc3\xa9\xf0 \x00") for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    words += [b"", b"e", b"e" * 301, b"the" * 40, b"international", b""]
+    merger = bpe.Merger(PATH)
+    assert [np.frombuffer(i, "<u4").tolist() for i in merger.many(words)] == [one_by_one(w) for w in words]
+    assert merger.many([]) == [] and merger.many([b"", b""]) == [b"", b""]
+
+
+def test_digests_are_those_of_the_library(spark, library):
+    import hashlib
+
+    texts = odd_texts()
+    docs = documents(spark, texts)
+    name = bpe.build_lexicon(docs, PATH, size=200)
+    for row in bpe.digests(docs, PATH, name, carry=["doc_id"]).collect():
+        ids = library.encode(texts[row["doc_id"]] or "", add_special_tokens=False).ids
+        told = library.decode(ids, skip_special_tokens=False)
+        assert row["n_tokens"] == len(ids)
+        assert row["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+
+
+def test_long_repeats_fold():
+    rng = np.random.default_rng(2)
+    passage = rng.integers(0, 49_000, 700).astype(np.uint32)
+    ids = np.tile(passage, 200)
+    ends = np.arange(700, len(ids) + 1, 700)
+    grammar, symbols, _ = repair.compress(ids, ends, 49_408)
+    assert len(symbols) < 2 * len(ends) and repair.lengths(grammar, 49_408).max() > 300
+    assert (repair.expand(symbols, grammar, 49_408) == ids).all()
