@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inputtrace.llm.common import numbered, table
-from inputtrace.llm.wordpieces import Encoder, as_symbols, chunks, pack_ids, vocabulary
+from inputtrace.llm.wordpieces import Encoder, as_symbols, chunks, vocabulary
 from inputtrace.session import scratch_path
 
 MAGIC = b"REPAIR01"
 SHARD = 1 << 19  # ids after which a shard ends, with the document that reaches it
-ROUNDS = 6
+GAIN = 200  # symbols for each one that the last round replaces, at least
 SLOTS = 18
 LEAST = 6  # occurrences that a rule needs
+MEMO = 400_000  # words that a worker remembers at least; it holds twice as many at most
 NO_ID = -(1 << 63)  # stands for a null document id
 
 
@@ -40,9 +42,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary_size: int) -> tuple[n
     """Rules (left, right), symbols, and the documents' ends in the symbols.
 
     In each round the pairs are counted, and every occurrence of a frequent pair that is more
-    frequent than the pairs overlapping it (the left one among equals) becomes its pair's nonterminal. Rounds end when no
-    pair is frequent, the symbols' width is used up, or after ROUNDS = 6, so a rule spans at most
-    64 ids: longer repeats stay chains of symbols, and only compression is less."""
+    frequent than the pairs overlapping it (the left one among equals) becomes its pair's nonterminal.
+    Rounds end when no pair is frequent, the symbols' width is used up, or a round replaces less
+    than one symbol in `GAIN`, so repeats of any length are folded while that pays."""
     width = 16 if vocabulary_size < (1 << 16) - 4096 else 32
     kind = np.uint32 if width == 16 else np.uint64
     room = (1 << width) - vocabulary_size if width == 16 else 1 << 20
@@ -50,9 +52,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary_size: int) -> tuple[n
     stop = np.zeros(len(line), bool)
     stop[ends - 1] = True
     rules = np.empty(0, kind)
-    for _ in range(ROUNDS):
-        if len(line) < 2:
-            break
+    while len(line) > 1:
         keys = line[:-1] << kind(width) | line[1:]
         values = np.sort(keys[~stop[:-1]])
         first = np.flatnonzero(values[1:] != values[:-1]) + 1
@@ -83,6 +83,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary_size: int) -> tuple[n
         stay = np.ones(len(line), bool)
         stay[at + 1] = False
         line, stop = line[stay], stop[stay]
+        if len(at) * GAIN < len(line):
+            break
     grammar = np.stack([rules >> kind(width), rules & kind((1 << width) - 1)], axis=1)
     return grammar, line, np.flatnonzero(stop) + 1
 
@@ -208,16 +210,20 @@ class Shard:
         return expand(self.symbols[a:b], self.grammar, self.vocabulary)[skip : skip + end - start]
 
 
+@lru_cache(1)
 def library_encoder(path: str) -> Encoder:
-    """The tokenizers library's model, asked once for each distinct piece of the words at hand."""
+    """The tokenizers library's model, asked once for each distinct piece of the words at hand. A
+    worker keeps it, so that words are remembered from task to task."""
     known = vocabulary(path)
     tokenize = known.tokenizer.model.tokenize
 
+    packed = [i.to_bytes(4, "little") for i in range(known.size)]
+
     class Ids(dict):
         def __missing__(self, piece: str) -> bytes:
-            found = encoder.memo.get(piece)
-            if found is None or len(known.pieces(piece)) != 1:
-                found = pack_ids([t.id for t in tokenize(as_symbols(piece))])
+            found = encoder.memo.get(piece) if piece.isalpha() else None
+            if found is None:
+                found = b"".join([packed[t.id] for t in tokenize(as_symbols(piece))])
             self[piece] = found
             return found
 
@@ -228,7 +234,7 @@ def library_encoder(path: str) -> Encoder:
             found.append(ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces]))
         return found
 
-    encoder = Encoder(known, resolve)
+    encoder = Encoder(known, resolve, MEMO)
     return encoder
 
 

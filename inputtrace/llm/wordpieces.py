@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-import struct
 from collections.abc import Callable, Iterable
 from functools import cache
 
@@ -45,16 +44,6 @@ def as_symbols(piece: str) -> str:
     return piece.encode().decode("latin-1").translate(_symbol_table())
 
 
-def pack_ids(ids: list[int]) -> bytes:
-    """Ids as little-endian 32-bit integers."""
-    return _packer(len(ids))(*ids)
-
-
-@cache
-def _packer(n: int) -> Callable[..., bytes]:
-    return struct.Struct(f"<{n}I").pack
-
-
 class Vocabulary:
     """What the file says, and the pieces of texts."""
 
@@ -99,7 +88,7 @@ class Vocabulary:
 
     def pieces(self, word: str) -> list[str]:
         """The pieces of a word from `words`; those of a text that isn't plain are pieces already."""
-        if word.isascii() and word.isalpha():
+        if word.isalpha():  # of a plain text or not, its letters hold together
             return [word]
         return PLAIN_PIECES.findall(word) if PLAIN.fullmatch(word) else [word]
 
@@ -114,8 +103,8 @@ class Encoder:
     """What belongs to each word of whole texts, such as its ids. `resolve` gives it for distinct words
     at once. Words are remembered while they keep coming back."""
 
-    def __init__(self, known: Vocabulary, resolve: Callable[[list[str]], Iterable]):
-        self.known, self.resolve = known, resolve
+    def __init__(self, known: Vocabulary, resolve: Callable[[list[str]], Iterable], memo: int = MEMO):
+        self.known, self.resolve, self.size = known, resolve, memo
         self.memo: dict = {}
         self.older: dict = {}
 
@@ -124,7 +113,7 @@ class Encoder:
         split = [self.known.parts(t) for t in texts]
         words = [[p if i % 2 else self.known.words(p) for i, p in enumerate(parts)] for parts in split]
         distinct = set().union(*(p for parts in words for p in parts[::2]))
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.size:
             self.memo, self.older = {}, self.memo
         new = []
         for word in distinct.difference(self.memo):
