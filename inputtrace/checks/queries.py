@@ -572,7 +572,7 @@ def _(spark, sf_dir):
 def _state_rows(spark, sf_dir) -> DataFrame:
     log = I.keylog(spark, sf_dir)
     rows = spans.state_rows(spans.in_frames(log, I.FPS, I.FRAMES))
-    return split_hot(rows, REC, "ts_us", "ord", counted=log)
+    return split_hot(rows, REC, counted=log)
 
 
 @query(
@@ -623,7 +623,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     log = I.truth_log(spark, sf_dir)
     framed = spans.in_rounded_frames(log, I.FPS)
-    rows = split_hot(spans.state_rows(framed), REC, "ts_us", "ord", counted=log)
+    rows = split_hot(spans.state_rows(framed), REC, counted=log)
     closed = spans.close_open_spans(spans.hold_spans(rows), spans.last_frame_of_log(framed))
     return closed.select("recording_id", "device", "name", "details", "start_frame", "end_frame")
 

@@ -50,7 +50,7 @@ def coalesce_scroll_list(
 
     Any other action in between ends a run. The first of a run stays.
     """
-    sliced = split_hot(actions, group, "pos", "pos", hot_rows)
+    sliced = split_hot(actions, group, F.shiftright("pos", 16), ("pos",), hot_rows)
     here = F.struct("type", "details", F.col(frame).alias("frame"))
     scanned = carry(sliced, group, ["pos"], {"_prev": here}, dense=True)
     prev = F.col("_prev")
@@ -69,20 +69,21 @@ def coalesce_repeats(
     frame: str,
     gap: int = 1,
     details: str = "details",
-    order: tuple[str, str] = ("pos", "pos"),
+    order: str = "pos",
+    finer: tuple[str, ...] = ("pos",),
     hot_rows: int = HOT_ROWS,
     counted: DataFrame | None = None,
 ) -> DataFrame:
     """Merge scrolls, and clicks, that repeat within ``gap`` frames; the first stays.
 
     Scrolls are compared with scrolls and clicks with clicks; other actions neither merge nor
-    separate. ``order`` names what orders the actions of one frame, and a number that never
-    decreases along it. ``counted`` as in ``split_hot``.
+    separate. ``order`` names what orders the actions of one frame, and ``finer`` numbers that
+    never decrease along it, as in ``split_hot``, which ``counted`` is for too.
     """
     merging = F.col("type").isin("MouseScroll", "MouseClick")
-    sliced = split_hot(actions.where(merging), [*group, "type"], frame, order[1], hot_rows, counted)
+    sliced = split_hot(actions.where(merging), [*group, "type"], frame, finer, hot_rows, counted)
     here = F.struct(F.col(frame).alias("frame"), F.col(details).alias("details"))
-    scanned = carry(sliced, [*group, "type"], [frame, order[0]], {"_prev": here}, dense=True)
+    scanned = carry(sliced, [*group, "type"], [frame, order], {"_prev": here}, dense=True)
     repeats = _repeats(F.col("_prev"), frame, details, gap)
     kept = scanned.where(~repeats).select(*actions.columns)
     others = actions.where(~F.coalesce(merging, F.lit(False)))
@@ -102,6 +103,6 @@ def coalesce_gt(
     counted: DataFrame | None = None,
 ) -> DataFrame:
     """The same on scoring actions; scrolls without direction vanish after merging."""
-    merged = coalesce_repeats(truth, group, "frame", gap, "detail", ("seq", "seq.ts_us"), hot_rows, counted)
+    merged = coalesce_repeats(truth, group, "frame", gap, "detail", "seq", ("seq.ts_us", "seq.ord"), hot_rows, counted)
     aimless = (F.col("type") == "MouseScroll") & (F.coalesce("detail", F.lit("")) == "")
     return merged.where(~aimless)

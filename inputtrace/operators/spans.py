@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.frames import _int, frame_floor, frame_round
-from .scan import carry
+from .scan import SLICE, carry
 
 ORDER = ["ts_us", "ord"]
 # Later than any time in a log.
@@ -61,7 +61,7 @@ def state_rows(log: DataFrame) -> DataFrame:
 def held_before(rows: DataFrame, modifiers=names.MODIFIERS) -> DataFrame:
     """Which modifiers are held before each row: ``held_cmd`` and so on, and its ``epoch``.
 
-    The epoch is the ``ord`` of the context release before the row, -1 before the first one;
+    The epoch is the place of the context release before the row, null before the first one;
     ``epoch_end`` is the place of the next one.
     """
     flags = {
@@ -70,11 +70,21 @@ def held_before(rows: DataFrame, modifiers=names.MODIFIERS) -> DataFrame:
         )
         for m in modifiers
     }
-    epoch = F.when(F.col("releases_all"), F.col("ord"))
-    ends_at = F.when(F.col("releases_all"), F.struct("frame", "ts_us", "ord"))
-    scanned = carry(rows, ["recording_id"], ORDER, {**flags, "epoch": epoch}, {"epoch_end": ends_at})
-    defaults = {name: F.coalesce(F.col(name), F.lit(False)) for name in flags}
-    return scanned.withColumns({**defaults, "epoch": F.coalesce("epoch", F.lit(-1))})
+    here = F.when(F.col("releases_all"), _place())
+    scanned = carry(rows, ["recording_id"], ORDER, {**flags, "epoch": here}, {"epoch_end": here})
+    return scanned.withColumns({name: F.coalesce(F.col(name), F.lit(False)) for name in flags})
+
+
+def _place() -> Column:
+    return F.struct("ts_us", "ord", "frame")
+
+
+def with_devices(rows: DataFrame) -> DataFrame:
+    """``device`` and ``name`` of what is pressed or released; none for context releases."""
+    is_key = F.col("key").isNotNull()
+    return rows.withColumns(
+        {"device": F.when(is_key, "key").otherwise("button"), "name": F.coalesce("key", "held_button")}
+    )
 
 
 def hold_spans(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -85,41 +95,38 @@ def hold_spans(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     ``seq`` orders spans as they end: what ends together, or never, in the order of pressing.
     ``keep`` names further columns of the press to pass on.
     """
-    scanned = held_before(rows, names.SHOWN_MODIFIERS)
-    held = {m: F.col(f"held_{m.lower()}") for m in names.SHOWN_MODIFIERS}
-    is_key = F.col("key").isNotNull()
-    devices = scanned.where(~F.col("releases_all")).where(
-        ~is_key | ~names.is_modifier(F.col("key"))
+    def presses(of: DataFrame) -> DataFrame:
+        device = with_devices(of).where(~F.col("releases_all"))
+        return device.where((F.col("device") == "button") | ~names.is_modifier(F.col("name")))
+
+    # Two scans of the same rows: modifiers and context releases by recording, and each key or
+    # button by itself. What a context release ends follows from the places of both.
+    scanned = presses(held_before(rows, names.SHOWN_MODIFIERS))
+    group = ["recording_id", "device", "name"]
+    states = carry(
+        scanned, group, ORDER,
+        {"last": F.struct("ts_us", "ord", "pressed")}, {"release": F.when(~F.col("pressed"), _place())},
+        source=presses(rows) if SLICE in rows.columns else None,
     )
-    devices = devices.withColumns(
-        {
-            "device": F.when(is_key, "key").otherwise("button"),
-            "name": F.coalesce("key", "held_button"),
-            "details": F.when(is_key, names.format_combo(F.col("key"), held)).otherwise(
-                F.col("held_button")
-            ),
-        }
+    released = F.col("epoch").isNotNull() & (
+        F.struct("last.ts_us", "last.ord") < F.struct("epoch.ts_us", "epoch.ord")
     )
-    # Within an epoch presses and releases of a key alternate once repeats are left out, so a
-    # span ends at its neighbour, or else with the epoch.
-    group = ["recording_id", "epoch", "device", "name"]
-    before = carry(devices, group, ORDER, {"was_pressed": F.col("pressed")}, dense=True)
-    was_pressed = F.coalesce(F.col("was_pressed"), F.lit(False))
-    turns = before.where(F.col("pressed") != was_pressed)
-    here = F.struct("frame", "ts_us", "ord")
-    ended = carry(turns, group, ORDER, after={"release": here}, dense=True)
-    end = F.coalesce("release", "epoch_end")
+    was_pressed = F.coalesce(F.col("last.pressed"), F.lit(False)) & ~released
+    begun = states.where(F.col("pressed") & ~was_pressed)
+    held = {m: F.col(f"held_{m.lower()}") for m in names.SHOWN_MODIFIERS}
+    details = F.when(F.col("device") == "key", names.format_combo(F.col("name"), held)).otherwise(F.col("name"))
+    end = F.least("release", "epoch_end")  # the earlier one; null only where both are
     seq = F.struct(
         F.coalesce(end["ts_us"], F.lit(NEVER)).alias("ts_us"),
         F.coalesce(end["ord"], F.lit(NEVER)).alias("ord"),
         F.col("ts_us").alias("pressed_us"),
         F.col("ord").alias("pressed_ord"),
     )
-    return ended.where("pressed").select(
+    return begun.select(
         "recording_id",
         "device",
         "name",
-        "details",
+        details.alias("details"),
         F.col("frame").alias("start_frame"),
         end["frame"].alias("released_frame"),
         seq.alias("seq"),

@@ -16,7 +16,7 @@ def framed_spans(
 ) -> DataFrame:
     """Closed key and button spans of every recording."""
     rows = spans.state_rows(spans.in_frames(log, fps, num_frames))
-    rows = split_hot(rows, ["recording_id"], "ts_us", "ord", hot_rows, counted=log)
+    rows = split_hot(rows, ["recording_id"], hot_rows=hot_rows, counted=log)
     keep = [num_frames] if isinstance(num_frames, str) else []
     return spans.close_open_spans(spans.hold_spans(rows, keep), _int(num_frames) - 1)
 
@@ -56,7 +56,7 @@ def gt_actions(log: DataFrame, fps: int | str = 2, hot_rows: int = HOT_ROWS) ->
     last frame seen in the log.
     """
     framed = spans.in_rounded_frames(log, fps)
-    rows = split_hot(spans.state_rows(framed), ["recording_id"], "ts_us", "ord", hot_rows, counted=log)
+    rows = split_hot(spans.state_rows(framed), ["recording_id"], hot_rows=hot_rows, counted=log)
     last = spans.last_frame_of_log(framed)
     held = spans.close_open_spans(spans.hold_spans(rows), last)
     # A merged scroll names its direction; a raw one has its vertical movement.

@@ -110,26 +110,65 @@ def test_random_truth(spark, seed, hot_rows):
     assert sorted((r.recording_id, r.frame, r.type, r.detail) for r in merged.collect()) == sorted(wanted)
 
 
-def test_hot_group_is_cut_in_order(spark):
-    from inputtrace.operators.scan import SLICE, split_hot
-
-    rows = [("big", i, i // 3) for i in range(3000)] + [("small", i, i) for i in range(5)]
-    df = spark.createDataFrame(rows, "recording_id string, ord bigint, ts_us bigint")
-    cut = split_hot(df, ["recording_id"], "ts_us", "ord", hot_rows=100).orderBy("recording_id", "ts_us", "ord").collect()
-    numbers = [r[SLICE] for r in cut if r.recording_id == "big"]
-    assert numbers == sorted(numbers)
-    sizes = [numbers.count(n) for n in set(numbers)]
-    assert len(sizes) > 20 and max(sizes) <= 100
-    assert all(r[SLICE] is None for r in cut if r.recording_id == "small")
-    assert SLICE not in split_hot(df, ["recording_id"], "ts_us", "ord").columns
-
-
-def test_one_instant_is_cut_by_position(spark):
-    from inputtrace.operators.scan import SLICE, split_hot
-
-    df = spark.createDataFrame([("big", i, 7) for i in range(1000)], "recording_id string, ord bigint, ts_us bigint")
-    sizes = split_hot(df, ["recording_id"], "ts_us", "ord", hot_rows=100).groupBy(SLICE).count().collect()
-    assert max(r["count"] for r in sizes) <= 100
+def _slices(df, hot_rows):
+    """Slices of the recording ``big`` in order, checked to follow it; those of others must not exist."""
+    from inputtrace.operators.scan import FINE, SLICE, split_hot
+
+    cut = split_hot(df, ["recording_id"], hot_rows=hot_rows).orderBy("recording_id", "ts_us", "ord").collect()
+    assert all(r[SLICE] is None for r in cut if r.recording_id != "big")
+    numbers = [(r[SLICE], *r[FINE]) for r in cut if r.recording_id == "big"]
+    assert len(cut) == df.count() and numbers == sorted(numbers)
+    return [numbers.count(n) for n in sorted(set(numbers))]
+
+
+LOGGED = "recording_id string, ord bigint, ts_us bigint"
+
+
+@pytest.mark.parametrize(
+    "times",
+    [
+        [i // 3 for i in range(3000)],  # all in one second
+        [i * 50_000 for i in range(3000)],  # spread
+        [7] * 3000,  # one microsecond
+        [i * 900_000 for i in range(1000)] + [5_000_000 + i for i in range(1000)] + [5_000_100] * 1000,  # all of these
+    ],
+)
+def test_hot_group_is_cut_in_order(spark, times):
+    rows = [("big", (i * 7) % 3000, t) for i, t in enumerate(times)] + [("small", i, i) for i in range(300)]
+    sizes = _slices(spark.createDataFrame(rows, LOGGED), 300)
+    assert len(sizes) >= 8 and max(sizes) <= 600
+
+
+def test_slicing_needs_no_job_and_falls_away(spark):
+    from inputtrace.operators.scan import split_hot
+
+    df = spark.createDataFrame([("r", i, i) for i in range(50)], LOGGED)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "plan only")
+    cut = split_hot(df, ["recording_id"])
+    assert not tracker.getJobIdsForGroup("planning")
+    rows = spans.state_rows(spans.in_frames(log(spark, (510_000, "KeyPress", "KeyA"), (520_000, "KeyRelease", "KeyA")), 10, 10))
+    held = spans.hold_spans(split_hot(rows, ["recording_id"]))
+    assert not tracker.getJobIdsForGroup("planning")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert cut.count() == 50
+    held.collect()
+    assert len(held.collect()) == 1
+    final = held._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Join" not in final.split("Final Plan")[-1]
+
+
+@pytest.mark.parametrize("one_instant", [False, True])
+def test_hot_recording_against_model(spark, one_instant):
+    """Nine in ten rows in one recording; and all its rows in one microsecond."""
+    rows = [r for r in simulate.random_log(7)]
+    big = max({r[0] for r in rows}, key=lambda rec: sum(r[0] == rec for r in rows))
+    rows = [r for r in rows if r[0] == big] + [r for r in rows if r[0] != big][:12]
+    if one_instant:
+        rows = [(r[0], r[1], 300_000, *r[3:]) if r[0] == big else r for r in rows]
+    df = spark.createDataFrame(rows, LOG)
+    found = sorted((r.recording_id, r.frame_idx, r.type, r.details) for r in parse_keylog(df, 10, 40, hot_rows=9).collect())
+    assert found == simulate.training_actions(rows, 10, 40)
 
 
 def _listed(spark, rows):
