@@ -65,6 +65,13 @@ def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return rows.mapInArrow(whole, schema)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+
+
 def bucket_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

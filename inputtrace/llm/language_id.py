@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inputtrace.llm.common import carried, mapped, numbered, table
+from inputtrace.llm.common import carried, mapped, numbered, slices, table
 
 SIZE = 400  # n-grams of a profile, and of a document that count
 UNKNOWN = "und"
 SALTS = 16
 HELD = 1 << 20  # distinct n-grams a task holds before it hands counts on
+PART = 256  # texts whose counts are held apart before they are added up
 
 
 @cache
@@ -68,7 +69,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = pa.array([lang] * len(values), pa.string())
             yield pa.RecordBatch.from_arrays([names, pa.array(values), pa.array(counts)], ["lang", "gram", "n"])
 
-    for batch in batches:
+    for batch in slices(batches, PART):
         found: dict[str, list] = {}
         for text, lang in zip(batch.column(0), batch.column(1)):
             found.setdefault(lang.as_py(), []).append(grams(text.as_py()))
@@ -87,7 +88,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = S
     A language's n-grams are ranked in 16 parts first, so the driver reads at most 16 x size rows
     per language."""
     known = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).dropna()
-    counts = known.mapInArrow(_count, "lang string, gram bigint, n bigint")
+    counts = mapped(known, _count, "lang string, gram bigint, n bigint")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(SALTS))).orderBy(F.desc("n"), "gram")
     best = counts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= size).drop("k").toPandas()
