@@ -6,11 +6,17 @@ no shuffle of its own. ``FIXTURES.md`` describes the same views in SQL.
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import frame_label
 from ..operators.predictions import filter_predictions
+from ..sources.paths import make_folder, open_path
 
 FPS = 5
 FRAMES = 150
@@ -199,3 +205,28 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.concat_ws(":", "conv_id", "turn").alias("example_id"), ids.alias("ids")
     )
+
+
+def write_frames(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Each vector as a grey PNG of 8 x 8 in its recording's folder, written by the tasks; every 97th
+    file is broken."""
+    rows = images(spark, sf_dir).select("recording_id", "frame_idx", "data")
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = 0
+        for batch in batches:
+            for recording, frame, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                lines = b"".join(b"\0" + data[at : at + 8] for at in range(0, len(data), 8))
+                head = struct.pack(">IIBBBBB", 8, len(data) // 8, 8, 0, 0, 0, 0)
+                png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+                folder = f"{root}/recording_id={recording}"
+                make_folder(folder)
+                with open_path(f"{folder}/F{frame:02d}.png", "wb") as file:
+                    file.write(png if (recording * 50 + frame) % 97 else png[:30])
+                written += 1
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["written"])
+
+    rows.mapInArrow(run, "written bigint").agg(F.sum("written")).collect()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,10 +127,14 @@ def _entries(spark, sf_dir) -> DataFrame:
     "quarantine_corrupt",
     """
 select recording_id, ord, case ord % 97 when 1 then 'no event' when 2 then 'no time' when 3 then 'no event type' else 'not a list' end as reason
-from keylog where ord % 97 in (1, 2, 3, 4)""",
+from keylog where ord % 97 in (1, 2, 3, 4)
+union all select vec_id // 50, vec_id % 50, 'not an image' from embeddings where vec_id % 97 = 0""",
 )
 def _(spark, sf_dir):
-    return keylog.corrupt_entries(_entries(spark, sf_dir)).select("recording_id", "ord", "reason")
+    """Bad log entries and bad frames."""
+    entries = keylog.corrupt_entries(_entries(spark, sf_dir)).select("recording_id", "ord", "reason")
+    frames = _tagged_frames(spark, sf_dir).where("reason is not null")
+    return entries.union(frames.select(F.col("recording_id").cast("bigint"), F.col("frame_idx").cast("bigint"), "reason"))
 
 
 def _indexed(spark, sf_dir) -> DataFrame:
@@ -241,15 +247,29 @@ def _write_results(spark, sf_dir, path: str) -> None:
     truth.join(said, "block", "left").select(clip.alias("value")).write.text(path)
 
 
+@F.pandas_udf("bigint")
+def _pixel_sum(data: pd.Series) -> pd.Series:
+    return data.map(lambda raw: int(np.frombuffer(raw, np.uint8).sum(dtype=np.int64)))
+
+
+def _tagged_frames(spark, sf_dir) -> DataFrame:
+    root = scratch_path(spark, "frames")
+    I.write_frames(spark, sf_dir, root)
+    return files.tag_frames(spark, root)
+
+
 @query(
     "src_frames",
-    "select vec_id // 50 as recording_id, cast(vec_id % 50 as int) as frame_idx, '/clips/' || (vec_id // 50) || '/' || printf('F%02d', vec_id % 50) || '.png' as path from embeddings",
+    """
+select vec_id // 50 as recording_id, cast(vec_id % 50 as int) as frame_idx, 8 as height, 8 as width, 1 as n_channels,
+ cast(list_sum(list_transform(embedding, lambda v: least(255, floor(abs(v::double) * 150)))) as bigint) as pixel_sum
+from embeddings where vec_id % 97 <> 0""",
 )
 def _(spark, sf_dir):
-    image = I.images(spark, sf_dir)
-    path = F.concat(F.lit("/clips/"), F.col("recording_id").cast("string"), F.lit("/"), fn.frame_label(F.col("frame_idx")), F.lit(".png"))
-    number = F.regexp_extract("path", files.FRAME_NAME, 1).try_cast("int")
-    return image.select("recording_id", path.alias("path")).withColumn("frame_idx", number)
+    """The vectors as image files, opened and summed up."""
+    found = _tagged_frames(spark, sf_dir).where("reason is null")
+    columns = [F.col("recording_id").cast("bigint").alias("recording_id"), "frame_idx", "height", "width", "n_channels"]
+    return found.select(*columns, _pixel_sum("data").alias("pixel_sum"))
 
 
 @query(

@@ -119,22 +119,30 @@ def predicted_actions(results: DataFrame, key: list[str]) -> DataFrame:
     return results.select(*key, F.posexplode("predictions").alias("pos", "pred")).select(*key, "pos", "pred.*")
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded frames: ``origin, frame_idx, n_channels, data``; broken images are dropped."""
-    return (
-        spark.read.format("image")
-        .option("dropInvalid", "true")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select(
-            F.col("image.origin").alias("origin"),
-            F.regexp_extract("image.origin", FRAME_NAME, 1).try_cast("int").alias("frame_idx"),
-            F.col("image.nChannels").alias("n_channels"),
-            F.col("image.data").alias("data"),
-        )
+def tag_frames(spark: SparkSession, path: str) -> DataFrame:
+    """Decoded frames and broken images: ``origin, frame_idx, height, width, n_channels, data``, and the
+    ``reason`` why an image is bad. Folders named ``column=value`` are columns, by which a condition
+    leaves out whole folders."""
+    image = F.col("image")
+    broken = F.coalesce(image["height"] < 0, F.lit(True))
+    opened = spark.read.format("image").option("dropInvalid", "false").load(path)
+    return opened.select(
+        *[c for c in opened.columns if c != "image"],
+        image["origin"].alias("origin"),
+        F.regexp_extract(image["origin"], FRAME_NAME, 1).try_cast("int").alias("frame_idx"),
+        image["height"].alias("height"),
+        image["width"].alias("width"),
+        image["nChannels"].alias("n_channels"),
+        image["data"].alias("data"),
+        F.when(broken, "not an image").alias("reason"),
     )
 
 
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """The frames that can be decoded; ``tag_frames`` has the others too."""
+    return tag_frames(spark, path).where("reason is null").drop("reason")
+
+
 def read_frame_bytes(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
     """Undecoded frame files: ``path, frame_idx, content``."""
     files = (

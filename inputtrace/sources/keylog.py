@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import json
 import struct
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import payload_button, payload_key
+from ..functions.names import BUTTONS, payload_button, payload_key
 from ..functions.text import json_list
+from .files import list_files
+from .paths import open_path
+from .schemas import PARSED_LOG
 
 
 def _typed(entry: Column) -> Column:
@@ -87,65 +90,6 @@ def read_json_keylogs(spark: SparkSession, path: str) -> DataFrame:
     return parse_entries(entries_of(files))
 
 
-def read_binary_keylogs(
-    spark: SparkSession, path: str, decode: Callable[[bytes], list] | None = None, glob: str = "*.msgpack"
-) -> DataFrame:
-    """Binary logs, decoded per file inside the tasks; ``broken_keylogs`` has the unreadable ones."""
-    rows = _decoded(spark, path, decode, glob).where("error is null")
-    return parse_entries(rows.select("recording_id", "ord", "entry"))
-
-
-def broken_keylogs(
-    spark: SparkSession, path: str, decode: Callable[[bytes], list] | None = None, glob: str = "*.msgpack"
-) -> DataFrame:
-    """The binary logs that cannot be read: ``path, reason``."""
-    rows = _decoded(spark, path, decode, glob).where("error is not null")
-    return rows.select(F.col("recording_id").alias("path"), F.col("error").alias("reason"))
-
-
-def _decoded(spark: SparkSession, path: str, decode: Callable[[bytes], list] | None, glob: str) -> DataFrame:
-    """Entries as JSON, or one row with the error of a file."""
-    decode = decode or unpack
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path", "content")
-    )
-
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                try:
-                    items = decode(content)
-                    if not isinstance(items, list):
-                        raise ValueError("not a list of entries")
-                except (ValueError, IndexError, struct.error) as broken:
-                    yield pd.DataFrame({"recording_id": [name], "ord": [-1], "entry": [None], "error": [str(broken)]})
-                    continue
-                for at in range(0, len(items), 10_000):
-                    part = items[at : at + 10_000]
-                    yield pd.DataFrame(
-                        {
-                            "recording_id": name,
-                            "ord": range(at, at + len(part)),
-                            "entry": [json.dumps(item) for item in part],
-                            "error": None,
-                        }
-                    )
-
-    return files.mapInPandas(entries, "recording_id string, ord bigint, entry string, error string")
-
-
-def unpack(content: bytes):
-    """Decode one MessagePack value, by the public format description."""
-    value, end = _unpack(memoryview(content), 0)
-    if end != len(content):
-        raise ValueError("bytes after the value")
-    return value
-
-
 # MessagePack type bytes of numbers (struct format) and of sized values (the
 # format of the size and the kind).
 _NUMBERS = {
@@ -180,7 +124,7 @@ def _unpack(data: memoryview, at: int):
             size, at = struct.unpack_from(form, data, at)[0], at + struct.calcsize(form)
         raw = bytes(data[at + 1 : at + 1 + size])
         if len(raw) < size:
-            raise ValueError("value cut off")
+            raise CutOff("value cut off")
         return raw.decode("latin-1"), at + 1 + size
     if code in _SIZED:
         form, kind = _SIZED[code]
@@ -193,10 +137,177 @@ def _unpack(data: memoryview, at: int):
     if kind in ("str", "bin"):
         raw = bytes(data[at : at + size])
         if len(raw) < size:
-            raise ValueError("value cut off")
+            raise CutOff("value cut off")
         return raw.decode("utf-8", "replace"), at + size
     items = []
     for _ in range(size * (2 if kind == "map" else 1)):
         item, at = _unpack(data, at)
         items.append(item)
     return (dict(zip(items[::2], items[1::2])) if kind == "map" else items), at
+
+
+class CutOff(ValueError):
+    """The bytes at hand end inside a value."""
+
+
+def stream_entries(file: BinaryIO, size: int = 1 << 20) -> Iterator:
+    """The elements of a MessagePack list, by the public format description, one after another.
+
+    At most the bytes of one element, and ``size`` more, are held."""
+    data, at = file.read(size), 0
+    code = data[0] if data else 0
+    if not 0x90 <= code <= 0x9F and code not in (0xDC, 0xDD):
+        raise ValueError("not a list of entries")
+    while len(data) < 5 and (more := file.read(size)):
+        data += more
+    if code <= 0x9F:
+        count, at = code & 0x0F, 1
+    else:
+        form = _SIZED[code][0]
+        if len(data) < 1 + struct.calcsize(form):
+            raise CutOff("value cut off")
+        count, at = struct.unpack_from(form, data, 1)[0], 1 + struct.calcsize(form)
+    wanted = size
+    for _ in range(count):
+        while True:
+            try:
+                value, at = _unpack(memoryview(data), at)
+                break
+            except (CutOff, IndexError, struct.error):
+                more = file.read(wanted)
+                if not more:
+                    raise CutOff("value cut off") from None
+                data, at, wanted = data[at:] + more, 0, wanted * 2
+        wanted = size
+        yield value
+    if at < len(data) or file.read(1):
+        raise ValueError("bytes after the value")
+
+
+def unpack(content: bytes):
+    """Decode one MessagePack value."""
+    value, end = _unpack(memoryview(content), 0)
+    if end != len(content):
+        raise ValueError("bytes after the value")
+    return value
+
+
+def read_binary_keylogs(
+    spark: SparkSession, path: str, decode: Callable[[BinaryIO], Iterator] = stream_entries, glob: str = "*.msgpack"
+) -> DataFrame:
+    """Rows of binary logs, opened inside the tasks; those of unreadable files and entries are left out.
+
+    ``decode`` gives the entries of an open file one after another, so a log of any length is read
+    in bounded memory. A file is checked to its end before its rows are passed on."""
+    tagged = tag_keylogs(list_files(spark, path, glob), decode, check=True)
+    return tagged.where("reason is null").drop("reason")
+
+
+def quarantine_keylogs(
+    spark: SparkSession, path: str, target: str, decode: Callable[[BinaryIO], Iterator] = stream_entries, glob: str = "*.msgpack"
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of the readable logs, and what is bad: ``recording_id, ord, reason``, where ``ord`` is null
+    for a file. Each log is opened and decoded once; ``target`` keeps both."""
+    good, bad = kept_apart(tag_keylogs(list_files(spark, path, glob), decode), target)
+    files = bad.where("ord is null").select("recording_id").distinct()
+    return good.join(files, "recording_id", "left_anti"), bad.select("recording_id", "ord", "reason")
+
+
+def kept_apart(tagged: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
+    """Good and bad rows of a table whose ``reason`` tells them apart, written once in one pass."""
+    tagged.withColumn("bad", F.col("reason").isNotNull()).write.partitionBy("bad").parquet(target)
+    read = tagged.sparkSession.read.schema(f"{_ddl(tagged)}, bad boolean").parquet(target)
+    return read.where("not bad").drop("bad", "reason"), read.where("bad").drop("bad")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+BATCH = 10_000  # rows that a decoding task holds
+
+
+def tag_keylogs(
+    paths: DataFrame, decode: Callable[[BinaryIO], Iterator] = stream_entries, check: bool = False
+) -> DataFrame:
+    """Entries of the logs in a table of paths: ``schemas.PARSED_LOG`` and the ``reason`` why an entry,
+    or where ``ord`` is null a whole file, is bad. The recording is named by its path.
+
+    Entries become typed columns where they are decoded. With ``check`` a bad file has no rows but its
+    reason, for which it is decoded twice; else rows before the fault are there too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path in (p for batch in batches for p in batch.column(0).to_pylist()):
+            held: list[tuple] = []
+            try:
+                if check:
+                    with open_path(path) as file:
+                        for _ in decode(file):
+                            pass
+                with open_path(path) as file:
+                    for ord_, entry in enumerate(decode(file)):
+                        held.append((path, ord_, *typed_entry(entry)))
+                        if len(held) == BATCH:
+                            yield _batch(held)
+                            held = []
+            except (ValueError, IndexError, struct.error, OSError) as broken:
+                held.append((path, None, *_NOTHING, str(broken) or type(broken).__name__))
+            yield _batch(held)
+
+    return paths.select("path").mapInArrow(run, f"{PARSED_LOG}, reason string")
+
+
+_KINDS = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, pa.bool_(), pa.string(), pa.string()]
+_NAMES = [column.split()[0] for column in f"{PARSED_LOG}, reason string".split(", ")]
+_NOTHING = (None,) * (len(_NAMES) - 3)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], _NAMES)
+
+
+def _text(value) -> str | None:
+    """A single value as text."""
+    if isinstance(value, bool):
+        return str(value).lower()
+    return str(value) if isinstance(value, (str, int, float)) else None
+
+
+def _number(value, kind: type):
+    """A single value as a number; null where it is none, or too large."""
+    if not isinstance(value, (str, int, float)):
+        return None
+    try:
+        found = kind(value)
+    except (ValueError, OverflowError):
+        return None
+    return None if kind is int and not -(2**63) <= found < 2**63 else found
+
+
+def typed_entry(entry) -> tuple:
+    """The typed columns of a decoded entry, and the reason why it is bad; as ``parse_entries`` and
+    ``corrupt_entries`` have them for JSON."""
+    if not isinstance(entry, list):
+        return *_NOTHING, "not a list"
+    if len(entry) < 2:
+        return *_NOTHING, "no event"
+    ts_us, event = _number(entry[0], int), entry[1] if isinstance(entry[1], list) else []
+    etype = _text(event[0]) if event else None
+    if ts_us is None or etype is None:
+        return *_NOTHING, "no time" if ts_us is None else "no event type"
+    payload = event[1] if len(event) > 1 else None
+    first, second = ([*payload, None, None] if isinstance(payload, list) else [None, None])[:2]
+    key = button = direction = None
+    dx = dy = 0.0
+    uncaptured = False
+    if etype in ("KeyPress", "KeyRelease"):
+        key = _text(second) if _text(second) != "UNKNOWN" else None
+    elif etype in ("MousePress", "MouseRelease"):
+        button = _text(first) if _text(first) in BUTTONS else None
+    elif etype == "MouseScroll":
+        dx, dy = _number(first, float), _number(second, float)
+        direction = _text(payload.get("direction")) if isinstance(payload, dict) else None
+    elif etype == "ContextChanged":
+        uncaptured = isinstance(payload, list) and "UNCAPTURED" in payload
+    return ts_us, etype, key, button, dx, dy, uncaptured, direction, None

@@ -181,10 +181,88 @@ def test_extension_values_and_broken_files(spark, tmp_path):
     (tmp_path / "c.msgpack").write_bytes(pack({"no": 1}))
     rows = keylog.read_binary_keylogs(spark, str(tmp_path)).collect()
     assert [(r.ts_us, r.raw_key) for r in rows] == [(500_000, "KeyA")]
-    broken = {r.path[-9:]: r.reason for r in keylog.broken_keylogs(spark, str(tmp_path)).collect()}
+    good, bad = keylog.quarantine_keylogs(spark, str(tmp_path), str(tmp_path / "kept"))
+    assert [(r.ts_us, r.raw_key) for r in good.collect()] == [(500_000, "KeyA")]
+    broken = {r.recording_id[-9:]: r.reason for r in bad.collect()}
     assert broken == {"b.msgpack": "value cut off", "c.msgpack": "not a list of entries"}
 
 
+def test_quarantine_opens_each_log_once(spark, tmp_path):
+    (tmp_path / "a.msgpack").write_bytes(pack(LOG))
+    (tmp_path / "b.msgpack").write_bytes(pack(LOG)[:-3])
+    marks = tmp_path / "opened"
+    marks.mkdir()
+
+    def decode(file):
+        (marks / f"{len(list(marks.iterdir()))}-{file.name[-9:]}").write_text("")
+        yield from keylog.stream_entries(file)
+
+    good, bad = keylog.quarantine_keylogs(spark, str(tmp_path), str(tmp_path / "kept"), decode)
+    _check(good.collect())
+    reasons = sorted((r.recording_id[-9:], r.ord if r.ord is not None else -1, r.reason) for r in bad.collect())
+    of_entries = [
+        (5, "no time"), (6, "no time"), (7, "no event type"), (8, "no event type"), (9, "no event"), (10, "not a list"), (11, "not a list"),
+    ]
+    assert [r[1:] for r in reasons if r[0] == "a.msgpack"] == of_entries
+    assert ("b.msgpack", -1, "value cut off") in reasons
+    assert len(list(marks.iterdir())) == 2
+
+
+def test_log_longer_than_the_buffer():
+    import io
+
+    items = [[i, ["KeyPress", [1, "KeyA" * (i % 50)]]] for i in range(5000)] + ["x" * 3000]
+    raw = b"\xdd" + struct.pack(">I", len(items)) + b"".join(pack(i) for i in items)
+
+    class Reads(io.BytesIO):
+        largest = 0
+
+        def read(self, size=-1):
+            assert size > 0
+            Reads.largest = max(Reads.largest, size)
+            return super().read(size)
+
+    for size in (1, 7, 64, 1 << 20):
+        Reads.largest = 0
+        assert list(keylog.stream_entries(Reads(raw), size)) == items
+        assert Reads.largest <= max(4096, size)
+    for cut in (0, 1, 3, 5, 6, len(raw) - 1):
+        with pytest.raises(ValueError):
+            list(keylog.stream_entries(io.BytesIO(raw[:cut]), 16))
+    with pytest.raises(ValueError, match="bytes after"):
+        list(keylog.stream_entries(io.BytesIO(raw + b"\x01"), 16))
+    assert list(keylog.stream_entries(io.BytesIO(b"\x90"))) == []
+
+
+def test_binary_rows_are_those_of_json(spark, tmp_path):
+    import random
+
+    rnd = random.Random(5)
+    values = [None, True, 0, 3, -1, 1.75, -2.5, "x", "12", "UNKNOWN", "KeyA", "Left", "UNCAPTURED", [], ["UNCAPTURED"], ["Left"], [1, "KeyB"], {"direction": "up"}, [0, 1.5], ["2", "z"]]
+    kinds = ["KeyPress", "KeyRelease", "MousePress", "MouseScroll", "ContextChanged", "MouseMove"]
+    entries = [
+        rnd.choice([[rnd.choice([rnd.randrange(10**7), 1.9, "77", None]), [rnd.choice(kinds), rnd.choice(values)]], [1, [rnd.choice(kinds)]], rnd.choice(values), [5, rnd.choice([[], "a", None])]])
+        for _ in range(400)
+    ]
+    (tmp_path / "log.json").write_text(json.dumps(entries))
+    (tmp_path / "log.msgpack").write_bytes(pack(entries))
+    columns = [c.split()[0] for c in keylog.PARSED_LOG.split(", ")][1:]
+    read = lambda df: sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+    assert read(keylog.read_binary_keylogs(spark, str(tmp_path))) == read(keylog.read_json_keylogs(spark, str(tmp_path / "log.json")))
+
+
+def test_broken_frames_are_kept_apart(spark, tmp_path):
+    for rec in ("a", "b"):
+        (tmp_path / "in" / f"recording_id={rec}").mkdir(parents=True)
+        (tmp_path / "in" / f"recording_id={rec}" / "F03.png").write_bytes(png(4, 2, lambda x, y: (x, y, 7)))
+    (tmp_path / "in" / "recording_id=a" / "F04.png").write_bytes(png(4, 2, lambda x, y: (x, y, 7))[:40])
+    good, bad = keylog.kept_apart(files.tag_frames(spark, str(tmp_path / "in")), str(tmp_path / "kept"))
+    assert sorted((r.recording_id, r.frame_idx, r.height, r.width, sum(r.data)) for r in good.collect()) == [("a", 3, 2, 4, 72), ("b", 3, 2, 4, 72)]
+    assert [(r.recording_id, r.frame_idx, r.reason) for r in bad.collect()] == [("a", 4, "not an image")]
+    plan = files.read_frames(spark, str(tmp_path / "in")).where("recording_id = 'b'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(recording_id" in plan
+
+
 def test_corrupt_entries(spark):
     texts = ['[1,["KeyPress"]]', "[1]", '{"ts":1}', '["soon",["KeyPress"]]', "[1,[]]", "[1,", '"text"']
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "ord bigint, entry string")
