@@ -13,7 +13,7 @@ forest of its links, never its pairs. Components are found by contraction over w
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -22,13 +22,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inputtrace.llm.common import LOWER, UPPER, WORD, bucket_count, carried, mapped, numbered, stored, table
+from inputtrace.llm.common import LOWER, UPPER, WORD, bucket_count, carried, mapped, numbered, slices, stored, table
+from inputtrace.llm.substring import Line
 
 PIVOTS = 32  # reference fingerprints
 CELL = 2048  # fingerprints of a bucket that meet those of another part of it in one cell
 SEED = 42
 BITS = 26  # of the tables that spare shuffles; fixed, whatever the input
 SAMPLE = 8  # one of so many texts counts for the order of shingles, on which no result depends
+PART = 256  # texts whose shingles a task holds at once
 PARITY = 8  # 64-bit integers of a set's parities
 NAMES = ["key", "node", "n", *[f"p{i}" for i in range(PARITY)]]
 _LOWERED = str.maketrans(UPPER, LOWER)
@@ -49,6 +51,17 @@ def shingle_hashes(text: str, words: int, seed: int = SEED) -> np.ndarray:
     return np.array([hash_of(line[a:b], seed) for a, b in zip(starts, ends)], "<u8")
 
 
+def shingle_values(text: str, words: int) -> np.ndarray:
+    """A 64-bit hash of each shingle, in order, from cumulative sums of word hashes; as many as
+    `shingle_hashes` gives, but not those hashes."""
+    line = Line(text.translate(_LOWERED) if not text.islower() else text)
+    if not len(line):
+        return np.empty(0, np.uint64)
+    line.hash_words()
+    first = np.arange(max(len(line) - words + 1, 1))
+    return line.stretch(first, np.minimum(first + words, len(line)))
+
+
 def majority(hashes: np.ndarray) -> int:
     """Bit i is 1 if it is set in over half of the hashes; 0 without any."""
     ones = np.zeros(64, np.int64)
@@ -234,20 +247,31 @@ def connect(edges: DataFrame) -> DataFrame:
 
 
 def shingled(docs: DataFrame, words: int, text: str, carry: Sequence[str]) -> DataFrame:
-    """Rows (row, doc, fp, digest): the fingerprint, and a 128-bit digest of the set of shingles."""
+    """Rows (row, doc, fp, digest, s): a fingerprint, and the sorted set of shingles with a 128-bit
+    digest of it. Texts are hashed here and nowhere else."""
     rows = numbered(docs, text, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints, digests = [], []
-            for t in batch.column(1):
-                hashes = shingle_hashes(t.as_py(), words)
-                prints.append(majority(hashes))
-                digests.append(xxhash.xxh3_128_digest(np.unique(hashes).tobytes()))
-            arrays = [batch.column(0), batch.column(2), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(digests, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc", "fp", "digest"])
+        for batch in slices(batches, PART):
+            hashes = [shingle_values(t.as_py(), words) for t in batch.column(1)]
+            prints = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in hashes]
+            digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            arrays = [batch.column(0), batch.column(2), pa.array(prints), digests, as_lists(sets)]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc", "fp", "digest", "s"])
+
+    doc = rows.schema["doc"].dataType.simpleString()
+    return mapped(rows, run, f"row bigint, doc {doc}, fp bigint, digest binary, s array<bigint>")
 
-    return mapped(rows, run, f"row bigint, doc {rows.schema['doc'].dataType.simpleString()}, fp bigint, digest binary")
+
+def as_lists(sets: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+
+
+def as_sets(lists: pa.Array) -> list[np.ndarray]:
+    values, ends = np.asarray(lists.values).view(np.uint64), np.asarray(lists.offsets)
+    return [values[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def top_bits(name: str, bits: int) -> Column:
@@ -292,49 +316,38 @@ def parity(values: np.ndarray) -> np.ndarray:
     return np.packbits(counts & 1, bitorder="little").view("<i8")
 
 
-def slices(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in parts, so that what is made of a part stays small."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            yield batch.slice(at, size)
-
-
-def chosen_rows(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
-    """(row, text) of the rows in `nodes` (node), and some others: those whose bit is set."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_table(nodes.select(F.xxhash64("node").alias("h")), "h"))
-    rows = numbered(docs, text, []).select("row", "text", F.xxhash64("row").alias("h"))
+def over_sets(sets: DataFrame, nodes: DataFrame, make: Callable[[pa.Array, list[np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
+    """What `make` gives for (node, shingles) of the rows in `nodes`, and of some others: those whose
+    bit is set in a table of fixed size."""
+    shared = sets.sparkSession.sparkContext.broadcast(bit_table(nodes.select(F.xxhash64("node").alias("h")), "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, PART):
             hashes = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            yield batch.filter(pa.array(is_set(shared.value, hashes))).select([0, 1])
+            some = batch.filter(pa.array(is_set(shared.value, hashes)))
+            if len(some):
+                yield make(some.column(0), as_sets(some.column(1)))
 
-    return mapped(rows, run, "row bigint, text string")
+    return mapped(sets.select("node", "s", F.xxhash64("node").alias("h")), run, schema)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, text: str, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) of row numbers (stored), those whose shingle sets are similar; stored."""
+def verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of nodes (stored), those whose shingle sets are similar; stored."""
     nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "asked")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
-
-    sets = mapped(chosen_rows(docs, nodes, text), run, "node bigint, s array<bigint>")
-    sets = stored(sets.join(nodes, "node", "left_semi"), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
+    asked = over_sets(
+        sets, nodes, lambda node, found: pa.RecordBatch.from_arrays([node, as_lists(found)], ["node", "s"]), "node bigint, s array<bigint>"
+    )
+    asked = stored(asked.join(nodes, "node", "left_semi"), "sets")
+    both = pairs.join(asked.select(F.col("node").alias("a"), F.col("s").alias("s")), "a")
+    both = both.join(asked.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t"))
     union = F.size("s") + F.size("t") - shared
     return stored(both.where((union == 0) | (shared / union >= similarity)).select("a", "b"), "verified")
 
 
-def similar(
-    docs: DataFrame, nodes: DataFrame, edges: DataFrame, words: int, text: str, similarity: float
-) -> DataFrame:
+def similar(sets: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
     """(node, root) of all components by similar pairs among `nodes` (rows with distinct sets,
-    stored), of which `edges` are some; nodes without a link may be missing.
+    stored), of which `edges` are some; nodes without a link may be missing. `sets` has (node, s).
 
     Two similar sets share one of the shingles of their prefixes, whatever the order of shingles;
     here common ones come last, as a sample of the nodes counts them, so that buckets stay small.
@@ -342,42 +355,34 @@ def similar(
     of unfit sizes or parities are left out, and what fits is verified. Heads then leave, and
     buckets of one component are done. The number of heads grows with each round until no bucket
     is left; so a group of near copies costs a round, and unlike members cost at most all pairs."""
-    spark = docs.sparkSession
+    spark = nodes.sparkSession
     sample = nodes.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SAMPLE)) == 0)
 
-    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = np.concatenate([np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(1)])
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
+    def all_of(node: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
 
-    counts = mapped(chosen_rows(docs, sample, text), all_of, "h bigint").groupBy("h").agg(F.count("*").alias("n"))
+    counts = over_sets(sets, sample, all_of, "h bigint").groupBy("h").agg(F.count("*").alias("n"))
     levels = spark.sparkContext.broadcast(
         bit_table(counts.where("n > 1").select("h", "n"), "h", F.floor(F.log2("n")))
     )
 
-    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(1)]
-            keys = np.concatenate([prefix(s, levels.value, similarity) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+    def keys_of(node: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.concatenate([prefix(s, levels.value, similarity) for s in found])
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
 
-    own = chosen_rows(docs, nodes, text)
-    met = mapped(own, keys_of, "key bigint").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = over_sets(sets, nodes, keys_of, "key bigint").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     often = spark.sparkContext.broadcast(bit_table(met.select("key"), "key"))
 
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            keys, same = [], []
-            for row, t in zip(batch.column(0), batch.column(1)):
-                values = np.unique(shingle_hashes(t.as_py(), words))
-                found = prefix(values, levels.value, similarity)
-                keys.append(found[is_set(often.value, found)])
-                same.append((row.as_py(), len(values), *parity(values).tolist()))
-            own = np.repeat(np.array(same, np.int64), [len(k) for k in keys], axis=0)
-            columns = [np.concatenate(keys).view(np.int64), *own.T]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], NAMES)
-
-    rows = mapped(own, rows_of, ", ".join(f"{n} bigint" for n in NAMES)).join(nodes, "node", "left_semi")
+    def rows_of(node: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
+        keys = [prefix(s, levels.value, similarity) for s in found]
+        keys = [k[is_set(often.value, k)] for k in keys]
+        same = [(row, len(s), *parity(s).tolist()) for row, s in zip(node.to_pylist(), found)]
+        own = np.repeat(np.array(same, np.int64), [len(k) for k in keys], axis=0)
+        columns = [np.concatenate(keys).view(np.int64), *own.T]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], NAMES)
+
+    schema = ", ".join(f"{n} bigint" for n in NAMES)
+    rows = over_sets(sets, nodes, rows_of, schema).join(nodes, "node", "left_semi")
     rows = stored(rows.select(*NAMES), "prefixes")
     heads_each = 4
     while True:
@@ -397,7 +402,7 @@ def similar(
         fits = (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (apart <= most)
         pairs = rows.join(heads, "key").where((F.col("comp") != F.col("head.comp")) & fits)
         pairs = stored(pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct(), "pairs")
-        edges = stored(edges.unionByName(verified(docs, pairs, words, text, similarity)), "similar")
+        edges = stored(edges.unionByName(verified(sets, pairs, similarity)), "similar")
         gone = heads.select("key", F.col("head.node").alias("node"))
         rows = rows.drop("comp").join(gone, ["key", "node"], "left_anti")
         heads_each *= 8
@@ -417,7 +422,8 @@ def group_near(
 
     With `similarity`, texts link instead when the Jaccard similarity of their shingle sets is at
     least that, all such pairs and no others (as far as 64-bit hashes tell shingles apart): links
-    by fingerprint are only candidates then, and `similar` finds what they miss.
+    by fingerprint are only candidates then, and `similar` finds what they miss. The fingerprints are
+    then of other hashes than XXH64.
 
     Fingerprints meet where they agree on `agree` of `blocks` blocks of bits, in one of `layouts`
     of the blocks. Up to `blocks - agree` differing bits that is certain, and the result by bits is
@@ -436,6 +442,7 @@ def group_near(
     else:
         unit = "digest"
         small = stored(shingled(docs, words, text, [doc_id]), "shingled")
+        sets = small.select(F.col("row").alias("node"), "s")
         nodes = small.groupBy("digest").agg(lead.alias("lead"), F.min("fp").alias("fp"))
         nodes = stored(nodes.withColumn("node", F.col("lead.row")), "nodes")
         heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("head")), "fingerprint-heads")
@@ -444,7 +451,7 @@ def group_near(
         near = near.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
         near = near.unionByName(nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y")))
         near = stored(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
-        roots = similar(docs, nodes.select("node"), verified(docs, near, words, text, similarity), words, text, similarity)
+        roots = similar(sets, nodes.select("node"), verified(sets, near, similarity), similarity)
         rooted = nodes.join(roots, "node", "left").select("digest", "lead", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted, "rooted")
     best = stored(rooted.groupBy("root").agg(F.min("lead").alias("lead")), "leads")
