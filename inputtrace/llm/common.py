@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -56,11 +57,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Arrow batches through `run`; a worker gives back what Arrow holds in reserve after each task."""
+    """Arrow batches through `run`; a worker gives back after each task what Arrow and the C library
+    hold in reserve."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
     return rows.mapInArrow(whole, schema)
 
