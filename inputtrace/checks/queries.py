@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import frames as fn
 from ..functions import metrics, names, text
@@ -247,7 +248,7 @@ def _write_results(spark, sf_dir, path: str) -> None:
     truth.join(said, "block", "left").select(clip.alias("value")).write.text(path)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _pixel_sum(data: pd.Series) -> pd.Series:
     return data.map(lambda raw: int(np.frombuffer(raw, np.uint8).sum(dtype=np.int64)))
 
