@@ -747,8 +747,7 @@ from reindexed e join fr_windows w on w.recording_id = e.recording_id
  and e.frame_idx >= w.start_frame and e.frame_idx < w.start_frame + w.num_frames""",
 )
 def _(spark, sf_dir):
-    kept = _kept(spark, sf_dir)
-    moved = FR.reindex_events(I.frame_events(spark, sf_dir), kept).join(FR.frame_counts(kept), "recording_id")
+    moved = FR.reindex_events(I.frame_events(spark, sf_dir), _kept(spark, sf_dir), "num_frames")
     return C.chunk_events(moved, 12, 5).select(*CLIP, "frame_idx", "type", "details")
 
 

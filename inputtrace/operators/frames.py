@@ -42,19 +42,21 @@ def drop_black_frames(frames: DataFrame, threshold: float = BLACK_THRESHOLD) ->
     return frames.where(F.col("black_fraction") <= threshold)
 
 
-def renumber(kept: DataFrame) -> DataFrame:
-    """Add ``new_idx``: kept frames counted from 0.
+def renumber(kept: DataFrame, total: str | None = None) -> DataFrame:
+    """Add ``new_idx``: kept frames counted from 0; ``total`` names a column for their number.
 
     A recording has one row per frame, so a window over it is bounded by the video's length.
     """
-    window = Window.partitionBy("recording_id").orderBy("frame_idx")
-    return kept.withColumn("new_idx", F.row_number().over(window) - 1)
+    whole = Window.partitionBy("recording_id")
+    numbered = kept.withColumn("new_idx", F.row_number().over(whole.orderBy("frame_idx")) - 1)
+    return numbered.withColumn(total, F.count(F.lit(1)).over(whole).cast("int")) if total else numbered
 
 
-def reindex_events(events: DataFrame, kept: DataFrame) -> DataFrame:
-    """Move events to the new numbers; events on dropped frames vanish."""
-    mapping = renumber(kept).select("recording_id", "frame_idx", "new_idx")
-    moved = events.join(mapping, ["recording_id", "frame_idx"])
+def reindex_events(events: DataFrame, kept: DataFrame, total: str | None = None) -> DataFrame:
+    """Move events to the new numbers; events on dropped frames vanish. ``total`` names a column for
+    the number of kept frames, counted in the pass that numbers them."""
+    columns = ["recording_id", "frame_idx", "new_idx", *([total] if total else [])]
+    moved = events.join(renumber(kept, total).select(*columns), ["recording_id", "frame_idx"])
     return moved.withColumn("frame_idx", F.col("new_idx")).drop("new_idx")
 
 

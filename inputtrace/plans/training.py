@@ -47,7 +47,7 @@ def training_clips(
 
     kept = FR.drop_black_frames(frames, black_threshold)
     lengths = FR.frame_counts(kept)
-    moved = FR.reindex_events(actions, kept).join(lengths, "recording_id")
+    moved = FR.reindex_events(actions.drop("num_frames"), kept, "num_frames")
     placed = C.chunk_events(moved, clip_length, clip_stride)
     windows = C.clip_action_counts(C.clip_windows(lengths, clip_length, clip_stride), placed)
     named = windows.withColumn("clip_id", short_clip_id(F.col("recording_id"), F.col("chunk")))

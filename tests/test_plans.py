@@ -80,3 +80,10 @@ def test_index_plans(spark):
     assert drop_empty(merged).count() == 3
     moved = subsample_index(merged).orderBy("clip_id").collect()[3]
     assert (moved.num_frames, moved.fps) == (10, 2) and all(int(a.frame[1:]) < 10 for a in moved.actions)
+
+
+def test_pixels_are_read_once(spark):
+    from __spark_entry__ import queries
+
+    plan = queries()["chunk_clips"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
