@@ -51,7 +51,7 @@ def read_token(token: str) -> tuple[int, int, bool, str]:
     if not bare:
         return NOTHING, 0, ends, ""
     low = bare.lower()
-    if bare[0].isdigit() and NUMBER.fullmatch(bare):
+    if NUMBER.fullmatch(bare):
         return NUMERIC, NUMBER_SLOT, ends, low
     kind = WORD
     if low in UNITS:

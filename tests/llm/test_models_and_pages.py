@@ -198,3 +198,13 @@ def test_stages_on_nothing(spark):
     docs = documents(spark, [])
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, TABLES).count() == 0, name
+
+
+def test_amounts_are_numbers():
+    from inputtrace.llm.decontaminate import NUMERIC, WORD, read_token
+
+    for token in ("5", "$5", "€5", "£5.50,", "(¥300)", "25kg", "12%", "1,000.5"):
+        assert read_token(token)[0] == NUMERIC, token
+    for token in ("€", "b5", "kg", "v2x"):
+        assert read_token(token)[0] != NUMERIC, token
+    assert read_token("word")[0] == WORD
