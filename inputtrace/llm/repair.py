@@ -35,6 +35,7 @@ GAIN = 200  # symbols for each one that the last round replaces, at least
 SLOTS = 18
 LEAST = 6  # occurrences that a rule needs
 MEMO = 400_000  # words that a worker remembers at least; it holds twice as many at most
+CHUNK = 1 << 16  # characters looked up together, so that their words stay in the processor's cache
 NO_ID = -(1 << 63)  # stands for a null document id
 
 
@@ -264,7 +265,7 @@ def write(docs: DataFrame, path: str, target: str, end_id: int = 2, doc_id: str
 
         for batch in batches:
             ids = iter(batch.column(0).to_pylist())
-            for texts in chunks(t.as_py() for t in batch.column(2)):
+            for texts in chunks((t.as_py() for t in batch.column(2)), CHUNK):
                 for found in encoder.encode(texts):
                     names.append(next(ids))
                     held.append(np.append(found, np.uint32(end_id)))

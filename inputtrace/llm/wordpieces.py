@@ -11,6 +11,8 @@ import json
 import re
 from collections.abc import Callable, Iterable
 from functools import cache
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 from tokenizers import Regex, Tokenizer
@@ -110,25 +112,37 @@ class Encoder:
 
     def values(self, texts: list[str], special: dict) -> Iterable[list]:
         """Of each text what belongs to its words, and, from `special`, to special tokens."""
-        split = [self.known.parts(t) for t in texts]
-        words = [[p if i % 2 else self.known.words(p) for i, p in enumerate(parts)] for parts in split]
-        distinct = set().union(*(p for parts in words for p in parts[::2]))
+        words: list[str] = []
+        ends, tokens = [], []
+        for text in texts:
+            for i, part in enumerate(self.known.parts(text)):
+                if i % 2:
+                    tokens.append((len(words), part))
+                    words.append("")  # holds the token's place; its value is set below
+                else:
+                    words += self.known.words(part)
+            ends.append(len(words))
         if len(self.memo) > self.size:
             self.memo, self.older = {}, self.memo
-        new = []
-        for word in distinct.difference(self.memo):
-            found = self.older.get(word)
-            if found is None:
-                new.append(word)
-            else:
-                self.memo[word] = found
-        self.memo.update(zip(new, self.resolve(new)))
-        get = self.memo.__getitem__
-        for parts in words:
-            if len(parts) == 1:
-                yield list(map(get, parts[0]))
-            else:
-                yield [v for i, p in enumerate(parts) for v in ([special[p]] if i % 2 else map(get, p))]
+        found = list(map(self.memo.get, words))
+        gaps = list(compress(range(len(words)), map(is_, found, repeat(None))))
+        if gaps:
+            new = []
+            for word in {words[i] for i in gaps}:
+                value = self.older.get(word)
+                if value is None:
+                    new.append(word)
+                else:
+                    self.memo[word] = value
+            self.memo.update(zip(new, self.resolve(new)))
+            for i in gaps:
+                found[i] = self.memo[words[i]]
+        for i, token in tokens:
+            found[i] = special[token]
+        start = 0
+        for end in ends:
+            yield found[start:end]
+            start = end
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as little-endian 32-bit integers."""
