@@ -220,20 +220,18 @@ def library_encoder(path: str) -> Encoder:
 
     packed = [i.to_bytes(4, "little") for i in range(known.size)]
 
+    def asked(piece: str) -> bytes:
+        return b"".join([packed[t.id] for t in tokenize(as_symbols(piece))])
+
     class Ids(dict):
         def __missing__(self, piece: str) -> bytes:
-            found = encoder.memo.get(piece) if piece.isalpha() else None
-            if found is None:
-                found = b"".join([packed[t.id] for t in tokenize(as_symbols(piece))])
-            self[piece] = found
+            found = self[piece] = encoder.memo.get(piece) or asked(piece)
             return found
 
     def resolve(words: list[str]) -> list[bytes]:
-        ids, found = Ids(), []
-        for word in words:
-            pieces = known.pieces(word)
-            found.append(ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces]))
-        return found
+        whole = [w for w in words if w.isalpha()]
+        ids = Ids(zip(whole, map(asked, whole)))
+        return [ids[w] if w in ids else b"".join([ids[p] for p in known.pieces(w)]) for w in words]
 
     encoder = Encoder(known, resolve, MEMO)
     return encoder
@@ -253,7 +251,7 @@ def write(docs: DataFrame, path: str, target: str, end_id: int = 2, doc_id: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encoder = TaskContext.get().partitionId(), library_encoder(path)
-        size = encoder.known.size
+        size, end = encoder.known.size, end_id.to_bytes(4, "little")
         names: list = []
         held: list[np.ndarray] = []
         n = first = 0
@@ -266,10 +264,10 @@ def write(docs: DataFrame, path: str, target: str, end_id: int = 2, doc_id: str
         for batch in batches:
             ids = iter(batch.column(0).to_pylist())
             for texts in chunks((t.as_py() for t in batch.column(2)), CHUNK):
-                for found in encoder.encode(texts):
+                for found in encoder.encode(texts, end):
                     names.append(next(ids))
-                    held.append(np.append(found, np.uint32(end_id)))
-                    n += len(found) + 1
+                    held.append(found)
+                    n += len(found)
                     if n >= SHARD:
                         yield out()
                         names, held, first, n = [], [], first + n, 0

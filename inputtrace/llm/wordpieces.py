@@ -23,6 +23,7 @@ from tokenizers.pre_tokenizers import Split
 PLAIN = re.compile("[\t-\r -~\xa1-\xff]*")
 PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+")
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"  # fixed by the file format
+STOPS = frozenset(",.;:!?)")  # what most often ends a word and is then a piece
 MEMO = 80_000  # words that a worker remembers at least; it holds twice as many at most
 
 
@@ -92,6 +93,8 @@ class Vocabulary:
         """The pieces of a word from `words`; those of a text that isn't plain are pieces already."""
         if word.isalpha():  # of a plain text or not, its letters hold together
             return [word]
+        if word[-1:] in STOPS and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
         return PLAIN_PIECES.findall(word) if PLAIN.fullmatch(word) else [word]
 
 
@@ -144,10 +147,10 @@ class Encoder:
             yield found[start:end]
             start = end
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as little-endian 32-bit integers."""
+    def encode(self, texts: list[str], end: bytes = b"") -> list[np.ndarray]:
+        """Ids of each text, as little-endian 32-bit integers, and those of `end`."""
         special = {name: i.to_bytes(4, "little") for name, i in self.known.special.items()}
-        return [np.frombuffer(b"".join(values), "<u4") for values in self.values(texts, special)]
+        return [np.frombuffer(b"".join(values) + end, "<u4") for values in self.values(texts, special)]
 
 
 def chunks(texts: Iterable[str], size: int = 1 << 20) -> Iterable[list[str]]:
