@@ -1,10 +1,11 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree of elements. Parts that are never text of an article go first. Each
+A page becomes a tree of elements. Parts that are never text of an article go first, then those
+whose class, id or role says so, unless they hold the article itself. Each
 paragraph passes points for its length and its commas to its parent and half of them to its
 grandparent; a container's points are discounted by its link density. The container with the
-most points holds the article, together with those of its siblings that score well or read like
-text.
+most points (the first among equals) holds the article: within an article or main element it
+stands for that element, else its siblings that score well or read like text join it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inputtrace.llm.common import carried, numbered, table
+from inputtrace.llm.common import carried, mapped, numbered, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset(
@@ -44,6 +45,8 @@ ASIDE = frozenset(  # words of class, id and role that mark what is not article
     "related recommended recommendations teaser teasers outbrain taboola tags toc contentinfo complementary search "
     "login".split()
 )
+REMARKS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+STATES = frozenset("has no not with without is hide show".split())  # "has-sidebar" is said of what lies beside one
 KEPT = frozenset("html body main article".split())  # never dropped for their class
 WORDS = re.compile("[a-z]+")
 BLANKS = re.compile(r"\s+")
@@ -109,25 +112,70 @@ class Tree(HTMLParser):
 
 
 def dropped(element: Element, inside: bool) -> bool:
-    """Whether an element is no part of an article; `inside` an article or main element."""
+    """Whether an element is of a kind that is no part of an article; `inside` an article or main element."""
     tag, attrs = element.tag, element.attrs
     if tag in NEVER or (tag == "header" and not inside):
         return True
-    if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
-        return True
-    if tag in KEPT or not attrs:
-        return False
-    marks = " ".join(attrs.get(a) or "" for a in ("class", "id", "role")).lower()
-    return bool(marks.strip()) and not ASIDE.isdisjoint(WORDS.findall(marks))
+    return "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true"
+
+
+def mark(element: Element) -> str | None:
+    """What class, id and role say: "remarks" of readers, "plain" for a name that as a whole marks what is
+    not article, "part" for one that does so in a part."""
+    if element.tag in KEPT or not element.attrs:
+        return None
+    found = None
+    for name in " ".join(element.attrs.get(a) or "" for a in ("class", "id", "role")).lower().split():
+        words = WORDS.findall(name)
+        if not words or words[0] in STATES or ASIDE.isdisjoint(words):
+            continue
+        if not REMARKS.isdisjoint(words):
+            return "remarks"
+        if len(words) == 1:
+            found = "plain"
+        elif found is None:
+            found = "part"
+    return found
 
 
 def prune(root: Element) -> None:
+    """Drop what is of no kind for an article, then what is marked as such and doesn't hold the article.
+
+    A marked element holds it if it has a main element, or all article elements and most of the page's
+    points. Without article and main elements outside, either of these is enough for a name marked in a
+    part. Remarks are kept only around a main element."""
     stack = [(root, False)]
     while stack:
         element, inside = stack.pop()
         inside = inside or element.tag in ("article", "main")
         element.parts = [p for p in element.parts if isinstance(p, str) or not dropped(p, inside)]
         stack += [(p, inside) for p in element.parts if not isinstance(p, str)]
+    elements = in_order(root)
+    marks = {id(e): m for e in elements if (m := mark(e))}
+    if not marks:
+        return
+    measure(elements)
+    sums = {}  # points, articles, mains below each element; none of remarks
+    for e in reversed(elements):
+        points, articles, mains = (worth(e) if is_text(e) else 0.0), int(e.tag == "article"), int(e.tag == "main")
+        for part in e.parts:
+            if not isinstance(part, str):
+                below = sums[id(part)]
+                points, articles, mains = points + below[0], articles + below[1], mains + below[2]
+        sums[id(e)] = (0.0, 0, mains) if marks.get(id(e)) == "remarks" else (points, articles, mains)
+    all_points, all_articles, all_mains = sums[id(root)]
+
+    def holds(e: Element) -> bool:
+        points, articles, mains = sums[id(e)]
+        if mains or marks[id(e)] == "remarks":
+            return mains > 0
+        if all_mains or articles < all_articles:
+            return False
+        most = 2 * points > all_points
+        return most and articles > 0 if marks[id(e)] == "plain" else most or articles > 0
+
+    for e in elements:
+        e.parts = [p for p in e.parts if isinstance(p, str) or id(p) not in marks or holds(p)]
 
 
 def in_order(root: Element) -> list[Element]:
@@ -143,6 +191,7 @@ def in_order(root: Element) -> list[Element]:
 def measure(elements: list[Element]) -> None:
     """Characters, characters in links and commas below each element."""
     for e in reversed(elements):
+        e.text = e.links = e.commas = 0
         for part in e.parts:
             if isinstance(part, str):
                 e.text += len(part.strip())
@@ -157,16 +206,23 @@ def density(e: Element) -> float:
     return e.links / e.text if e.text else 0.0
 
 
+def is_text(e: Element) -> bool:
+    """Whether an element is a paragraph: made for text, or a division with text of its own."""
+    own = e.tag in PARAGRAPH or (e.tag in BLOCK and any(isinstance(p, str) and p.strip() for p in e.parts))
+    return own and e.text > 0
+
+
+def worth(e: Element) -> float:
+    """A paragraph's points."""
+    return (1 + e.commas + min(e.text / 100, 3.0)) * (1 - density(e))
+
+
 def give_points(elements: list[Element]) -> list[Element]:
-    """Scored containers, in page order. A paragraph is an element made for text, or a division
-    with text of its own."""
+    """Scored containers, in page order."""
     for e in elements:
-        own = e.tag in PARAGRAPH or (
-            e.tag in BLOCK and any(isinstance(p, str) and p.strip() for p in e.parts)
-        )
-        if not own or not e.text:
+        if not is_text(e):
             continue
-        points = (1 + e.commas + min(e.text / 100, 3.0)) * (1 - density(e))
+        points = worth(e)
         holder = e.parent or e
         if e.tag not in PARAGRAPH:
             e.score += points
@@ -180,14 +236,34 @@ def give_points(elements: list[Element]) -> list[Element]:
     return scored
 
 
+def enclosing(element: Element) -> Element | None:
+    """The nearest article around an element, else the nearest main element."""
+    main, at = None, element
+    while at is not None:
+        if at.tag == "article":
+            return at
+        main = main or (at if at.tag == "main" else None)
+        at = at.parent
+    return main
+
+
 def chosen(elements: list[Element]) -> list[Element]:
-    """The best container and the siblings that belong to it, in page order."""
+    """The article around the best container, or the main element without its lists of links; where there
+    is neither, the best container and the siblings that belong to it, in page order."""
     scored = give_points(elements)
     if not scored:
         return []
     best = max(scored, key=lambda e: e.score)  # the first one among equals
     while best.tag not in BLOCK and best.parent is not None:
         best = best.parent
+    around = enclosing(best)
+    if around is not None:
+        if around.tag == "main":
+            around.parts = [
+                p for p in around.parts
+                if isinstance(p, str) or p.tag not in BLOCK or p.tag in PARAGRAPH or density(p) <= 0.5
+            ]
+        return [around]
     if best.parent is None:
         return [best]
     bar = max(10.0, best.score * 0.2)
@@ -247,7 +323,7 @@ def main_text(html: str) -> str:
 def extract(pages: DataFrame, html: str = "html", carry: Sequence[str] = ()) -> DataFrame:
     """Columns text, n_chars and those of `carry`, one row per page. Null or empty html, and pages
     that hold nothing but menus and the like, give an empty text. Pages are parsed one at a time
-    and whole; repeated rows are alike."""
+    and whole; repeated rows are alike, no rows give no rows, and carried columns may have any name."""
     rows = numbered(pages, html, carry).select("text", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +332,7 @@ def extract(pages: DataFrame, html: str = "html", carry: Sequence[str] = ()) ->
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(texts, pa.string())], ["doc", "text"])
 
     schema = f"doc {rows.schema['doc'].dataType.simpleString()}, text string"
-    return rows.mapInArrow(run, schema).select(
+    return mapped(rows, run, schema).select(
         *carried(carry), "text", F.length("text").cast("long").alias("n_chars")
     )
 

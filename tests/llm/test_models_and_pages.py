@@ -71,6 +71,45 @@ def test_page_text():
     assert [main_text(t) for t in ("", "plain", "<p>a<p>b", "<nav>x</nav>", "<p>&#65;&nbsp;b</p>")] == ["", "plain", "a\n\nb", "", "A b"]
 
 
+STORY = "".join(f"<p>Sentence {i} of the story, with a comma, and some more words to read.</p>" for i in range(6))
+STORY_TEXT = "\n\n".join(f"Sentence {i} of the story, with a comma, and some more words to read." for i in range(6))
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "post alert-level", "post no-comments", "page-menu-open", "content"])
+def test_articles_in_containers_with_marked_names(name):
+    side = '<div class="ad"><p>Buy, buy, buy.</p></div><div class="sidebar"><p>On the side, as well.</p></div>'
+    remarks = '<div class="comments">' + "<p>I agree, fully, with, all, of it, and more.</p>" * 40 + "</div>"
+    for story in (STORY, f"<article>{STORY}</article>", f"<main>{STORY}</main>"):
+        assert main_text(f'<body>{side}<div class="{name}">{story}{side}{remarks}</div>{remarks}</body>') == STORY_TEXT
+
+
+def test_marked_containers_beside_an_article():
+    for name in ("ad", "ad-box", "related", "sidebar-left", "comments", "cookie notice"):
+        other = f'<div class="{name}">' + "<p>Not, a, part, of, the, story.</p>" * 3 + "</div>"
+        assert main_text(f"<body>{other}<article>{STORY}{other}</article>{other}</body>") == STORY_TEXT
+        alone = main_text(f'<body><div class="{name}"><p>Alone, and marked.</p></div></body>')
+        assert alone == ("Alone, and marked." if "-" in name else "")  # nothing else is there to read
+    cards = '<div class="related">' + "<article><p>Another, story, to, read.</p></article>" * 9 + "</div>"
+    assert main_text(f"<body><article>{STORY}</article>{cards}</body>") == STORY_TEXT
+    assert main_text(f'<div class="notice"><article>{STORY}</article></div>') == STORY_TEXT
+
+
+@pytest.mark.parametrize("part", ["section", "div"])
+def test_short_parts_of_an_article_stay(part):
+    page = f"<article><{part}>{STORY}</{part}><{part}><h2>End</h2><p>Short.</p></{part}></article>"
+    links = "<ul><li><a href=a>one</a></li><li><a href=b>two</a></li></ul>"
+    assert main_text(f"<body>{page}<p>x</p></body>") == STORY_TEXT + "\n\nEnd\n\nShort."
+    assert main_text(f"<main>{page.replace('article', 'div')}{links}</main>") == STORY_TEXT + "\n\nEnd\n\nShort."
+
+
+def test_pages_of_nothing_and_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "<p>a, b</p>", "u", 2), (None, None, None, None), (1, "<p>a, b</p>", "u", 2)],
+                                  "text bigint, html string, doc string, n_chars int")
+    rows = extract(stored(spark, pages), carry=["doc"]).collect()
+    assert sorted((r["doc"] or "", r["text"], r["n_chars"]) for r in rows) == [("", "", 0), ("u", "a, b", 4), ("u", "a, b", 4)]
+    assert extract(stored(spark, pages.limit(0)), carry=["doc"]).count() == 0
+
+
 def test_deep_and_long_pages(spark):
     deep = "<div>" * 3000 + "<p>in, the, deep</p>" + "</div>" * 3000
     pages = spark.createDataFrame([(1, "u", None), (2, "u", deep), (2, "u", "<p>" + "word, " * 50_000)], "page_id bigint, url string, html string")
