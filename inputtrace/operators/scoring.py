@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,19 +15,21 @@ from .scan import HOT_ROWS
 COUNTS = ["gt_count", "pred_count", "tp", "fp", "fn"]
 
 
-def score_rollup(counts: DataFrame, clips: DataFrame, clip: list[str]) -> DataFrame:
-    """One long table of scores: ``level`` overall, type or clip.
+def score_rollup(counts: DataFrame, clips: DataFrame, clip: list[str], within: Sequence[str] = ()) -> DataFrame:
+    """One long table of scores: ``level`` overall, type or clip, each for itself ``within`` a document.
 
     ``counts`` are outcome counts per clip and type. A clip with neither truth nor predictions
     appears at clip level with zeros, a type that never occurs does not appear.
     """
+    within = list(within)
     # A zero row without type stands for each clip; it adds nothing to the sums.
     zero = F.lit(0).cast("bigint")
-    rows = counts.select(*clip, "type", *COUNTS).unionByName(
-        clips.select(*clip).distinct().select(*clip, F.lit(None).cast("string").alias("type"), *[zero.alias(c) for c in COUNTS])
+    rows = counts.select(*within, *clip, "type", *COUNTS).unionByName(
+        clips.select(*within, *clip).distinct().select(*within, *clip, F.lit(None).cast("string").alias("type"), *[zero.alias(c) for c in COUNTS])
     )
-    clip_cols = [F.col(c) for c in clip]
-    sets = rows.groupingSets([[], [F.col("type")], clip_cols], F.col("type"), *clip_cols).agg(
+    clip_cols, outer = [F.col(c) for c in clip], [F.col(c) for c in within]
+    levels = [outer, [*outer, F.col("type")], [*outer, *clip_cols]]
+    sets = rows.groupingSets(levels, *outer, F.col("type"), *clip_cols).agg(
         *[F.sum(c).alias(c) for c in COUNTS],
         F.grouping("type").alias("_no_type"),
         F.grouping(clip[0]).alias("_no_clip"),
@@ -34,7 +38,22 @@ def score_rollup(counts: DataFrame, clips: DataFrame, clip: list[str]) -> DataFr
         F.when(F.col("_no_type") == 0, "type").when(F.col("_no_clip") == 0, "clip").otherwise("overall")
     )
     named = sets.withColumn("level", level).where((F.col("level") != "type") | F.col("type").isNotNull())
-    return with_prf(named).select("level", *clip, "type", *COUNTS, "precision", "recall", "f1")
+    return with_prf(named).select("level", *within, *clip, "type", *COUNTS, "precision", "recall", "f1")
+
+
+def nested_summary(counts: DataFrame, clips: DataFrame, document: list[str], clip: list[str]) -> DataFrame:
+    """One row per document: ``overall`` scores, ``per_type`` scores by type, and its ``clips`` in order of
+    ``clip``, which tells them apart within the document. Documents follow from ``clips``.
+
+    Scores are reduced to one row per type and clip before a document's row is put together."""
+    scores = score_rollup(counts, clips, clip, document)
+    fields = ["tp", "fp", "fn", "precision", "recall", "f1"]
+    entry = F.struct("type", F.struct(*fields))
+    return scores.groupBy(*document).agg(
+        F.first(F.when(F.col("level") == "overall", F.struct(*fields)), ignorenulls=True).alias("overall"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("level") == "type", entry)))).alias("per_type"),
+        F.sort_array(F.collect_list(F.when(F.col("level") == "clip", F.struct(*clip, *fields)))).alias("clips"),
+    )
 
 
 def score(

@@ -168,6 +168,11 @@ def write_summary(scores: DataFrame, path: str) -> None:
     scores.write.mode("errorifexists").json(path)
 
 
+def write_summary_documents(documents: DataFrame, path: str) -> None:
+    """Nested summaries, one JSON document a line; they appear together, when all are written."""
+    documents.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
+
+
 def write_metadata(row: DataFrame, path: str) -> None:
     """A one-row table as one JSON file."""
     row.coalesce(1).write.mode("errorifexists").json(path)
