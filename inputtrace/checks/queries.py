@@ -837,6 +837,40 @@ def _(spark, sf_dir):
     return _scores(spark, sf_dir)
 
 
+_DOCUMENT_SCORES = "sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn"
+
+
+@query(
+    "summary_documents",
+    f"""
+with c as (
+ select r.recording_id % 16 as document, r.recording_id, m.type, coalesce(m.tp, 0) as tp, coalesce(m.fp, 0) as fp,
+  coalesce(m.fn, 0) as fn
+ from recordings r left join m_counts m on m.recording_id = r.recording_id)
+select *, {O._prf()} from (
+ select 'overall' as level, document, null::varchar as type, null::bigint as recording_id, {_DOCUMENT_SCORES} from c group by 2
+ union all select 'type', document, type, null, {_DOCUMENT_SCORES} from c where type is not null group by 2, 3
+ union all select 'clip', document, null, recording_id, {_DOCUMENT_SCORES} from c group by 2, 4)""",
+)
+def _(spark, sf_dir):
+    document = (F.col("recording_id") % 16).alias("document")
+    solved = matching.match_frames(_truth(spark, sf_dir), _scored(spark, sf_dir), REC, 2)
+    counts = matching.outcome_counts(solved, [*REC, "type"]).select("*", document)
+    made = scoring.nested_summary(counts, I.recordings(spark, sf_dir).select("*", document), ["document"], REC)
+    path = scratch_path(spark, "summaries")
+    files.write_summary_documents(made, path)
+    stored = spark.read.schema(made.schema).json(path)
+    none, rec = F.lit(None).cast("string").alias("type"), F.lit(None).cast("bigint").alias("recording_id")
+    fields = ["tp", "fp", "fn", "precision", "recall", "f1"]
+    types = stored.select("document", F.explode("per_type").alias("type", "score"))
+    clips = stored.select("document", F.inline("clips"))
+    return (
+        stored.select(F.lit("overall").alias("level"), "document", none, rec, "overall.*")
+        .unionByName(types.select(F.lit("type").alias("level"), "document", "type", rec, "score.*"))
+        .unionByName(clips.select(F.lit("clip").alias("level"), "document", none, *REC, *fields))
+    )
+
+
 @query(
     "score_report",
     "select level, recording_id, type, gt_count, pred_count, tp, fp, fn, "
