@@ -63,7 +63,7 @@ def coalesce_scroll_list(
     return scanned.where(~F.coalesce(merges, F.lit(False))).select(*actions.columns)
 
 
-def coalesce_repeats(
+def mark_repeats(
     actions: DataFrame,
     group: list[str],
     frame: str,
@@ -74,20 +74,39 @@ def coalesce_repeats(
     hot_rows: int = HOT_ROWS,
     counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Merge scrolls, and clicks, that repeat within ``gap`` frames; the first stays.
+    """Add ``kept``: false for scrolls, and clicks, that repeat the one before within ``gap`` frames.
 
     Scrolls are compared with scrolls and clicks with clicks; other actions neither merge nor
     separate. ``order`` names what orders the actions of one frame, and ``finer`` numbers that
     never decrease along it, as in ``split_hot``, which ``counted`` is for too.
+
+    One pass over all actions: those that take no part are dealt by their frames, so that they
+    make up no large group.
     """
-    merging = F.col("type").isin("MouseScroll", "MouseClick")
-    sliced = split_hot(actions.where(merging), [*group, "type"], frame, finer, hot_rows, counted)
+    merging = F.coalesce(F.col("type").isin("MouseScroll", "MouseClick"), F.lit(False))
+    apart = F.when(merging, F.lit(None)).otherwise(F.struct("type", frame))
+    sizes = actions.where(merging) if counted is None else counted
+    sliced = split_hot(actions, [*group, "type"], frame, finer, hot_rows, sizes).withColumn("_apart", F.hash(apart))
     here = F.struct(F.col(frame).alias("frame"), F.col(details).alias("details"))
-    scanned = carry(sliced, [*group, "type"], [frame, order], {"_prev": here}, dense=True)
+    scanned = carry(sliced, [*group, "type", "_apart"], [frame, order], {"_prev": here}, dense=True)
     repeats = _repeats(F.col("_prev"), frame, details, gap)
-    kept = scanned.where(~repeats).select(*actions.columns)
-    others = actions.where(~F.coalesce(merging, F.lit(False)))
-    return others.unionByName(kept)
+    return scanned.select(*actions.columns, (~(merging & repeats)).alias("kept"))
+
+
+def coalesce_repeats(
+    actions: DataFrame,
+    group: list[str],
+    frame: str,
+    gap: int = 1,
+    details: str = "details",
+    order: str = "pos",
+    finer: tuple[str, ...] = ("pos",),
+    hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
+) -> DataFrame:
+    """Merge what ``mark_repeats`` finds; the first stays."""
+    marked = mark_repeats(actions, group, frame, gap, details, order, finer, hot_rows, counted)
+    return marked.where("kept").drop("kept")
 
 
 def _repeats(prev: Column, frame: str, details: str, gap: int) -> Column:
@@ -95,14 +114,25 @@ def _repeats(prev: Column, frame: str, details: str, gap: int) -> Column:
     return F.coalesce(near & prev["details"].eqNullSafe(F.col(details)), F.lit(False))
 
 
-def coalesce_gt(
+def mark_gt(
     truth: DataFrame,
     group: list[str],
     gap: int = 1,
     hot_rows: int = HOT_ROWS,
     counted: DataFrame | None = None,
 ) -> DataFrame:
-    """The same on scoring actions; scrolls without direction vanish after merging."""
-    merged = coalesce_repeats(truth, group, "frame", gap, "detail", "seq", ("seq.ts_us", "seq.ord"), hot_rows, counted)
+    """Add ``kept`` to scoring actions; scrolls without direction go after merging."""
+    marked = mark_repeats(truth, group, "frame", gap, "detail", "seq", ("seq.ts_us", "seq.ord"), hot_rows, counted)
     aimless = (F.col("type") == "MouseScroll") & (F.coalesce("detail", F.lit("")) == "")
-    return merged.where(~aimless)
+    return marked.withColumn("kept", F.col("kept") & ~F.coalesce(aimless, F.lit(False)))
+
+
+def coalesce_gt(
+    truth: DataFrame,
+    group: list[str],
+    gap: int = 1,
+    hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
+) -> DataFrame:
+    """The scoring actions that ``mark_gt`` keeps."""
+    return mark_gt(truth, group, gap, hot_rows, counted).where("kept").drop("kept")

@@ -9,8 +9,12 @@ range window supplies it; the remaining order dependence is a fold over those fe
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.metrics import with_prf
 
@@ -81,16 +85,11 @@ def _take(entry: Column, taken: Column) -> Column:
     return F.aggregate(entry["cands"], start, step, lambda state: state["picks"])
 
 
-def _fold(entries: Column, start: Column, reach: int | None) -> Column:
+def _fold(entries: Column, start: Column, reach: int) -> Column:
     """Let the entries take in order; ``reach`` forgets picks no later entry can meet."""
 
     def step(state: Column, entry: Column) -> Column:
-        if reach is None:
-            remembered = state["taken"]
-        else:
-            remembered = F.filter(
-                state["taken"], lambda t: t["pred_frame"] >= entry["frame"] - F.lit(reach)
-            )
+        remembered = F.filter(state["taken"], lambda t: t["pred_frame"] >= entry["frame"] - F.lit(reach))
         # A one-element array binds the picks, which are needed twice.
         bound = F.transform(
             F.array(_take(entry, remembered)),
@@ -108,7 +107,7 @@ def _empty_state() -> Column:
     return F.struct(F.array().cast(PICKS).alias("taken"), F.array().cast(PICKS).alias("picks"))
 
 
-def _picks(entries: Column, reach: int | None) -> Column:
+def _picks(entries: Column, reach: int) -> Column:
     """All picks of a problem, folded block by block."""
     blocks = F.transform(
         F.sequence(F.lit(0), F.floor((F.size(entries) - 1) / BLOCK).cast("int")),
@@ -156,30 +155,21 @@ def match_frames(
 
 
 def match_settings(
-    truth: DataFrame,
-    merged_truth: DataFrame,
-    preds: DataFrame,
-    clip: list[str],
-    tolerances: list[int],
+    truth: DataFrame, preds: DataFrame, clip: list[str], tolerances: list[int]
 ) -> DataFrame:
     """The same for every tolerance, with plain truth and with merged scrolls and clicks.
 
-    Rows are counted and their surroundings gathered once, under the widest tolerance; the
-    settings multiply the counts and not the rows. ``merged_truth`` holds the merged scrolls
-    and clicks only.
+    Truth is read once: ``kept`` tells which of its rows remain when merged. Rows are counted and
+    their surroundings gathered once, under the widest tolerance; the settings multiply the counts
+    and not the rows.
     """
     keys = [*clip, "type", "detail"]
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    alike = (~F.col("type").isin("MouseScroll", "MouseClick")).cast("bigint")
 
     def counted(rows: DataFrame, plain: Column, merged: Column, p: Column) -> DataFrame:
         return rows.select(*keys, "frame", plain.alias("plain"), merged.alias("merged"), p.alias("p"))
 
-    every = (
-        counted(truth, one, alike, zero)
-        .unionByName(counted(merged_truth, zero, one, zero))
-        .unionByName(counted(preds, zero, zero, one))
-    )
+    every = counted(truth, one, F.col("kept").cast("bigint"), zero).unionByName(counted(preds, zero, zero, one))
     counts = every.groupBy(*keys, "frame").agg(*[F.sum(c).alias(c) for c in ("plain", "merged", "p")])
     widest = max(tolerances)
     near = _within(counts, keys, widest)
@@ -210,13 +200,62 @@ def match_settings(
     return chosen.withColumn("picks", _picks(F.col("entries"), widest)).drop("entries")
 
 
+_PICKED = T.StructType(
+    [T.StructField(name, T.ArrayType(kind)) for name, kind in (("frame", T.IntegerType()), ("pred_frame", T.IntegerType()), ("n", T.LongType()))]
+)
+
+
+def take_in_order(asked, asked_n, given, given_n, tolerance: int) -> list[tuple[int, int, int]]:
+    """What each asked frame, in list order, takes of the given ones: the nearest that are left within the
+    tolerance, of two equally near the earlier in the list. Triples of both frames and how many.
+
+    The given places wait in a queue per frame, so an asked frame looks at ``2 * tolerance + 1`` heads
+    and the work grows with the lists and not with their product.
+    """
+    waiting: dict[int, deque] = {}
+    for place, (frame, n) in enumerate(zip(given, given_n)):
+        waiting.setdefault(int(frame), deque()).append([place, int(n)])
+    picks = []
+    for frame, wanted in zip(asked, asked_n):
+        frame, wanted = int(frame), int(wanted)
+        for distance in range(tolerance + 1):
+            beside = [f for f in {frame - distance, frame + distance} if f in waiting]
+            while wanted and beside:
+                nearest = min(beside, key=lambda f: waiting[f][0])
+                head = waiting[nearest][0]
+                n = min(wanted, head[1])
+                picks.append((frame, nearest, n))
+                wanted -= n
+                head[1] -= n
+                if not head[1]:
+                    waiting[nearest].popleft()
+                    if not waiting[nearest]:
+                        del waiting[nearest]
+                        beside.remove(nearest)
+            if not wanted:
+                break
+    return picks
+
+
+@F.pandas_udf(_PICKED)
+def _take_in_order(
+    asked: pd.Series, asked_n: pd.Series, given: pd.Series, given_n: pd.Series, tolerance: pd.Series
+) -> pd.DataFrame:
+    rows = []
+    for row in zip(asked, asked_n, given, given_n, tolerance):
+        picks = take_in_order(*row)
+        rows.append(list(map(list, zip(*picks))) if picks else [[], [], []])
+    return pd.DataFrame(rows, columns=["frame", "pred_frame", "n"])
+
+
 def match_lists(truth: DataFrame, preds: DataFrame, clip: list[str], tolerance: int = 2) -> DataFrame:
     """Matching where the order of both lists is ``pos`` and not the frame, solved.
 
     Frames further apart than the tolerance cannot meet, so each stretch of frames is solved on
-    its own: what is gathered and compared is bounded by a stretch, and the result has a row per
-    stretch. Neighbours in the list of a stretch with one frame form a run and are handled as a
-    count.
+    its own: what is gathered is bounded by a stretch, and the result has a row per stretch.
+    Neighbours in the list of a stretch with one frame form a run and are handled as a count.
+    List order may jump between frames, which no window follows, so a stretch is solved in an
+    Arrow function, in time that grows with its length.
     """
     keys = [*clip, "type", "detail"]
     columns = [*keys, "pos", "frame"]
@@ -241,16 +280,12 @@ def match_lists(truth: DataFrame, preds: DataFrame, clip: list[str], tolerance:
     given = F.struct("id", F.col("frame").alias("pred_frame"), F.col("n").alias("p"))
     gathered = runs.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.when(F.col("asks"), asked))).alias("asked"),
-        F.collect_list(F.when(~F.col("asks"), given)).alias("given"),
-    )
-    entries = F.transform(
-        "asked",
-        lambda e: F.struct(
-            e["frame"], e["g"], _ranked(e["frame"], F.col("given"), F.lit(tolerance)).alias("cands")
-        ),
+        F.array_sort(F.collect_list(F.when(~F.col("asks"), given))).alias("given"),
     )
-    # A one-element array binds the entries, so that they are put together once.
-    picks = F.element_at(F.transform(F.array(entries), lambda e: _picks(e, None)), 1)
+    # What has no frame meets nothing.
+    asking, offered = F.filter("asked", lambda x: x["frame"].isNotNull()), F.filter("given", lambda x: x["pred_frame"].isNotNull())
+    found = _take_in_order(asking["frame"], asking["g"], offered["pred_frame"], offered["p"], F.lit(tolerance))
+    picks = F.arrays_zip(found["frame"].alias("frame"), found["pred_frame"].alias("pred_frame"), found["n"].alias("n"))
     said = F.transform(
         "given", lambda c: F.struct(c["pred_frame"].alias("frame"), zero.alias("g"), c["p"].alias("p"))
     )

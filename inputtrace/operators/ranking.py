@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import hash32
-from ..session import shared_dir
 
 BUCKETS = 65_536
 BUCKET_WIDTH = 2**32 // BUCKETS
+# Bounds between ranges of an order.
+BOUNDS = 4095
 
 
 def shuffled_rank(df: DataFrame, key: str, seed: int, total: str | None = None) -> DataFrame:
@@ -42,25 +43,34 @@ def shuffled_rank(df: DataFrame, key: str, seed: int, total: str | None = None)
     return ranked.drop("_hash", "_bucket", "_place", "_offset", "_rows_total")
 
 
+def _bounds_below(bounds: Column, key: Column) -> Column:
+    """How many of the sorted bounds are not above the key, by binary search."""
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(BOUNDS.bit_length()))])
+
+    def step(found: Column, width: Column) -> Column:
+        return F.when(F.get(bounds, found + width - 1) <= key, found + width).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def ordered_rank(df: DataFrame, order: list[str]) -> DataFrame:
-    """Add ``rank`` from 1 in the given total order.
+    """Add ``rank`` from 1 in the given total order, nulls first.
 
-    The sorted rows are checkpointed once, so that the partition sizes and the rows that are
-    numbered come from the same sort. The broadcast table has one row per partition.
+    The keys with the smallest hashes are bounds that cut the order into ranges; a row's rank is its
+    place in its range plus the sizes of the ranges before it. The bounds depend on the keys alone, so
+    whoever computes them again finds the same, and all is one plan. The array of bounds and the
+    broadcast table have ``BOUNDS`` entries at most.
     """
-    shared_dir(df.sparkSession)
-    numbered = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
-    numbered = numbered.withColumns(
-        {
-            "_part": F.shiftright("_id", 33),
-            "_place": F.col("_id").bitwiseAND(F.lit(2**33 - 1)),
-        }
-    )
-    sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    key = F.struct(*order)
+    chosen = df.select(key.alias("_key")).orderBy(F.xxhash64(*order), "_key").limit(BOUNDS)
+    bounds = chosen.agg(F.array_sort(F.collect_list("_key"))).scalar()
+    ranged = df.withColumn("_bounds", bounds).withColumn("_range", _bounds_below(F.col("_bounds"), key)).drop("_bounds")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     return (
-        numbered.join(F.broadcast(offsets), "_part")
-        .withColumn("rank", F.col("_offset") + F.col("_place") + 1)
-        .drop("_id", "_part", "_place", "_offset")
+        ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+        .join(F.broadcast(offsets), "_range")
+        .withColumn("rank", F.col("_offset") + F.col("_place"))
+        .drop("_range", "_place", "_offset")
     )

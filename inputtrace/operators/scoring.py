@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import with_prf
-from .gestures import coalesce_gt
+from .gestures import mark_gt
 from .matching import match_frames, match_settings, outcome_counts
 from .scan import HOT_ROWS
 
@@ -87,11 +87,10 @@ def rescore_sweep(
 ) -> DataFrame:
     """Overall counts and scores for every tolerance, with and without coalesced truth.
 
-    ``truth`` needs ``seq``. All settings share one matching job. ``counted`` as in ``split_hot``.
+    ``truth`` needs ``seq`` and is read once. All settings share one matching job. ``counted`` as in ``split_hot``.
     """
-    merging = truth.where(F.col("type").isin("MouseScroll", "MouseClick"))
-    merged = coalesce_gt(merging, clip, hot_rows=hot_rows, counted=counted)
-    solved = match_settings(truth, merged, preds, clip, tolerances)
+    marked = mark_gt(truth, clip, hot_rows=hot_rows, counted=counted)
+    solved = match_settings(marked, preds, clip, tolerances)
     return with_prf(outcome_counts(solved, ["tolerance", "coalesce"]))
 
 

@@ -167,6 +167,21 @@ def test_samples(spark):
     assert sampling.first_recordings(df, "clip_id", 0).count() == 1000
 
 
+@pytest.mark.parametrize("n,bounds", [(0, 15), (1, 15), (400, 7), (400, 4095)])
+def test_ranks_in_order(spark, monkeypatch, n, bounds):
+    import random
+
+    from inputtrace.operators import ranking
+
+    monkeypatch.setattr(ranking, "BOUNDS", bounds)
+    rnd = random.Random(n)
+    rows = list({(rnd.choice([None, "a", "b", "é"]), rnd.randrange(300)) for _ in range(n)})
+    ranked = ranking.ordered_rank(spark.createDataFrame(rows, "k string, c int").repartition(5), ["k", "c"])
+    found = sorted((r["rank"], r.k, r.c) for r in ranked.collect())
+    wanted = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1]))
+    assert found == [(i, *row) for i, row in enumerate(wanted, 1)]
+
+
 def test_timing_median(spark):
     from inputtrace.operators.reports import timing_stats
 

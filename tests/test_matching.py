@@ -1,5 +1,6 @@
 """Matching and scores."""
 
+import collections
 import random
 
 import pytest
@@ -79,6 +80,32 @@ def test_match_lists_random(spark, tolerance):
     assert pairs == sorted((g, *p) for g in truth for p in simulate.greedy(truth[g], preds[g], tolerance))
 
 
+def test_take_in_order_is_linear_in_a_long_stretch():
+    import time
+
+    rnd = random.Random(8)
+    asked, given = ([rnd.randrange(60_000) for _ in range(100_000)] for _ in range(2))
+    start = time.perf_counter()
+    picks = matching.take_in_order(asked, [1] * len(asked), given, [1] * len(given), 2)
+    assert time.perf_counter() - start < 10
+    for side, place in ((asked, 0), (given, 1)):
+        used = collections.Counter()
+        for pick in picks:
+            used[pick[place]] += pick[2]
+        assert not used - collections.Counter(side)
+    truth, preds = [(f, K, "A") for f in asked[:1500]], [(f % 900, K, "A") for f in given[:1500]]
+    truth = [(f % 900, *rest) for f, *rest in truth]
+    some = matching.take_in_order([t[0] for t in truth], [1] * 1500, [p[0] for p in preds], [1] * 1500, 2)
+    assert sorted((*p[:2], K, "A") for p in some for _ in range(p[2])) == simulate.greedy(truth, preds, 2)
+
+
+def test_actions_without_frame_meet_nothing(spark):
+    truth, preds = [(None, K, "A"), (3, K, "A"), (3, K, "A")], [(None, K, "A"), (4, K, "A")]
+    clips = spark.createDataFrame([("r",)], "recording_id string")
+    row = matching.compute_f1(table(spark, truth), table(spark, preds), clips, ["recording_id"]).first()
+    assert (row.tp, row.fp, row.fn) == (1, 1, 2)
+
+
 def test_long_stretch_crosses_blocks(spark, monkeypatch):
     monkeypatch.setattr(matching, "BLOCK", 7)
     rnd = random.Random(3)

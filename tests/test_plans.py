@@ -87,3 +87,17 @@ def test_pixels_are_read_once(spark):
 
     plan = queries()["chunk_clips"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_truth_is_made_once(spark):
+    """Merging reads truth for its rows and for the sums of hot slices, and a sweep no more than that;
+    besides, the log is counted and the predictions are read."""
+    from __spark_entry__ import queries
+
+    def scans(name):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Relation [")
+
+    alone = scans("gt_actions")
+    assert scans("coalesce_gt") <= 2 * alone + 2
+    assert scans("rescore_sweep") <= 2 * alone + 3
