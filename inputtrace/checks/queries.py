@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ from ..operators import gestures, matching, reports, sampling, scoring, spans, t
 from ..operators.predictions import filter_predictions
 from ..operators.scan import split_hot
 from ..plans import examples
+from ..plans.job import write_training_index
 from ..plans.keylog import framed_spans, gt_actions, merging_rows, parse_keylog
 from ..session import scratch_path, tune
 from ..sources import files, keylog
@@ -138,15 +139,17 @@ def _(spark, sf_dir):
     return entries.union(frames.select(F.col("recording_id").cast("bigint"), F.col("frame_idx").cast("bigint"), "reason"))
 
 
-def _indexed(spark, sf_dir) -> DataFrame:
-    """Clip index rows of the 25-frame clips, split by recording."""
+def _indexed(spark, sf_dir, clips: DataFrame | None = None) -> DataFrame:
+    """Clip index rows of the 25-frame clips, split by recording; further columns of ``clips`` stay."""
+    clips = I.clips(spark, sf_dir) if clips is None else clips
+    more = [c for c in clips.columns if c not in (*CLIP, "num_frames")]
     actions = I.clip_actions(spark, sf_dir)
     split = sampling.split_recordings(I.recordings(spark, sf_dir), "recording_id")
-    rows = C.nest_actions(I.clips(spark, sf_dir), actions).join(split, "recording_id")
+    rows = C.nest_actions(clips, actions).join(split, "recording_id")
     clip_id = F.format_string("rec_%d_c%03d", "recording_id", "chunk")
     return rows.select(
         clip_id.alias("clip_id"), F.concat_ws("/", "split", clip_id).alias("clip_dir"), "num_frames",
-        F.lit(I.FPS).alias("fps"), "actions", "split",
+        F.lit(I.FPS).alias("fps"), "actions", "split", *more,
     )
 
 
@@ -292,20 +295,28 @@ def _(spark, sf_dir):
 @query(
     "sink_metadata",
     """
-select 5 as fps, 25 as clip_length, count(*) as total_clips, count(*) filter (where split = 'train') as train_clips,
- count(*) filter (where split = 'val') as val_clips, 42 as seed
-from clips c join split s on s.recording_id = c.recording_id""",
+with made as (select c.recording_id, s.split from clips c join split s on s.recording_id = c.recording_id),
+ taken as (select user_id, (max(event_id) - min(event_id)) / 1000.0::double as s from events group by 1)
+select 'events' as input_dir, 5 as fps, '8x8' as resolution, 0.05::double as top_bar_fraction, 0.45::double as black_threshold,
+ 25 as clip_length, 25 as clip_stride, 'all' as action_types, true as label_frames,
+ (select count(*) from made) as total_clips,
+ (select count(*) from recordings) - (select count(distinct recording_id) from made) as num_failed_recordings,
+ (select count(*) from split where split = 'train') as train_recordings,
+ (select count(*) from split where split = 'val') as val_recordings, 42 as seed,
+ round_even(sum(s), 1) as total_s, round_even(sum(s) / count(*), 2) as mean_per_recording_s,
+ round_even(list_sort(list(s))[count(*) // 2 + 1], 2) as median_per_recording_s, round_even(max(s), 2) as max_per_recording_s
+from taken""",
 )
 def _(spark, sf_dir):
     split = sampling.split_recordings(I.recordings(spark, sf_dir), "recording_id")
-    row = I.clips(spark, sf_dir).join(split, "recording_id").agg(
-        F.lit(I.FPS).alias("fps"), F.lit(I.CLIP_FRAMES).alias("clip_length"), F.count(F.lit(1)).alias("total_clips"),
-        F.count_if(F.col("split") == "train").alias("train_clips"),
-        F.count_if(F.col("split") == "val").alias("val_clips"), F.lit(42).alias("seed"),
+    first = F.row_number().over(Window.partitionBy("recording_id").orderBy("chunk")) == 1
+    clips = _indexed(spark, sf_dir, I.clips(spark, sf_dir).withColumn("is_first", first))
+    settings = dict(
+        input_dir="events", fps=I.FPS, resolution="8x8", top_bar_fraction=0.05, black_threshold=BLACK,
+        clip_length=I.CLIP_FRAMES, clip_stride=I.CLIP_FRAMES, action_types="all", label_frames=True, seed=42,
     )
-    path = scratch_path(spark, "metadata")
-    files.write_metadata(row, path)
-    return spark.read.schema("fps int, clip_length int, total_clips bigint, train_clips bigint, val_clips bigint, seed int").json(path)
+    row = write_training_index(clips, split, scratch_path(spark, "index"), settings, _timed(spark, sf_dir, "seconds"))
+    return row.select("*", "timing.*").drop("timing")
 
 
 # --- projections and filters ---------------------------------------------------------------
@@ -949,9 +960,13 @@ select round_even(sum(s), 1) as total_s, round_even(sum(s) / count(*), 2) as mea
 from (select user_id, (max(event_id) - min(event_id)) / 1000.0::double as s from events group by 1)""",
 )
 def _(spark, sf_dir):
+    return reports.timing_stats(_timed(spark, sf_dir, "s"), "s")
+
+
+def _timed(spark, sf_dir, name: str) -> DataFrame:
+    """A time for each recording."""
     seconds = (F.max("event_id") - F.min("event_id")) / F.lit(1000.0)
-    timed = I.table(spark, sf_dir, "events").groupBy("user_id").agg(seconds.alias("s"))
-    return reports.timing_stats(timed, "s")
+    return I.table(spark, sf_dir, "events").groupBy("user_id").agg(seconds.alias(name))
 
 
 def _before_after(spark, sf_dir) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import short_clip_id
@@ -32,7 +32,8 @@ def training_clips(
     hot_rows: int = HOT_ROWS,
     recordings: DataFrame | None = None,
 ) -> DataFrame:
-    """Clip index rows: ``clip_id, clip_dir, num_frames, fps, actions, split``, and their keys.
+    """Clip index rows: ``clip_id, clip_dir, num_frames, fps, actions, split``, their keys, and
+    ``is_first``, true for one clip of each recording, so that recordings can be counted in passing.
 
     ``log`` holds typed entries, ``frames`` one row per frame with its ``black_fraction``, both
     by ``recording_id``, the name of the video. ``recordings`` lists them all; else those with
@@ -54,10 +55,13 @@ def training_clips(
     # Short names may collide; the choice is made by the full one.
     named = named.withColumn("_key", F.concat_ws("_", *C.CLIP))
     chosen = sampling.sample_negatives(named, "_key", "n_actions", min_actions, keep_empty_ratio, seed).drop("_key")
+    # A window over the clips of a recording is bounded by the length of the video.
+    place = F.row_number().over(Window.partitionBy("recording_id").orderBy("chunk"))
+    chosen = chosen.withColumn("is_first", place == 1)
     nested = C.nest_actions(chosen, C.labelled(placed), order=("type", "seq"))
     return nested.join(split, "recording_id").select(
         *C.CLIP, "clip_id", F.concat_ws("/", "split", "clip_id").alias("clip_dir"), "num_frames",
-        F.lit(fps).alias("fps"), "actions", "split",
+        F.lit(fps).alias("fps"), "actions", "split", "is_first",
     )
 
 

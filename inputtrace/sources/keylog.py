@@ -231,13 +231,15 @@ def tag_keylogs(
     paths: DataFrame, decode: Callable[[BinaryIO], Iterator] = stream_entries, check: bool = False
 ) -> DataFrame:
     """Entries of the logs in a table of paths: ``schemas.PARSED_LOG`` and the ``reason`` why an entry,
-    or where ``ord`` is null a whole file, is bad. The recording is named by its path.
+    or where ``ord`` is null a whole file, is bad. The recording is named by its ``recording_id`` in the
+    table, or else by its path.
 
     Entries become typed columns where they are decoded. With ``check`` a bad file has no rows but its
     reason, for which it is decoded twice; else rows before the fault are there too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path in (p for batch in batches for p in batch.column(0).to_pylist()):
+        named = (pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for path, name in named:
             held: list[tuple] = []
             try:
                 if check:
@@ -246,15 +248,16 @@ def tag_keylogs(
                             pass
                 with open_path(path) as file:
                     for ord_, entry in enumerate(decode(file)):
-                        held.append((path, ord_, *typed_entry(entry)))
+                        held.append((name, ord_, *typed_entry(entry)))
                         if len(held) == BATCH:
                             yield _batch(held)
                             held = []
             except (ValueError, IndexError, struct.error, OSError) as broken:
-                held.append((path, None, *_NOTHING, str(broken) or type(broken).__name__))
+                held.append((name, None, *_NOTHING, str(broken) or type(broken).__name__))
             yield _batch(held)
 
-    return paths.select("path").mapInArrow(run, f"{PARSED_LOG}, reason string")
+    name = F.col("recording_id" if "recording_id" in paths.columns else "path")
+    return paths.select("path", name.alias("recording_id")).mapInArrow(run, f"{PARSED_LOG}, reason string")
 
 
 _KINDS = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, pa.bool_(), pa.string(), pa.string()]

@@ -22,3 +22,10 @@ RESULTS = (
     "predictions:array<struct<frame:string,type:string,details:string,detail:string>>,"
     "raw_response:string>>"
 )
+
+METADATA = (
+    "input_dir string, fps int, resolution string, top_bar_fraction double, black_threshold double, "
+    "clip_length int, clip_stride int, action_types string, label_frames boolean, total_clips bigint, "
+    "num_failed_recordings bigint, train_recordings bigint, val_recordings bigint, seed int, "
+    "timing struct<total_s:double,mean_per_recording_s:double,median_per_recording_s:double,max_per_recording_s:double>"
+)
