@@ -8,6 +8,7 @@ anti-join leaves is appended. Texts never move for the decision: only digests do
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,9 +51,44 @@ def deduplicate(
 
     Copies are counted before they are shuffled; a digest with very many copies meets its one
     group row in a join whose large side Spark splits at run time."""
-    rows = numbered(docs, text, [*dict.fromkeys([doc_id, *carry])]).select(
+    rows = _digests(docs, doc_id, text, carry)
+    groups = _meet(rows, index, doc_id)
+    return _told(rows, groups, carry)
+
+
+def deduplicate_batches(
+    docs: DataFrame, index: DigestIndex, batches: int = 4, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()
+) -> DataFrame:
+    """The same result, reached in batches that meet the index one after the other: ranges of ids, the
+    largest first, so that the row to be kept is the first that the index sees of its text.
+
+    A batch finds the digests of those before it in the index, takes its keep_id from there and appends
+    what the index lacks. group_size counts the rows of all batches. Rows with one id share a batch and
+    null ids come last, so cases are as in `deduplicate`. The ranges hold about as many rows each;
+    their bounds are numbers, on which no result depends."""
+    rows = stored(_digests(docs, doc_id, text, carry), "digests")
+    number = F.col("doc").getField(doc_id)
+    shares = [i / batches for i in range(1, batches)]
+    bounds = rows.agg(F.percentile_approx(number, shares).alias("b")).first()["b"] if shares else None
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds or []]).cast("array<bigint>"), lambda b: b < number))
+    part = F.when(number.isNull(), 0).otherwise(part)
+    met = [_meet(rows.where(part == i), index, doc_id) for i in reversed(range(batches))]
+    kept = F.struct("keep_id", "keep_row", "fresh")
+    # A digest has one keep_id in all batches, and is fresh in one of them at most.
+    groups = reduce(DataFrame.unionByName, met).groupBy("digest").agg(
+        F.sum("group_size").alias("group_size"), F.max_by(kept, "fresh").alias("kept")
+    )
+    return _told(rows, groups.select("digest", "group_size", "kept.*"), carry)
+
+
+def _digests(docs: DataFrame, doc_id: str, text: str, carry: Sequence[str]) -> DataFrame:
+    return numbered(docs, text, [*dict.fromkeys([doc_id, *carry])]).select(
         "row", "doc", F.unhex(F.sha2("text", 256)).alias("digest")
     )
+
+
+def _meet(rows: DataFrame, index: DigestIndex, doc_id: str) -> DataFrame:
+    """The digests of a batch, met with the index, which has them afterwards."""
     last = F.max(F.struct(F.col("doc").getField(doc_id).alias("id"), "row"))
     groups = rows.groupBy("digest").agg(last.alias("last"), F.count("*").alias("group_size"))
     groups = groups.select(
@@ -60,6 +96,10 @@ def deduplicate(
     )
     groups = stored(index.meet(groups), "digest-groups")
     index.append(groups.where("fresh"))
+    return groups
+
+
+def _told(rows: DataFrame, groups: DataFrame, carry: Sequence[str]) -> DataFrame:
     return rows.join(groups, "digest").select(
         *carried(carry), "keep_id", "group_size", (F.col("fresh") & (F.col("row") == F.col("keep_row"))).alias("kept"),
         "digest",
@@ -74,7 +114,7 @@ def new_index(docs: DataFrame, doc_id: str = "doc_id") -> DigestIndex:
 
 def op5_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = deduplicate(docs, new_index(docs), carry=["doc_id"])
+    found = deduplicate_batches(docs, new_index(docs), carry=["doc_id"])
     return found.select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )

@@ -35,11 +35,25 @@ def hashed(df: DataFrame, *others: str) -> DataFrame:
     return df.select(*others, F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
-def line_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Documents per line key (h1, h2, n). Null text has one empty line; empty keys are left out."""
+def line_counts(docs: DataFrame, text: str = "text", by: Sequence[str] = ()) -> DataFrame:
+    """Documents per line key (h1, h2, n) and the columns `by`. Null text has one empty line; empty
+    keys are left out."""
     keys = F.array_distinct(F.transform(lines_of(F.coalesce(F.col(f"`{text}`"), F.lit(""))), key_of))
-    found = docs.select(F.explode(keys).alias("key")).where("key <> ''")
-    return hashed(found).groupBy(*KEYS).agg(F.count("*").alias("n"))
+    found = docs.select(*by, F.explode(keys).alias("key")).where("key <> ''")
+    return hashed(found, *by).groupBy(*by, *KEYS).agg(F.count("*").alias("n"))
+
+
+def batch_counts(docs: DataFrame, batches: int, text: str = "text") -> list[DataFrame]:
+    """`line_counts` of batches, to which rows are dealt by the hash of their place in the input, so the
+    input must be a stored table. All are counted in one pass and kept in the shared folder."""
+    dealt = docs.select(
+        F.col(f"`{text}`").alias("text"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(batches)).cast("int").alias("batch"),
+    )
+    path = scratch_path(docs.sparkSession, "line-batches")
+    line_counts(dealt, by=["batch"]).write.partitionBy("batch").parquet(path)
+    every = docs.sparkSession.read.schema(f"{RUN}, batch int").parquet(path)
+    return [every.where(F.col("batch") == b).drop("batch") for b in range(batches)]
 
 
 class LineRuns:
@@ -88,10 +102,11 @@ class LineRuns:
         whole = reduce(DataFrame.unionByName, [self.spark.read.schema(RUN).parquet(f"{self.path}/{r}") for r in names])
         return whole.groupBy(*KEYS).agg(F.sum("n").alias("n"))
 
-    def unseen(self, counts: DataFrame) -> DataFrame:
-        """The rows whose line is in no run: an anti-join with each run in turn."""
+    def unseen(self, counts: DataFrame, least: int = 1) -> DataFrame:
+        """The rows whose line no run has in at least `least` documents: an anti-join with each run in turn."""
         for run in [r for level in self.levels for r in level]:
-            counts = counts.join(self._table(run).read().hint("merge"), KEYS, "left_anti")
+            known = self._table(run).read().where(F.col("n") >= least)
+            counts = counts.join(known.hint("merge"), KEYS, "left_anti")
         return counts
 
     def add(self, counts: DataFrame) -> None:
@@ -134,13 +149,18 @@ def drop_lines(
 
 
 def drop_frequent(
-    docs: DataFrame, runs: LineRuns, min_docs: int = 10, text: str = "text", carry: Sequence[str] = ()
+    docs: DataFrame, runs: LineRuns, min_docs: int = 10, text: str = "text", carry: Sequence[str] = (), batches: int = 1
 ) -> DataFrame:
-    """Add the batch to the runs, then drop from its texts all lines that at least `min_docs`
-    documents of all runs hold. Null text is the empty text, with one empty line; empty keys are
-    never dropped. Rows repeat as they come, each counting as a document; no rows give no rows.
-    Two keys are taken as equal when both 64-bit hashes agree."""
-    runs.add(line_counts(docs, text))
+    """Add the rows to the runs in `batches`, then drop from their texts all lines that at least
+    `min_docs` documents of all runs hold. Null text is the empty text, with one empty line; empty keys
+    are never dropped. Rows repeat as they come, each counting as a document; no rows give no rows.
+    Two keys are taken as equal when both 64-bit hashes agree.
+
+    A line that one run alone shows to be frequent need not be counted further: the anti-join takes it
+    out of later batches. All other counts are kept and summed, so the result is exact for this
+    `min_docs`; runs filled so tell which lines are frequent, not how often those are."""
+    for counts in batch_counts(docs, batches, text):
+        runs.add(runs.unseen(counts, min_docs))
     frequent = stored(runs.counts().where(F.col("n") >= min_docs).select(*KEYS), "frequent-lines")
     return drop_lines(docs, frequent, text, carry)
 
@@ -158,7 +178,7 @@ def drop_seen(docs: DataFrame, runs: LineRuns, text: str = "text", carry: Sequen
 def op10_levelled_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     runs = LineRuns(spark, scratch_path(spark, "line-runs"))
-    found = drop_frequent(docs, runs, 10, carry=["doc_id"])
+    found = drop_frequent(docs, runs, 10, carry=["doc_id"], batches=5)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

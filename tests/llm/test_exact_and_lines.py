@@ -6,8 +6,8 @@ from collections import Counter
 import pytest
 from llm.helpers import LOWERED, clashing, documents
 
-from inputtrace.llm.exact_dedup import DigestIndex, deduplicate, new_index
-from inputtrace.llm.line_dedup import LineRuns, drop_frequent, drop_seen, line_counts
+from inputtrace.llm.exact_dedup import DigestIndex, deduplicate, deduplicate_batches, new_index
+from inputtrace.llm.line_dedup import LineRuns, batch_counts, drop_frequent, drop_seen, line_counts
 from inputtrace.session import scratch_path
 
 TEXTS = ["a", "b", "a", None, "", "a ", "é" * 50_000, "é" * 50_000, "A", "b"]
@@ -47,8 +47,25 @@ def test_index_carries_over(spark):
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
+@pytest.mark.parametrize("batches", [1, 3, 4])
+def test_batches_meet_the_index(spark, batches):
+    """Batches give what one gives, and later ones find the digests of earlier ones in the index."""
+    texts = TEXTS * 3 + ["only first", "last"] + ["x"] * 3
+    ids = [i * 7 % 30 for i in range(30)] + [-5, 99, None, None, None]
+    docs = clashing(documents(spark, texts, ids))
+    whole = deduplicate(docs, new_index(docs), carry=["doc_id", "text"])
+    index = new_index(docs)
+    parts = deduplicate_batches(docs, index, batches, carry=["doc_id", "text"])
+    assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
+    assert index.seen.read().count() == len({t or "" for t in texts})
+    again = deduplicate_batches(docs, index, batches, carry=["doc_id"]).collect()
+    assert len(again) == len(texts) and not any(r["kept"] for r in again)
+
+
 def test_no_rows(spark):
     docs = documents(spark, [])
+    assert deduplicate_batches(docs, new_index(docs), 3).count() == 0
+    assert drop_frequent(docs, LineRuns(spark, scratch_path(spark, "runs")), batches=3).count() == 0
     assert deduplicate(docs, new_index(docs)).count() == 0
     assert drop_frequent(docs, LineRuns(spark, scratch_path(spark, "runs"))).count() == 0
 
@@ -64,15 +81,33 @@ def model(texts, least):
         yield len(own), len(own) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()
 
 
-def test_frequent_lines(spark):
+@pytest.mark.parametrize("batches", [1, 5])
+def test_frequent_lines(spark, batches):
     texts = ["Head\nx\n\nfoot ", "head\ny\n\nFOOT", " HEAD\t\nz", None, "", "É\né", "\n\n", "head", "x" * 100_000 + "\nhead", "Foot\nfoot"]
     docs = clashing(documents(spark, texts))
-    found = drop_frequent(docs, LineRuns(spark, scratch_path(spark, "runs")), 3, carry=["doc_id"])
+    found = drop_frequent(docs, LineRuns(spark, scratch_path(spark, "runs")), 3, carry=["doc_id"], batches=batches)
     rows = sorted(found.collect(), key=lambda r: r["doc_id"])
     got = [(r["n_lines"], r["n_dropped"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in rows]
     assert got == list(model(texts, 3))
 
 
+def test_batches_go_through_two_levels(spark):
+    """Five batches: four are compacted, the fifth is anti-joined with them and stays beside them."""
+    path = scratch_path(spark, "many-lines")
+    texts = [f"often\nline {i % 60}\nonly {i}" for i in range(500)]
+    documents(spark, texts).write.parquet(path)
+    docs, runs = spark.read.parquet(path), LineRuns(spark, scratch_path(spark, "runs"), buckets=3)
+    rows = drop_frequent(docs, runs, 9, carry=["doc_id"], batches=5).collect()
+    assert [len(level) for level in runs.levels] == [1, 1]
+    found = {r["doc_id"]: r["kept_text"] for r in rows}
+    assert found == {i: f"only {i}" if i % 60 < 20 else f"line {i % 60}\nonly {i}" for i in range(500)}
+    # Each batch holds the line, but once a run shows it to be frequent, later ones leave it out.
+    assert sum(batch.where("n > 50").count() for batch in batch_counts(docs, 5)) == 5
+    assert runs.counts().agg({"n": "max"}).first()[0] < 500
+    plan = runs.unseen(batch_counts(docs, 5)[0], 9)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "LeftAnti" in plan and plan.count("Exchange") == 1
+
+
 def test_levels_and_reopening(spark):
     path, whole = scratch_path(spark, "runs"), Counter()
     for batch in range(7):
