@@ -11,11 +11,18 @@ from pyspark.sql import SparkSession
 # further exchange, as it does under a grouping on the same key. Small partitions may stay apart,
 # since a row costs more here than its bytes suggest. Lists are gathered for many small groups,
 # which stay in the hash table up to the threshold.
+# A task's memory is a multiple of what it fetches, about forty times as much in matching, where
+# narrow rows compress well. So the exchanges start with many partitions, which AQE joins up to a
+# few megabytes: more input makes more tasks and not larger ones.
+# A method above 8,000 bytes is never compiled by the JVM, so Spark is to split such stages.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2m",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",

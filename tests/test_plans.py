@@ -101,3 +101,12 @@ def test_truth_is_made_once(spark):
     alone = scans("gt_actions")
     assert scans("coalesce_gt") <= 2 * alone + 2
     assert scans("rescore_sweep") <= 2 * alone + 3
+
+
+def test_more_input_makes_more_tasks_and_not_larger_ones(spark):
+    from pyspark.sql import functions as F
+
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+    rows = spark.range(3_000_000).select("id", F.xxhash64("id").alias("h"))
+    dealt = rows.groupBy("h").agg(F.max("id").alias("id"))
+    assert dealt.rdd.getNumPartitions() > 8
