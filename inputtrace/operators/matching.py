@@ -128,10 +128,44 @@ def _picks(entries: Column, reach: int) -> Column:
     return F.aggregate(blocks, _empty_state(), step, lambda state: state["picks"])
 
 
-def _entry(g: Column, cands: Column) -> Column:
-    """A truth frame that has candidates; null for all others."""
-    asks = (g > 0) & (F.size(cands) > 0)
-    return F.when(asks, F.struct(F.col("frame"), g.alias("g"), cands.alias("cands")))
+def _solved(entries: str, reach: int) -> Column:
+    """The picks of a stretch, without a fold where nothing is in reach."""
+    return F.when(F.size(entries) > 0, _picks(F.col(entries), reach)).otherwise(F.array().cast(PICKS))
+
+
+def _stretches(counts: DataFrame, keys: list[str], tolerance: int, values: list[str]) -> DataFrame:
+    """A row per part of a problem that no other part can influence: ``frames`` in order, with their
+    ``values``, and the sums of these.
+
+    Only counts are gathered; what is in reach of a frame lies beside it in ``frames``.
+    """
+    window = Window.partitionBy(*keys).orderBy("frame")
+    gap = F.col("frame") - F.lag("frame").over(window) > tolerance
+    placed = counts.withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("int"))
+    placed = placed.withColumn("stretch", F.sum("_gap").over(window)).drop("_gap")
+    gathered = placed.groupBy(*keys, "stretch").agg(
+        *[F.sum(c).alias(f"_{c}") for c in values],
+        F.array_sort(F.collect_list(F.struct("frame", *values))).alias("frames"),
+    )
+    return gathered.drop("stretch")
+
+
+def _entries(asked: Column, asks: list[str], tolerance: int) -> Column:
+    """The truth frames of a stretch that have candidates, with these, where any is ``asked``.
+
+    ``asks`` names the counts of truth, the largest first.
+    """
+
+    def entry(e: Column, i: Column) -> Column:
+        first = F.greatest(i - tolerance, F.lit(0))
+        here = F.filter(F.slice("frames", first + 1, i + tolerance + 1 - first), lambda c: c["p"] > 0)
+        given = F.transform(
+            here, lambda c: F.struct(c["frame"].cast("bigint").alias("id"), c["frame"].alias("pred_frame"), c["p"].alias("p"))
+        )
+        cands = F.when(e[asks[0]] > 0, _ranked(e["frame"], given, F.lit(tolerance)))
+        return F.struct(e["frame"].alias("frame"), *[e[a].alias(a) for a in asks], cands.alias("cands"))
+
+    return F.filter(F.transform(F.when(asked, F.col("frames")), entry), lambda e: F.size(e["cands"]) > 0)
 
 
 def match_frames(
@@ -142,16 +176,13 @@ def match_frames(
     ``picks`` are the matches made, ``frames`` the counts they were made from.
     """
     keys = [*clip, "type", "detail"]
-    near = _within(_counts(truth, preds, keys), keys, tolerance)
-    near = near.withColumn("cands", _ranked(F.col("frame"), F.col("near"), F.lit(tolerance)))
-    stretches = near.groupBy(*keys, "stretch").agg(
-        F.sum("g").alias("gt_count"),
-        F.sum("p").alias("pred_count"),
-        F.collect_list(F.struct("frame", "g", "p")).alias("frames"),
-        F.collect_list(_entry(F.col("g"), F.col("cands"))).alias("entries"),
+    stretches = _stretches(_counts(truth, preds, keys), keys, tolerance, ["g", "p"])
+    both = (F.col("_g") > 0) & (F.col("_p") > 0)
+    reached = stretches.withColumn("entries", _entries(both, ["g"], tolerance))
+    return reached.select(
+        *keys, F.col("_g").alias("gt_count"), F.col("_p").alias("pred_count"), "frames",
+        _solved("entries", tolerance).alias("picks"),
     )
-    picks = _picks(F.array_sort("entries"), tolerance)
-    return stretches.withColumn("picks", picks).drop("entries", "stretch")
 
 
 def match_settings(
@@ -160,8 +191,9 @@ def match_settings(
     """The same for every tolerance, with plain truth and with merged scrolls and clicks.
 
     Truth is read once: ``kept`` tells which of its rows remain when merged. Rows are counted and
-    their surroundings gathered once, under the widest tolerance; the settings multiply the counts
-    and not the rows.
+    gathered once, and each frame's candidates ranked once, under the widest tolerance; the
+    settings multiply what has candidates and not the rows. A stretch of which merging takes
+    nothing away is solved once for both.
     """
     keys = [*clip, "type", "detail"]
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
@@ -172,32 +204,32 @@ def match_settings(
     every = counted(truth, one, F.col("kept").cast("bigint"), zero).unionByName(counted(preds, zero, zero, one))
     counts = every.groupBy(*keys, "frame").agg(*[F.sum(c).alias(c) for c in ("plain", "merged", "p")])
     widest = max(tolerances)
-    near = _within(counts, keys, widest)
-    for t in tolerances:
-        near = near.withColumn(f"cands_{t}", _ranked(F.col("frame"), F.col("near"), F.lit(t)))
-    settings = [(t, merged) for t in tolerances for merged in (True, False)]
-
-    def name(t: int, merged: bool) -> str:
-        return f"entries_{t}_{'merged' if merged else 'plain'}"
-
-    lists = [
-        F.collect_list(_entry(F.col("merged" if m else "plain"), F.col(f"cands_{t}"))).alias(name(t, m))
-        for t, m in settings
-    ]
-    sums = [F.sum(c).alias(c) for c in ("plain", "merged", "p")]
-    stretches = near.groupBy(*keys, "stretch").agg(*sums, *lists)
-    rows = [
-        F.struct(
+    stretches = _stretches(counts, keys, widest, ["plain", "merged", "p"])
+    both = (F.col("_plain") > 0) & (F.col("_p") > 0)
+    reached = stretches.withColumn("entries", _entries(both, ["plain", "merged"], widest)).drop("frames")
+    differs = F.col("_plain") != F.col("_merged")
+
+    def setting(t: int, asks: str, coalesce: Column) -> Column:
+        def within(e: Column) -> Column:
+            cands = F.filter(e["cands"], lambda c: c["d"] <= t)
+            return F.struct(e["frame"].alias("frame"), e[asks].alias("g"), cands.alias("cands"))
+
+        entries = F.filter(F.transform("entries", within), lambda e: (e["g"] > 0) & (F.size(e["cands"]) > 0))
+        return F.struct(
             F.lit(t).alias("tolerance"),
-            F.lit(m).alias("coalesce"),
-            F.col("merged" if m else "plain").alias("gt_count"),
-            F.col("p").alias("pred_count"),
-            F.array_sort(name(t, m)).alias("entries"),
+            coalesce.alias("coalesce"),
+            F.col(f"_{asks}").alias("gt_count"),
+            F.col("_p").alias("pred_count"),
+            entries.alias("entries"),
         )
-        for t, m in settings
-    ]
-    chosen = stretches.select(*keys, F.explode(F.array(*rows)).alias("row")).select(*keys, "row.*")
-    return chosen.withColumn("picks", _picks(F.col("entries"), widest)).drop("entries")
+
+    alone = F.when(differs, F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))
+    rows = F.array(*[setting(t, "plain", alone) for t in tolerances])
+    merged = F.when(differs, F.array(*[setting(t, "merged", F.array(F.lit(True))) for t in tolerances]))
+    rows = F.explode(F.when(differs, F.concat(rows, merged)).otherwise(rows))
+    chosen = reached.select(*keys, rows.alias("row")).select(*keys, "row.*")
+    solved = chosen.withColumn("picks", _solved("entries", widest)).drop("entries")
+    return solved.withColumn("coalesce", F.explode("coalesce"))
 
 
 _PICKED = T.StructType(
@@ -336,7 +368,7 @@ def match_clip(truth: DataFrame, preds: DataFrame, clip: list[str], tolerance: i
     )
     solved = match_frames(truth, preds, clip, tolerance)
     counts = (
-        solved.select(*keys, F.explode(rows).alias("r"))
+        solved.select(*keys, F.explode(F.filter(rows, lambda r: r["n"] != 0)).alias("r"))
         .groupBy("r.outcome", *keys, "r.gt_frame", "r.pred_frame")
         .agg(F.sum("r.n").alias("n"))
     )

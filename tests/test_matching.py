@@ -154,3 +154,32 @@ def test_sweep_agrees_with_single_runs(spark):
         one = matching.outcome_counts(matching.match_frames(side, preds, clip, tolerance), clip).first()
         assert (one.tp, one.fp, one.fn) == counts
     assert len(swept) == 4
+
+
+def test_what_is_gathered_for_matching_has_no_candidates(spark):
+    """Counts are gathered per stretch; what is in reach of each frame is looked up afterwards."""
+    solved = matching.match_frames(table(spark, [(3, K, "A")]), table(spark, [(4, K, "A")]), ["recording_id"], 2)
+    plan = solved._jdf.queryExecution().optimizedPlan().toString()
+    gathered = [line for line in plan.splitlines() if "Aggregate [" in line and "collect_list" in line]
+    assert len(gathered) == 1 and "pred_frame" not in gathered[0]
+
+
+def test_sweep_over_stretches_that_merging_changes_or_not(spark):
+    from pyspark.sql import functions as F
+    from inputtrace.operators.gestures import mark_gt
+
+    rnd = random.Random(11)
+    kinds = [("MouseScroll", "up"), (C, "Left"), (K, "A"), (K, "B")]
+    starts = [0, 40, 90, 200]
+    rows = [sorted((rnd.choice(starts) + rnd.randrange(9), *rnd.choice(kinds)) for _ in range(80)) for _ in range(2)]
+    seq = F.struct(F.col("pos").alias("ts_us"), F.col("pos").alias("ord"))
+    truth, preds = table(spark, rows[0]).withColumn("seq", seq), table(spark, rows[1])
+    clip = ["recording_id"]
+    marked = mark_gt(truth, clip).cache()
+    kept = [(r.frame, r.type, r.detail) for r in marked.where("kept").orderBy("frame", "pos").collect()]
+    found = scoring.rescore_sweep(truth, preds, clip, [0, 2, 5]).collect()
+    assert sorted((r.tolerance, r.coalesce) for r in found) == [(t, m) for t in (0, 2, 5) for m in (False, True)]
+    for r in found:
+        side = kept if r.coalesce else rows[0]
+        assert r.tp == len(simulate.greedy(side, rows[1], r.tolerance))
+        assert (r.gt_count, r.pred_count) == (len(side), len(rows[1]))
