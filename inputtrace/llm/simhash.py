@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inputtrace.llm.common import LOWER, UPPER, WORD, bucket_count, carried, mapped, numbered, slices, stored, table
+from inputtrace.llm.common import LOWER, UPPER, WORD, bucket_count, carried, discarded, mapped, numbered, slices, stored, table
 from inputtrace.llm.substring import Line
 
 PIVOTS = 32  # reference fingerprints
@@ -291,7 +291,10 @@ def bit_table(values: DataFrame, name: str, level: Column | None = None) -> np.n
         at = F.shiftright(place, 3)
         values = values.withColumn("level", level.cast("int"))
     found = values.select(at.cast("int").alias("at"), bit.alias("bit"), spot.alias("spot"))
-    found = found.select("at", F.expr("shiftleft(bit, spot)").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    found = found.select("at", F.expr("shiftleft(bit, spot)").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    kept = stored(found, "bits")
+    found = kept.toPandas()
+    discarded(kept)
     bits = np.zeros(1 << BITS - 6, "<i8")
     bits[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return bits.view(np.uint8)
@@ -342,7 +345,9 @@ def verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     both = both.join(asked.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t"))
     union = F.size("s") + F.size("t") - shared
-    return stored(both.where((union == 0) | (shared / union >= similarity)).select("a", "b"), "verified")
+    alike = stored(both.where((union == 0) | (shared / union >= similarity)).select("a", "b"), "verified")
+    discarded(asked, nodes)
+    return alike
 
 
 def similar(sets: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
@@ -383,14 +388,16 @@ def similar(sets: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: flo
 
     schema = ", ".join(f"{n} bigint" for n in NAMES)
     rows = over_sets(sets, nodes, rows_of, schema).join(nodes, "node", "left_semi")
-    rows = stored(rows.select(*NAMES), "prefixes")
-    heads_each = 4
+    kept = rows = stored(rows.select(*NAMES), "prefixes")
+    heads_each, past = 4, []
     while True:
         roots = connect(edges)
         rows = rows.join(roots.withColumnRenamed("root", "comp"), "node", "left")
         rows = rows.withColumn("comp", F.coalesce("comp", "node"))
         live = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        rows = stored(rows.join(stored(live.select("key"), "live"), "key", "left_semi"), "bucket-rows")
+        live, former = stored(live.select("key"), "live"), kept
+        kept = rows = stored(rows.join(live, "key", "left_semi"), "bucket-rows")
+        discarded(former, live, *past)
         if rows.isEmpty():
             return roots
         part = F.pmod(F.xxhash64("node", F.lit(heads_each)), F.lit(heads_each))
@@ -403,6 +410,7 @@ def similar(sets: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: flo
         pairs = rows.join(heads, "key").where((F.col("comp") != F.col("head.comp")) & fits)
         pairs = stored(pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct(), "pairs")
         edges = stored(edges.unionByName(verified(sets, pairs, similarity)), "similar")
+        past = [heads, pairs]
         gone = heads.select("key", F.col("head.node").alias("node"))
         rows = rows.drop("comp").join(gone, ["key", "node"], "left_anti")
         heads_each *= 8

@@ -210,3 +210,14 @@ def test_repeats_of_rows_and_empty_tables(spark):
     rows = remove_repeats(documents(spark, [text] * 3, [4, 4, None]), carry=["doc_id"]).collect()
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in rows) == [(0, 0), (4, 25), (4, 25)]
     assert remove_repeats(documents(spark, [])).count() == 0
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+    from inputtrace.llm.common import stored
+
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    found = stored(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert tracker.shuffleStatuses().size() <= before
+    assert sorted(r["count"] for r in found.collect()) == [142, 143, 143, 143, 143, 143, 143]
