@@ -19,6 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -246,9 +247,27 @@ def connect(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def shingled(docs: DataFrame, words: int, text: str, carry: Sequence[str]) -> DataFrame:
-    """Rows (row, doc, fp, digest, s): a fingerprint, and the sorted set of shingles with a 128-bit
-    digest of it. Texts are hashed here and nowhere else."""
+def shingles(text: str, words: int) -> np.ndarray:
+    """The set of a text's shingles, sorted."""
+    return np.unique(shingle_values(text, words))
+
+
+def sampled(docs: DataFrame, words: int, text: str) -> DataFrame:
+    """Counts (h, n) of the shingles that occur in more than one text of a sample."""
+    rows = numbered(docs, text, []).where(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(SAMPLE)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, PART):
+            found = np.concatenate([shingles(t.as_py(), words) for t in batch.column(0)])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
+
+    return mapped(rows.select("text"), run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def reduced(docs: DataFrame, words: int, text: str, carry: Sequence[str], levels: Broadcast, similarity: float) -> DataFrame:
+    """Rows (row, doc, fp, digest, n, parities, keys): a fingerprint, a 128-bit digest of the set of
+    shingles, their number, their parities and the prefix. The sets themselves are several times as
+    large and are kept nowhere: the few texts to be compared are hashed again."""
     rows = numbered(docs, text, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,11 +276,15 @@ def shingled(docs: DataFrame, words: int, text: str, carry: Sequence[str]) -> Da
             prints = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
             sets = [np.unique(h) for h in hashes]
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            arrays = [batch.column(0), batch.column(2), pa.array(prints), digests, as_lists(sets)]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc", "fp", "digest", "s"])
+            arrays = [
+                batch.column(0), batch.column(2), pa.array(prints), digests, pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([parities(s).tobytes() for s in sets], pa.binary()),
+                as_lists([prefix(s, levels.value, similarity) for s in sets]),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc", "fp", "digest", "n", "parities", "keys"])
 
     doc = rows.schema["doc"].dataType.simpleString()
-    return mapped(rows, run, f"row bigint, doc {doc}, fp bigint, digest binary, s array<bigint>")
+    return mapped(rows, run, f"row bigint, doc {doc}, fp bigint, digest binary, n bigint, parities binary, keys array<bigint>")
 
 
 def as_lists(sets: list[np.ndarray]) -> pa.Array:
@@ -312,83 +335,122 @@ def prefix(values: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndar
     return values[order[: len(values) - need + 1]] if len(values) else values
 
 
-def parity(values: np.ndarray) -> np.ndarray:
+def parities(values: np.ndarray) -> np.ndarray:
     """For each value of the low bits, whether an odd number of shingles has it: two sets differ in
-    at least as many shingles as their parities in bits."""
-    counts = np.bincount((values & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY)
-    return np.packbits(counts & 1, bitorder="little").view("<i8")
+    at least as many shingles as their parities in bits. There is a bit for each shingle or two."""
+    bits = max(64 * PARITY, 1 << (len(values) - 1).bit_length() if len(values) else 0)
+    counts = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(counts & 1, bitorder="little")
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Parities of fewer low bits, in `size` bytes."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
 
+def most_apart(n: int | Column, m: int | Column, similarity: float) -> float | Column:
+    """The most shingles in which two similar sets of n and m differ."""
+    return (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
-def over_sets(sets: DataFrame, nodes: DataFrame, make: Callable[[pa.Array, list[np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
-    """What `make` gives for (node, shingles) of the rows in `nodes`, and of some others: those whose
-    bit is set in a table of fixed size."""
-    shared = sets.sparkSession.sparkContext.broadcast(bit_table(nodes.select(F.xxhash64("node").alias("h")), "h"))
+
+def over(rows: DataFrame, nodes: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> tuple[DataFrame, Broadcast]:
+    """What `make` gives for batches of those `rows` (node first) that are in `nodes`, and of some
+    others: those whose bit is set in a table of fixed size. The table goes to all executors; it is to be
+    destroyed once the rows are stored."""
+    shared = rows.sparkSession.sparkContext.broadcast(bit_table(nodes.select(F.xxhash64("node").alias("h")), "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, PART):
-            hashes = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            hashes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             some = batch.filter(pa.array(is_set(shared.value, hashes)))
             if len(some):
-                yield make(some.column(0), as_sets(some.column(1)))
+                yield make(some.select(some.schema.names[1:]))
 
-    return mapped(sets.select("node", "s", F.xxhash64("node").alias("h")), run, schema)
+    return mapped(rows.select(F.xxhash64("node").alias("_hash"), "*"), run, schema), shared
 
 
-def verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) of nodes (stored), those whose shingle sets are similar; stored."""
+def near_enough(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of nodes (stored), those that the parities of their sets leave; stored. `prints` has
+    (node, n, parities)."""
     nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "asked")
-    asked = over_sets(
-        sets, nodes, lambda node, found: pa.RecordBatch.from_arrays([node, as_lists(found)], ["node", "s"]), "node bigint, s array<bigint>"
-    )
-    asked = stored(asked.join(nodes, "node", "left_semi"), "sets")
+    found, bits = over(prints.select("node", "n", "parities"), nodes, lambda batch: batch, "node bigint, n bigint, parities binary")
+    some = stored(found.join(nodes, "node", "left_semi"), "parities")
+    bits.destroy()
+    both = pairs.join(some.select(F.col("node").alias("a"), "n", "parities"), "a")
+    both = both.join(some.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("parities").alias("others")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for n, m, s, t in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                size = min(len(s), len(t))
+                differ = folded(np.frombuffer(s, np.uint8), size) ^ folded(np.frombuffer(t, np.uint8), size)
+                kept.append(int(np.bitwise_count(differ).sum()) <= most_apart(n, m, similarity))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    left = stored(mapped(both.select("a", "b", "n", "m", "parities", "others"), run, "a bigint, b bigint"), "near-enough")
+    discarded(some, nodes)
+    return left
+
+
+def verified(texts: DataFrame, words: int, prints: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of nodes (stored), those whose shingle sets are similar; stored. `texts` has
+    (node, text); only texts of pairs that their parities leave are hashed."""
+    pairs = near_enough(pairs, prints, similarity)
+    nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "asked")
+
+    def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = as_lists([shingles(t.as_py(), words) for t in batch.column(1)])
+        return pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "s"])
+
+    found, bits = over(texts, nodes, sets_of, "node bigint, s array<bigint>")
+    asked = stored(found.join(nodes, "node", "left_semi"), "sets")
+    bits.destroy()
     both = pairs.join(asked.select(F.col("node").alias("a"), F.col("s").alias("s")), "a")
     both = both.join(asked.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t"))
     union = F.size("s") + F.size("t") - shared
     alike = stored(both.where((union == 0) | (shared / union >= similarity)).select("a", "b"), "verified")
-    discarded(asked, nodes)
+    discarded(asked, nodes, pairs)
     return alike
 
 
-def similar(sets: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+def similar(texts: DataFrame, words: int, prints: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
     """(node, root) of all components by similar pairs among `nodes` (rows with distinct sets,
-    stored), of which `edges` are some; nodes without a link may be missing. `sets` has (node, s).
+    stored), of which `edges` are some; nodes without a link may be missing. `texts` has (node, text),
+    `prints` (node, n, parities, keys).
 
     Two similar sets share one of the shingles of their prefixes, whatever the order of shingles;
-    here common ones come last, as a sample of the nodes counts them, so that buckets stay small.
+    here common ones come last, as a sample of the texts counts them, so that buckets stay small.
     A bucket's members are not all paired: a few heads meet all others, pairs of one component,
     of unfit sizes or parities are left out, and what fits is verified. Heads then leave, and
     buckets of one component are done. The number of heads grows with each round until no bucket
     is left; so a group of near copies costs a round, and unlike members cost at most all pairs."""
     spark = nodes.sparkSession
-    sample = nodes.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SAMPLE)) == 0)
-
-    def all_of(node: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
-
-    counts = over_sets(sets, sample, all_of, "h bigint").groupBy("h").agg(F.count("*").alias("n"))
-    levels = spark.sparkContext.broadcast(
-        bit_table(counts.where("n > 1").select("h", "n"), "h", F.floor(F.log2("n")))
-    )
 
-    def keys_of(node: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
-        keys = np.concatenate([prefix(s, levels.value, similarity) for s in found])
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+    def keys_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(1).flatten()], ["key"])
 
-    met = over_sets(sets, nodes, keys_of, "key bigint").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    keys, known = over(prints.select("node", "keys"), nodes, keys_of, "key bigint")
+    met = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     often = spark.sparkContext.broadcast(bit_table(met.select("key"), "key"))
+    known.destroy()
 
-    def rows_of(node: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
-        keys = [prefix(s, levels.value, similarity) for s in found]
-        keys = [k[is_set(often.value, k)] for k in keys]
-        same = [(row, len(s), *parity(s).tolist()) for row, s in zip(node.to_pylist(), found)]
+    def rows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = [k[is_set(often.value, k)] for k in as_sets(batch.column(3))]
+        low = [folded(np.frombuffer(p, np.uint8), 8 * PARITY).view("<i8") for p in batch.column(2).to_pylist()]
+        same = [(node, n, *p.tolist()) for node, n, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), low)]
         own = np.repeat(np.array(same, np.int64), [len(k) for k in keys], axis=0)
         columns = [np.concatenate(keys).view(np.int64), *own.T]
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], NAMES)
 
     schema = ", ".join(f"{n} bigint" for n in NAMES)
-    rows = over_sets(sets, nodes, rows_of, schema).join(nodes, "node", "left_semi")
-    kept = rows = stored(rows.select(*NAMES), "prefixes")
+    found, known = over(prints.select("node", "n", "parities", "keys"), nodes, rows_of, schema)
+    kept = rows = stored(found.join(nodes, "node", "left_semi").select(*NAMES), "prefixes")
+    known.destroy()
+    often.destroy()
     heads_each, past = 4, []
     while True:
         roots = connect(edges)
@@ -405,11 +467,10 @@ def similar(sets: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: flo
         heads = stored(rows.groupBy("key", part.alias("part")).agg(first).select("key", "head"), "heads")
         n, m = F.col("n"), F.col("head.n")
         apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"head.{p}"))) for p in NAMES[3:]), F.lit(0))
-        most = (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6
-        fits = (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (apart <= most)
+        fits = (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (apart <= most_apart(n, m, similarity))
         pairs = rows.join(heads, "key").where((F.col("comp") != F.col("head.comp")) & fits)
         pairs = stored(pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct(), "pairs")
-        edges = stored(edges.unionByName(verified(sets, pairs, similarity)), "similar")
+        edges = stored(edges.unionByName(verified(texts, words, prints, pairs, similarity)), "similar")
         past = [heads, pairs]
         gone = heads.select("key", F.col("head.node").alias("node"))
         rows = rows.drop("comp").join(gone, ["key", "node"], "left_anti")
@@ -449,8 +510,11 @@ def group_near(
         rooted = nodes.join(roots, "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
     else:
         unit = "digest"
-        small = stored(shingled(docs, words, text, [doc_id]), "shingled")
-        sets = small.select(F.col("row").alias("node"), "s")
+        levels = docs.sparkSession.sparkContext.broadcast(bit_table(sampled(docs, words, text), "h", F.floor(F.log2("n"))))
+        small = stored(reduced(docs, words, text, [doc_id], levels, similarity), "reduced")
+        levels.destroy()
+        prints = small.select(F.col("row").alias("node"), "n", "parities", "keys")
+        texts = numbered(docs, text, []).select(F.col("row").alias("node"), "text")
         nodes = small.groupBy("digest").agg(lead.alias("lead"), F.min("fp").alias("fp"))
         nodes = stored(nodes.withColumn("node", F.col("lead.row")), "nodes")
         heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("head")), "fingerprint-heads")
@@ -459,7 +523,8 @@ def group_near(
         near = near.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
         near = near.unionByName(nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y")))
         near = stored(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
-        roots = similar(sets, nodes.select("node"), verified(sets, near, similarity), similarity)
+        near = verified(texts, words, prints, near, similarity)
+        roots = similar(texts, words, prints, nodes.select("node"), near, similarity)
         rooted = nodes.join(roots, "node", "left").select("digest", "lead", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted, "rooted")
     best = stored(rooted.groupBy("root").agg(F.min("lead").alias("lead")), "leads")

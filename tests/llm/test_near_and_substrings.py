@@ -221,3 +221,34 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     found = stored(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counts")
     assert tracker.shuffleStatuses().size() <= before
     assert sorted(r["count"] for r in found.collect()) == [142, 143, 143, 143, 143, 143, 143]
+
+
+def test_shingle_sets_of_all_texts_are_not_stored(spark, monkeypatch):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from inputtrace.llm import simhash
+
+    texts, sizes = [*sentences(200, 12, 600), *sentences(40, 13, 60)], {}
+
+    def stored(df, name, write=simhash.stored):
+        found = write(df, name)
+        sizes[name] = max(sizes.get(name, 0), sum(Path(urlparse(f).path).stat().st_size for f in found.inputFiles()))
+        return found
+
+    monkeypatch.setattr(simhash, "stored", stored)
+    assert group_near(documents(spark, texts), similarity=0.8).where("first").count() == len(texts)
+    assert max(sizes.values()) < 4 * sum(len(shingle_set(t)) for t in texts)  # a set has eight bytes a shingle
+
+
+def test_parities_never_exceed_the_difference():
+    from inputtrace.llm.simhash import folded, parities
+
+    rng = np.random.default_rng(1)
+    for n, m, shared in ((0, 0, 0), (1, 0, 0), (500, 520, 480), (700, 3000, 600), (5000, 5000, 10)):
+        both = [rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (shared, n - shared, m - shared)]
+        a, b = (parities(np.concatenate((both[0], both[i]))) for i in (1, 2))
+        size = min(len(a), len(b))
+        apart = int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
+        assert apart <= n + m - 2 * shared
+        assert n < 5000 or apart > (n + m) / 9  # unlike sets are told apart, however large
