@@ -24,19 +24,24 @@ def list_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
 
 
 def pair_recordings(videos: DataFrame, keylogs: DataFrame) -> DataFrame:
-    """Videos whose log exists: same session, segment and suffix, in the folder beside theirs."""
-    named = videos.where(F.col("path").rlike(RECORDING_PATH)).select(
-        F.regexp_extract("path", RECORDING_PATH, 1).alias("folder"),
-        F.regexp_extract("path", RECORDING_PATH, 2).alias("session_id"),
-        F.regexp_extract("path", RECORDING_PATH, 3).cast("int").alias("seg"),
-        F.regexp_extract("path", RECORDING_PATH, 4).alias("suffix"),
-        F.col("path").alias("video_path"),
+    """Videos whose log exists: same session, segment and suffix, in the folder beside theirs.
+
+    Each path is exploded from a list of one, so that it is made and taken apart once: Spark moves
+    conditions below a projection, and repeats for each of them what it computes, but not below that."""
+    names = ["folder", "session_id", "number", "suffix"]
+
+    def taken_apart(path: Column) -> Column:
+        return F.struct(path.alias("video_path"), *[F.regexp_extract(path, RECORDING_PATH, i + 1).alias(n) for i, n in enumerate(names)])
+
+    found = videos.select(F.inline(F.transform(F.array("path"), taken_apart))).where("session_id <> ''")
+    named = found.select(
+        "folder", "session_id", F.nullif("number", F.lit("")).cast("int").alias("seg"), "suffix", "video_path"
     )
     log = F.concat(
         "folder", F.lit("/keylogs/input_"), "session_id", F.format_string("_seg%04d", "seg"), "suffix", F.lit(".msgpack")
     )
     expected = named.withColumn("keylog_path", log).drop("folder")
-    return expected.join(keylogs.select(F.col("path").alias("keylog_path")), "keylog_path", "left_semi")
+    return expected.join(keylogs.select(F.explode(F.array("path")).alias("keylog_path")), "keylog_path", "left_semi")
 
 
 def find_recordings(spark: SparkSession, root: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 
 import simulate
+from pyspark.sql import functions as F
 from inputtrace.plans.training import score_results, training_clips
 from inputtrace.sources import files
 from inputtrace.sources.schemas import LOG
@@ -110,3 +111,16 @@ def test_more_input_makes_more_tasks_and_not_larger_ones(spark):
     rows = spark.range(3_000_000).select("id", F.xxhash64("id").alias("h"))
     dealt = rows.groupBy("h").agg(F.max("id").alias("id"))
     assert dealt.rdd.getNumPartitions() > 8
+
+
+def test_paths_are_made_and_parsed_once(spark):
+    """Conditions that Spark moves below a projection must not repeat what it computes."""
+    from inputtrace.sources.files import pair_recordings
+
+    rows = spark.range(6).withColumn("s", F.substring(F.md5(F.col("id").cast("string")), 1, 8))
+    videos = rows.select(F.concat(F.lit("/d/recordings/recording_"), "s", F.lit("_seg0007.mp4")).alias("path"))
+    logs = rows.where("id > 1").select(F.concat(F.lit("/d/keylogs/input_"), "s", F.lit("_seg0007.msgpack")).alias("path"))
+    pairs = pair_recordings(videos, logs)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 2 and plan.count("regexp_extract(") == 4
+    assert {(r["seg"], r["suffix"]) for r in pairs.collect()} == {(7, "")} and pairs.count() == 4
