@@ -280,3 +280,21 @@ def test_two_documents_with_one_clip_number(spark, tmp_path):
     clips = {r.clip_name: (r.tp, r.fn, r.tag) for r in rows if r.level == "clip"}
     assert clips == {"a": (1, 0, "t"), "b": (0, 1, "t")}
     assert [(r.tp, r.fn) for r in rows if r.level == "overall"] == [(1, 1)]
+
+
+def test_frames_are_written_by_many_tasks(spark, tmp_path):
+    from inputtrace.checks import inputs
+
+    table = inputs.table(spark, "/root/testdata/sf0.001", "embeddings").limit(200).coalesce(1)
+    table.write.parquet(str(tmp_path / "embeddings.parquet"))
+    group = "frames"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        inputs.write_frames(spark, str(tmp_path), str(tmp_path / "frames"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    tasks = [tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)]
+    assert max(tasks) >= 2 * spark.sparkContext.defaultParallelism
+    assert len(list((tmp_path / "frames").rglob("*.png"))) == 200
