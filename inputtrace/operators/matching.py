@@ -129,8 +129,20 @@ def _picks(entries: Column, reach: int) -> Column:
 
 
 def _solved(entries: str, reach: int) -> Column:
-    """The picks of a stretch, without a fold where nothing is in reach."""
-    return F.when(F.size(entries) > 0, _picks(F.col(entries), reach)).otherwise(F.array().cast(PICKS))
+    """The picks of a stretch. Without a fold where nothing is in reach, and where no two entries ask
+    for the same: one entry with one candidate, or entries that all have their own frame only."""
+    listed = F.col(entries)
+    single = F.forall(listed, lambda e: F.size(e["cands"]) == 1)
+    apart = (F.size(listed) == 1) | F.forall(listed, lambda e: F.get(e["cands"], F.lit(0))["d"] == 0)
+
+    def own(e: Column) -> Column:
+        c = F.get(e["cands"], F.lit(0))
+        n = F.least(e["g"], c["p"])
+        return F.struct(e["frame"].alias("frame"), c["id"].alias("id"), c["pred_frame"].alias("pred_frame"), n.alias("n"))
+
+    none = F.array().cast(PICKS)
+    asked = F.coalesce(F.size(listed) > 0, F.lit(False))
+    return F.when(~asked, none).when(single & apart, F.transform(listed, own).cast(PICKS)).otherwise(_picks(listed, reach))
 
 
 def _stretches(counts: DataFrame, keys: list[str], tolerance: int, values: list[str]) -> DataFrame:

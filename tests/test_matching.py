@@ -4,6 +4,7 @@ import collections
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import simulate
 from inputtrace.operators import matching, scoring
@@ -183,3 +184,14 @@ def test_sweep_over_stretches_that_merging_changes_or_not(spark):
         side = kept if r.coalesce else rows[0]
         assert r.tp == len(simulate.greedy(side, rows[1], r.tolerance))
         assert (r.gt_count, r.pred_count) == (len(side), len(rows[1]))
+
+
+def test_no_fold_where_nothing_competes(spark, monkeypatch):
+    monkeypatch.setattr(matching, "_picks", lambda entries, reach: F.raise_error(F.lit("folded")).cast(matching.PICKS))
+    schema = "c int, type string, detail string, frame int"
+    truth = spark.createDataFrame([(1, "K", "a", 3), (1, "K", "a", 3), (1, "K", "a", 30), (2, "K", "b", 8), (2, "K", "b", 9)], schema)
+    preds = spark.createDataFrame([(1, "K", "a", 4), (1, "K", "a", 50), (2, "K", "b", 9), (2, "K", "b", 8)], schema)
+    found = {(r["c"], r["gt_count"]): [tuple(p) for p in r["picks"]] for r in matching.match_frames(truth, preds, ["c"], 2).where("c = 1").collect()}
+    assert found == {(1, 2): [(3, 4, 4, 1)], (1, 1): [], (1, 0): []}
+    exact = matching.match_frames(truth, preds, ["c"], 0).where("c = 2 and gt_count > 0").collect()
+    assert sorted(tuple(p) for r in exact for p in r["picks"]) == [(8, 8, 8, 1), (9, 9, 9, 1)]
