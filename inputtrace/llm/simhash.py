@@ -22,11 +22,13 @@ import xxhash
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from inputtrace.llm.common import LOWER, UPPER, WORD, bucket_count, carried, discarded, mapped, numbered, slices, stored, table
 from inputtrace.llm.substring import Line
 
 PIVOTS = 32  # reference fingerprints
+THIN = 2  # times that links are moved to hubs; on which no result depends
 CELL = 2048  # fingerprints of a bucket that meet those of another part of it in one cell
 SEED = 42
 BITS = 26  # of the tables that spare shuffles; fixed, whatever the input
@@ -173,9 +175,21 @@ def near_pairs(
     return np.concatenate(left or [np.empty(0, int)]), np.concatenate(right or [np.empty(0, int)])
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Links (a, b), a < b, that connect the same nodes as the links given, in most cases far fewer: of
+    the links from b to smaller nodes the first stays, and the others join it to those nodes instead.
+    Nodes of a dense group have the same few smaller ones, so these links are equal for most b. A node's
+    links to smaller ones meet in one window: of fingerprints at most one a cell."""
+    first = F.min("a").over(Window.partitionBy("b"))
+    moved = edges.select(first.alias("first"), "a", "b")
+    ends = F.when(F.col("first") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    return moved.select(F.col("first").alias("a"), ends.alias("b")).distinct()
+
+
 def links(nodes: DataFrame, distance: int, blocks: int, agree: int, layouts: int = 1) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of `nodes` (fp, stored), enough to connect all
-    that a chain of near pairs connects."""
+    that a chain of near pairs connects. In a dense group each cell gives its own links, up to one a
+    fingerprint and choice of blocks; they are thinned before anything is joined with them."""
     keyed = bucketed(nodes, blocks, agree, layouts)
     sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     parts = F.ceil(F.col("n") / CELL).cast("int")
@@ -214,7 +228,10 @@ def links(nodes: DataFrame, distance: int, blocks: int, agree: int, layouts: int
             yield found(rest)
 
     dealt = cells.repartition("cell").sortWithinPartitions("cell", "fp")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    found = dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    for _ in range(THIN):
+        found = thinned(found)
+    return found
 
 
 def connect(edges: DataFrame) -> DataFrame:
@@ -247,6 +264,18 @@ def connect(edges: DataFrame) -> DataFrame:
     return roots
 
 
+def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The (node, root) of `roots` (stored) with further links (a, b) of nodes, known or new; stored. Only
+    links between components are connected, so that earlier ones cost nothing again."""
+    for end in ("a", "b"):
+        known = roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        edges = edges.join(known, end, "left")
+    later = connect(edges.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
+    moved = roots.join(later.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
+    moved = moved.select("node", F.coalesce("last", "root").alias("root"))
+    return stored(moved.unionByName(later.join(roots, "node", "left_anti")), "roots")
+
+
 def shingles(text: str, words: int) -> np.ndarray:
     """The set of a text's shingles, sorted."""
     return np.unique(shingle_values(text, words))
@@ -452,8 +481,8 @@ def similar(texts: DataFrame, words: int, prints: DataFrame, nodes: DataFrame, e
     known.destroy()
     often.destroy()
     heads_each, past = 4, []
+    roots = connect(edges)
     while True:
-        roots = connect(edges)
         rows = rows.join(roots.withColumnRenamed("root", "comp"), "node", "left")
         rows = rows.withColumn("comp", F.coalesce("comp", "node"))
         live = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
@@ -470,7 +499,7 @@ def similar(texts: DataFrame, words: int, prints: DataFrame, nodes: DataFrame, e
         fits = (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (apart <= most_apart(n, m, similarity))
         pairs = rows.join(heads, "key").where((F.col("comp") != F.col("head.comp")) & fits)
         pairs = stored(pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct(), "pairs")
-        edges = stored(edges.unionByName(verified(texts, words, prints, pairs, similarity)), "similar")
+        roots = merged(roots, verified(texts, words, prints, pairs, similarity))
         past = [heads, pairs]
         gone = heads.select("key", F.col("head.node").alias("node"))
         rows = rows.drop("comp").join(gone, ["key", "node"], "left_anti")

@@ -252,3 +252,41 @@ def test_parities_never_exceed_the_difference():
         apart = int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
         assert apart <= n + m - 2 * shared
         assert n < 5000 or apart > (n + m) / 9  # unlike sets are told apart, however large
+
+
+def test_links_of_a_dense_group_stay_few(spark):
+    from inputtrace.llm.simhash import links
+
+    rng, prints = random.Random(11), set()
+    for centre in (rng.getrandbits(64), rng.getrandbits(64)):
+        for _ in range(400):
+            prints.add(centre ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(1, 4))}))
+    signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    for distance, blocks, agree, layouts in ((8, 8, 3, 3), (4, 6, 2, 1)):
+        nodes = spark.createDataFrame([(p,) for p in signed], "fp bigint")
+        found = [(r["a"], r["b"]) for r in links(nodes, distance, blocks, agree, layouts).collect()]
+        assert len(found) < 2 * len(signed)
+        place = {p: i for i, p in enumerate(signed)}
+        label = components(len(signed), *(np.array([place[r[i]] for r in found]) for i in (0, 1)))
+        want = slow_groups(list(range(len(signed))), [p % (1 << 64) for p in signed], distance)
+        assert label.tolist() == want
+
+
+def test_links_are_connected_once(spark, monkeypatch):
+    from inputtrace.llm import simhash
+
+    rng, given = random.Random(12), []
+    base, passage = sentences(1, 14, 120)[0], sentences(1, 15, 60)[0]
+    texts = [edited(base, rng.randint(0, 2), rng) for _ in range(150)]
+    texts += [f"{passage} {t}" for t in sentences(150, 16, 40)]
+
+    def counted(edges, connect=simhash.connect):
+        given.append({(r["a"], r["b"]) for r in edges.collect()})
+        return connect(edges)
+
+    monkeypatch.setattr(simhash, "connect", counted)
+    rows = group_near(documents(spark, texts), 5, 8, 8, 3, 3, carry=["doc_id"], similarity=0.8).collect()
+    got, want = {r["doc_id"]: r["component_id"] for r in rows}, similar_groups(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert len(given) > 1 and all(given[:2])
+    assert len(set.union(*given)) == sum(map(len, given)) < 2 * len(texts)
