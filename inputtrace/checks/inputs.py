@@ -137,8 +137,10 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clip_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled actions of 25-frame clips: the predictions cut up."""
-    frame = F.regexp_extract("frame", "F([0-9]+)", 1).cast("int")
+    """Labelled actions of 25-frame clips: the predictions cut up.
+
+    Spark may read the number of a label before it leaves out those without one."""
+    frame = F.regexp_extract("frame", "F([0-9]+)", 1).try_cast("int")
     placed = preds(spark, sf_dir).where("frame <> 'F-1'").withColumn("f", frame)
     return placed.select(
         "recording_id",
