@@ -6,6 +6,7 @@ import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +67,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+THRESHOLD, BROADCAST = "spark.sql.autoBroadcastJoinThreshold", 256 << 10
+
+
+@contextmanager
+def small_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Of its own accord Spark broadcasts no table of more than BROADCAST bytes in joins planned meanwhile. It
+    goes by the size of files, which are far smaller than the rows in the driver's memory where values repeat."""
+    before = spark.conf.get(THRESHOLD, None)
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    spark.conf.set(THRESHOLD, str(min(limit, BROADCAST)))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(THRESHOLD)
+        else:
+            spark.conf.set(THRESHOLD, before)
+
+
 def discarded(*tables: DataFrame) -> None:
     """Delete the files of stored tables that nothing reads any more."""
     for df in tables:

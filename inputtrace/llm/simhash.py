@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inputtrace.llm.common import LOWER, UPPER, WORD, bucket_count, carried, discarded, mapped, numbered, slices, stored, table
+from inputtrace.llm.common import LOWER, UPPER, WORD, bucket_count, carried, discarded, mapped, numbered, slices, small_broadcasts, stored, table
 from inputtrace.llm.substring import Line
 
 PIVOTS = 32  # reference fingerprints
@@ -193,7 +193,7 @@ def links(nodes: DataFrame, distance: int, blocks: int, agree: int, layouts: int
     keyed = bucketed(nodes, blocks, agree, layouts)
     sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     parts = F.ceil(F.col("n") / CELL).cast("int")
-    placed = keyed.join(sizes, "key").select(
+    placed = keyed.join(sizes.hint("merge"), "key").select(
         "key", "fp", parts.alias("parts"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("side")
     )
     cells = placed.select("key", "fp", "side", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
@@ -530,6 +530,21 @@ def group_near(
     More agreeing blocks make longer keys, which larger collections need: buckets grow with the
     number of texts per key."""
     kept = [*dict.fromkeys([doc_id, *carry])]
+    with small_broadcasts(docs.sparkSession):
+        small, owner, unit = owned(docs, words, distance, blocks, agree, layouts, doc_id, text, similarity)
+    if kept == [doc_id]:
+        found = small.join(owner.hint("merge"), unit)
+    else:
+        placed = small.join(owner.hint("merge"), unit).select("row", "fp", "component_id", "lead_row")
+        found = numbered(docs, text, carry).drop("text").join(placed.hint("merge"), "row")
+    return found.select(*carried(carry), "fp", "component_id", (F.col("row") == F.col("lead_row")).alias("first"))
+
+
+def owned(
+    docs: DataFrame, words: int, distance: int, blocks: int, agree: int, layouts: int, doc_id: str, text: str, similarity: float | None
+) -> tuple[DataFrame, DataFrame, str]:
+    """What `group_near` finds, stored: rows (row, doc, fp) with the name of what stands for a text, which is
+    told last, and for each value of that the component_id and lead_row."""
     lead = F.min(F.struct(F.col("doc").getField(doc_id).isNull().alias("none"), F.col("doc").getField(doc_id).alias("id"), "row"))
     if similarity is None:
         unit = "fp"
@@ -561,12 +576,7 @@ def group_near(
         rooted.drop("lead").join(best, "root").select(unit, F.col("lead.id").alias("component_id"), F.col("lead.row").alias("lead_row")),
         "owners",
     )
-    if kept == [doc_id]:
-        found = small.join(owner, unit)
-    else:
-        placed = small.join(owner, unit).select("row", "fp", "component_id", "lead_row")
-        found = numbered(docs, text, carry).drop("text").join(placed, "row")
-    return found.select(*carried(carry), "fp", "component_id", (F.col("row") == F.col("lead_row")).alias("first"))
+    return small, owner, unit
 
 
 def op4_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

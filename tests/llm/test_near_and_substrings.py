@@ -290,3 +290,37 @@ def test_links_are_connected_once(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
     assert len(given) > 1 and all(given[:2])
     assert len(set.union(*given)) == sum(map(len, given)) < 2 * len(texts)
+
+
+def test_keys_of_fingerprints_are_not_broadcast(spark):
+    from inputtrace.llm.simhash import links
+
+    rng = random.Random(17)
+    nodes = spark.createDataFrame([(rng.getrandbits(63),) for _ in range(2000)], "fp bigint")
+    found = links(nodes, 8, 8, 3, 3)  # 168 keys each, in a table that Spark takes for as small as the nodes
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_broadcasts_are_small_by_the_size_of_their_files(spark, monkeypatch):
+    from inputtrace.llm import simhash
+    from inputtrace.llm.common import BROADCAST, THRESHOLD
+
+    seen, texts = [], sentences(30, 18) * 2
+
+    def seeing(df, name, stored=simhash.stored):
+        seen.append(int(spark.conf.get(THRESHOLD)))
+        return stored(df, name)
+
+    monkeypatch.setattr(simhash, "stored", seeing)
+    before = spark.conf.get(THRESHOLD)
+    for value, most in ((before, BROADCAST), ("1k", 1024), ("-1", -1)):
+        spark.conf.set(THRESHOLD, value)
+        try:
+            found = group_near(documents(spark, texts), carry=["doc_id"], similarity=0.8)
+            assert spark.conf.get(THRESHOLD) == value
+            assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+            assert found.where("first").count() == 30
+        finally:
+            spark.conf.set(THRESHOLD, before)
+        assert set(seen) == {most}
+        seen.clear()
