@@ -137,11 +137,9 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clip_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled actions of 25-frame clips: the predictions cut up.
-
-    Spark may read the number of a label before it leaves out those without one."""
+    """Labelled actions of 25-frame clips: the predictions cut up, without those whose label has no number."""
     frame = F.regexp_extract("frame", "F([0-9]+)", 1).try_cast("int")
-    placed = preds(spark, sf_dir).where("frame <> 'F-1'").withColumn("f", frame)
+    placed = preds(spark, sf_dir).withColumn("f", frame).where("f is not null")
     return placed.select(
         "recording_id",
         F.floor(F.col("f") / CLIP_FRAMES).cast("int").alias("chunk"),

@@ -31,9 +31,11 @@ def large(spark):
 
 @pytest.mark.parametrize("name", CLIPPED)
 def test_predictions_before_the_first_frame(large, tmp_path, name):
-    """Event 5 is predicted at frame -2, whose label F-1 has no number; event 14 repeats event 13."""
+    """Event 5 is predicted at frame -2, whose label F-1 has no number; event 17 has no time, so its label
+    has none either; event 14 repeats event 13."""
     start = datetime.datetime(2024, 1, 1)
     rows = [(i, start + datetime.timedelta(days=d), 7, "x", 0.0, '{"k": 1}') for i, d in ((2, 0), (5, 0), (13, 0), (14, 0), (29, 2))]
+    rows.append((17, None, 7, "x", 0.0, '{"k": 1}'))
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
     large.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     found = queries()[name](large, str(tmp_path)).collect()
